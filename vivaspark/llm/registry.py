@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vivaspark.llm import bpe, simhash, token_counts
+from vivaspark.llm import bpe, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op1_simhash": simhash.op1_simhash,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
     "op4_token_counts": token_counts.op4_token_counts,
