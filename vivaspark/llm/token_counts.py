@@ -23,7 +23,9 @@ from __future__ import annotations
 import itertools
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -39,119 +41,165 @@ _CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
 
 
 class PrefixCounter:
-    """Prefix counts for one tokenizer; remembers at most max_words words."""
+    """Prefix counts for one tokenizer; remembers at most twice max_words words."""
 
-    def __init__(self, tokenizer: str = wordtok.DEFAULT_TOKENIZER, max_words: int = 400_000):
+    def __init__(self, tokenizer: str = wordtok.DEFAULT_TOKENIZER, max_words: int = 300_000):
         model = wordtok.spec(tokenizer)["model"]
-        self.tok, self.vocab = wordtok.load(tokenizer), model["vocab"]
-        self.rank = {(m.split(" ", 1)[0], m.split(" ", 1)[1]) if isinstance(m, str) else (m[0], m[1]): i for i, m in enumerate(model["merges"])}
-        self.end = model["end_of_word_suffix"]
-        self.longest = max(len(t) for t in self.vocab)
+        self.tok, self.end = wordtok.load(tokenizer), model["end_of_word_suffix"]
         self.special = tuple(t["content"] for t in wordtok.spec(tokenizer)["added_tokens"])
-        self.pairs: dict[tuple[str, str, str], bool] = {}
-        self.words: dict[str, np.ndarray] = {}
+        # By the text of a token: its length, its id inside a run and its id at a run's end (-1: none).
+        forms: dict[str, list[int]] = {}
+        for t, i in model["vocab"].items():
+            stem, at_end = (t[: -len(self.end)], 1) if t.endswith(self.end) and t != self.end else (t, 0)
+            forms.setdefault(stem, [-1, -1])[at_end] = i
+        self.matcher = ahocorasick.Automaton()
+        for stem, (inside, final) in forms.items():
+            self.matcher.add_word(stem, (len(stem), inside, final))
+        self.matcher.make_automaton()
+        # Rank of the merge that makes a token (-1: a symbol), its two halves, and the rank of a pair's merge.
+        vocab = model["vocab"]
+        self.made, self.halves, self.joins = [-1] * (max(vocab.values()) + 1), {}, {}
+        for rank, m in enumerate(model["merges"]):
+            left, right = m.split(" ", 1) if isinstance(m, str) else m
+            i, pair = vocab[left + right], (vocab[left], vocab[right])
+            if self.made[i] < 0:
+                self.made[i], self.halves[i] = rank, pair
+            self.joins[pair[0] << 32 | pair[1]] = rank
+        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, bytes | np.ndarray] = {"": b""}
+        self.older: dict[str, bytes | np.ndarray] = {}
+        self.runs: dict[str, list[int]] = {}
         self.max_words = max_words
         self.bytes_of = _byte_chars()
 
-    def _merge(self, parts: list[str]) -> list[str]:
-        """The merges of the model on symbols: always the lowest rank, leftmost first."""
-        while len(parts) > 1:
-            best = min((self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if best[0] == 1 << 60:
-                break
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def _ok(self, a: str, b: str, tail: str) -> bool:
-        """Whether tokens a and b + tail stay as they are side by side."""
-        known = self.pairs.get((a, b, tail))
-        if known is None:
-            symbols = [*a, *b]
-            symbols[-1] += tail
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            known = self.pairs[a, b, tail] = self._merge(symbols) == [a, b + tail]
+    def _ok(self, key: int) -> bool:
+        """Whether two tokens, a << 32 | b, stay as they are side by side.
+
+        Undo the merges of both in reverse order of rank and look, at each
+        moment, whether a merge across the border would have come first.
+        """
+        made, halves, joins = self.made, self.halves, self.joins
+        a, b, known, limit = key >> 32, key & 0xFFFFFFFF, None, 1 << 60
+        while known is None:
+            if joins.get(a << 32 | b, limit) < limit:
+                known = False
+            elif made[a] < 0 and made[b] < 0:
+                known = True
+            elif made[a] > made[b]:
+                limit, a = made[a], halves[a][1]
+            else:
+                # A merge right of the border comes after one across it of equal rank: left goes first.
+                limit, b = made[b] + 1, halves[b][0]
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        self.pairs[key] = known
         return known
 
     def run_counts(self, run: str) -> list[int]:
         """closed[i] for i = 1 .. len(run); run is in the model's byte alphabet."""
-        n, vocab, ok, end = len(run), self.vocab, self._ok, self.end
-        last, inner, closed = [""] * (n + 1), [0] * (n + 1), []
-        for i in range(1, n + 1):
-            low = max(0, i - self.longest)
-            for j in range(low, i):
-                t = run[j:i]
-                if t in vocab and (not j or ok(last[j], t, "")):
-                    last[i], inner[i] = t, inner[j] + 1
-                    break
-            for j in range(low, i):
-                t = run[j:i]
-                if t + end in vocab and (not j or ok(last[j], t, end)):
-                    closed.append(inner[j] + 1)
-                    break
-            else:
-                raise ValueError(f"no segmentation of {run!r}")
+        found = self.runs.get(run)
+        if found is not None:
+            return found
+        n, ok, pair = len(run), self._ok, self.pairs.get
+        last, inner, closed = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for end, (size, inside, final) in self.matcher.iter(run):
+            i = end + 1
+            j = i - size
+            if not j:
+                if inside >= 0:
+                    last[i], inner[i] = inside, 1
+                if final >= 0:
+                    closed[i] = 1
+                continue
+            before = last[j] << 32
+            if inside >= 0 and last[i] < 0:
+                stays = pair(before | inside)
+                if stays or stays is None and ok(before | inside):
+                    last[i], inner[i] = inside, inner[j] + 1
+            if final >= 0 and not closed[i]:
+                stays = pair(before | final)
+                if stays or stays is None and ok(before | final):
+                    closed[i] = inner[j] + 1
+        del closed[0]
+        if not all(closed):
+            raise ValueError(f"no segmentation of {run!r}")
+        if n < 64:
+            self.runs[run] = closed
         return closed
 
-    def word_counts(self, word: str) -> np.ndarray:
-        """Counts of word[:1] .. word[:len(word)] as int32."""
-        if not unicodedata.is_normalized("NFC", word) or any(s in word for s in self.special):
+    def word_counts(self, word: str) -> list[int]:
+        """Counts of word[:1] .. word[:len(word)]."""
+        plain = word.isascii() and word.isprintable()
+        if plain and word.isalpha():
+            return self.run_counts(word.lower())
+        if any(s in word for s in self.special) or not (plain or unicodedata.is_normalized("NFC", word)):
             return self._by_library(word)
-        lowered = [c.lower() for c in word]
-        low = "".join(lowered)
-        ends, base, bytes_of, plain = [], 0, self.bytes_of, word.isascii()
-        for m in _CUT.finditer(low):
-            run = m.group()
-            pieces = ["'", run[1:]] if run in _CONTRACTIONS else [run]
+        lowered = [] if plain else [c.lower() for c in word]
+        low = word.lower() if plain else "".join(lowered)
+        ends, base, bytes_of = [], 0, self.bytes_of
+        for run in _CUT.findall(low):
+            contracted = run in _CONTRACTIONS
             counts: list[int] = []
-            for piece in pieces:
-                symbols = piece if plain else "".join(bytes_of[b] for b in piece.encode())
-                closed = self.run_counts(symbols)
-                if not plain:
-                    closed = [closed[k - 1] for k in itertools.accumulate(len(c.encode()) for c in piece)]
-                counts += [(counts[-1] if counts else 0) + c for c in closed]
-            if len(pieces) == 2:
+            for piece in ("'", run[1:]) if contracted else (run,):
+                if plain or piece.isascii() and piece.isprintable():
+                    closed = self.run_counts(piece)
+                else:
+                    closed = self.run_counts("".join([bytes_of[b] for b in piece.encode()]))
+                    closed = [closed[k - 1] for k in itertools.accumulate(1 if c < "\x80" else len(c.encode()) for c in piece)]
+                counts += [counts[-1] + c for c in closed] if counts else closed
+            if contracted:
                 counts[-1] = self.run_counts(run)[-1]
-            ends += [base + c for c in counts]
-            base += counts[-1]
+            ends += [base + c for c in counts] if base else counts
+            base = ends[-1]
         if len(ends) != len(low):
             return self._by_library(word)
         if len(low) != len(word):
             ends = [ends[k - 1] for k in itertools.accumulate(map(len, lowered))]
-        if not plain and len(self.tok.encode(word, add_special_tokens=False).ids) != ends[-1]:
-            return self._by_library(word)  # the two libraries know different Unicode versions
-        return np.array(ends, np.int32)
+        if not plain and max(word) >= "\u0250" and len(self.tok.encode(word, add_special_tokens=False).ids) != ends[-1]:
+            return self._by_library(word)  # the two libraries may know different Unicode versions
+        return ends
 
-    def _by_library(self, word: str) -> np.ndarray:
+    def _by_library(self, word: str) -> list[int]:
         """Prefix by prefix: words that normalising recomposes, or that hold a special string."""
-        out, tok = np.empty(len(word), np.int32), self.tok
+        out, tok = [], self.tok
         for at in range(0, len(word), 256):
             block = [word[: k + 1] for k in range(at, min(at + 256, len(word)))]
-            out[at : at + 256] = [len(e.ids) for e in tok.encode_batch(block, add_special_tokens=False)]
+            out += [len(e.ids) for e in tok.encode_batch_fast(block, add_special_tokens=False)]
         return out
 
-    def known(self, word: str) -> np.ndarray:
+    def _known(self, word: str):
+        """A byte a prefix where that is enough, so that a text's table is one join of its words'."""
         got = self.words.get(word)
         if got is None:
-            if len(self.words) >= self.max_words:
-                self.words.clear()
-            got = self.words[word] = self.word_counts(word)
+            got = self.older.pop(word, None)
+            if got is None:
+                counts = self.word_counts(word)
+                got = bytes(counts) if max(counts) < 256 else np.array(counts, np.int32)
+            if len(self.words) >= self.max_words:  # what was of use since the last time stays
+                self.words, self.older, self.runs = {"": b""}, self.words, {}
+            self.words[word] = got
         return got
 
     def prefix_counts(self, text: str | None) -> np.ndarray:
         """int32 array of length len(text) + 1: tokens of each prefix."""
-        text = text or ""
-        out, total, at = np.zeros(len(text) + 1, np.int32), 0, 0
-        for w in text.translate(wordtok._BLANKS).split(" "):
-            n = len(w)
-            if n:
-                c = self.known(w)
-                out[at + 1 : at + n + 1] = c
-                out[at + 1 : at + n + 1] += total
-                total += int(c[-1])
-            at += n + 1
-            out[at : at + 1] = total
+        if not text:
+            return np.zeros(1, np.int32)
+        words = text.translate(wordtok.BLANKS).split(" ")
+        known = list(map(self.words.get, words))
+        if None in known:
+            known = [self._known(w) if k is None else k for w, k in zip(words, known)]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        if all(type(k) is bytes for k in known):
+            inside = np.frombuffer(b"\0".join(known), np.uint8).astype(np.int32)
+        else:
+            inside = np.concatenate([x for k in known for x in (np.frombuffer(k, np.uint8) if type(k) is bytes else k, np.zeros(1, np.int32))])[:-1].astype(np.int32)
+        # Place of each word's first character and of the blank after it, in the text.
+        after = np.cumsum(sizes + 1) - 1
+        totals = np.where(sizes > 0, inside[np.maximum(after - 1, 0)], 0)
+        before = np.concatenate([[0], np.cumsum(totals)])
+        out = np.zeros(len(text) + 1, np.int32)
+        out[1:] = inside + np.repeat(before[:-1], sizes + 1)[:-1]
+        out[after[:-1] + 1] = before[1:-1]
         return out
 
 
@@ -162,6 +210,11 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in keep else chr(next(moved)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def _counter(tokenizer: str) -> PrefixCounter:
+    return PrefixCounter(tokenizer)
+
+
 def longest_within(counts: np.ndarray, budget: int) -> int:
     """Code points of the longest prefix with at most budget tokens."""
     return int(np.flatnonzero(counts <= budget)[-1])
@@ -180,7 +233,7 @@ def count_tokens(docs: DataFrame, budget: int, tokenizer: str = wordtok.DEFAULT_
     schema = T.StructType([*SCHEMA.fields, T.StructField("prefix_tokens", T.ArrayType(T.IntegerType()))]) if with_prefixes else SCHEMA
 
     def make():
-        counter = PrefixCounter(tokenizer)
+        counter = _counter(tokenizer)  # its memory serves the next tasks of the process too
 
         def rows(ids: list, texts: list, sizes: list) -> Iterator[tuple]:
             for i, text, size in zip(ids, texts, sizes):

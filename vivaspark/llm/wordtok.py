@@ -11,7 +11,7 @@ import json
 from functools import lru_cache
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-_BLANKS = str.maketrans("\t\n\r", "   ")
+BLANKS = str.maketrans("\t\n\r", "   ")
 
 
 def tokenizer_path(name_or_path: str = DEFAULT_TOKENIZER) -> str:
@@ -42,4 +42,4 @@ def spec(name_or_path: str = DEFAULT_TOKENIZER) -> dict:
 
 def words_of(text: str | None) -> list[str]:
     """Words of a text in order; null has none."""
-    return [w for w in (text or "").translate(_BLANKS).split(" ") if w]
+    return [w for w in (text or "").translate(BLANKS).split(" ") if w]
