@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from vivaspark.llm import bpe, simhash, token_counts, toxicity
+from vivaspark.llm import bpe, line_templates, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op9_line_templates": line_templates.op9_line_templates,
     "op3_toxicity": toxicity.op3_toxicity,
     "op1_simhash": simhash.op1_simhash,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
     "op4_token_counts": token_counts.op4_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_templates": line_templates.ORACLE_SQL,
+}
