@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vivaspark.llm import bpe, line_templates, simhash, token_counts, toxicity
+from vivaspark.llm import bpe, line_templates, mixing, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op5_mixing": mixing.op5_mixing,
     "op9_line_templates": line_templates.op9_line_templates,
     "op3_toxicity": toxicity.op3_toxicity,
     "op1_simhash": simhash.op1_simhash,
