@@ -164,5 +164,6 @@ def take_copies(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it whole (a cut copy of half its words or more counts)."""
     mixed = mix(docs).filter("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("_n")).filter("_n > 0")
     # Rows that share a doc_id share their draw, not their size: one count each, the largest.
-    mixed = mixed.groupBy("doc_id").agg(F.max("_n").alias("_n"))
-    return docs.join(mixed, "doc_id").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k")).drop("_k")
+    mixed = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_n").alias("_n"))
+    taken = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k")).drop("_k")
