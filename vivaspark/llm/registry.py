@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vivaspark.llm import ann, bpe, line_templates, mixing, simhash, token_counts, toxicity
+from vivaspark.llm import ann, bpe, chat, line_templates, mixing, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op6_chat": chat.op6_chat,
     "op8_nearest": ann.op8_nearest,
     "op5_mixing": mixing.op5_mixing,
     "op9_line_templates": line_templates.op9_line_templates,
