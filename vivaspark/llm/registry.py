@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vivaspark.llm import ann, bpe, chat, line_templates, media, mixing, simhash, token_counts, toxicity
+from vivaspark.llm import ann, bpe, chat, langid, line_templates, media, mixing, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op7_language": langid.op7_language,
     "op10_media": media.op10_media,
     "op6_chat": chat.op6_chat,
     "op8_nearest": ann.op8_nearest,
