@@ -150,7 +150,7 @@ class Network:
         for at in range(0, len(owner), ROWS):
             s, n = starts[at : at + ROWS], left[at : at + ROWS]
             inside = steps < n
-            x = np.where(inside, data[np.minimum(s + steps, len(data) - 1)], PAD).astype(np.int64)
+            x = np.where(inside, data[np.minimum(s + steps, len(data) - 1)].astype(np.int64), PAD)
             p = self.probabilities(x)
             p *= inside[:, :, None]
             sums[at : at + ROWS] = p.sum(0)
