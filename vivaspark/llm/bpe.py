@@ -4,17 +4,17 @@ A text's ids are those of its white-space separated words in order, so words
 are encoded, not texts:
 
 1. Tasks count their words; the counts are summed by word. The commonest words
-   that fit a fixed bound (count and bytes) form the hot table: each is encoded
+   that fit a fixed bound (number and bytes) form the hot table: each is encoded
    once, and the table is broadcast.
-2. Every text becomes a compressed array of ids in which words outside the hot
-   table are holes.
+2. Every text becomes a compressed array of word numbers, by frequency, in which
+   words outside the hot table are holes.
 3. Those words travel as (word, row key, position), partitioned by word, so
    each distinct one is encoded once, and their ids join back to the arrays by
    row key and position.
 
 What is broadcast never grows with the corpus. A rare word cannot be a hot
-key, because any word common enough to be one is in the hot table. Words over
-LONG characters are texts of their own kind and are encoded where they stand.
+key, because any word common enough to be one is in the hot table. Words are
+split, looked up and put back as Arrow and numpy columns, not one by one.
 
 Defined results: null and blank texts have no ids and decode to the empty
 text; repeated rows give repeated results; an empty table gives an empty
@@ -24,8 +24,8 @@ which the result replaces.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
@@ -39,72 +39,105 @@ from pyspark.sql import types as T
 from vivaspark.llm import wordtok
 from vivaspark.llm.common import table
 
-#: Words longer than this are neither counted nor shuffled.
-LONG = 1024
-#: A task with more distinct words than this leaves out those it met once; they only matter for the choice of hot words.
-ALL_WORDS = 100_000
-_tables: dict = {}
+#: Bytes of text that are split into words at a time.
+BLOCK = 8 << 20
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(wordtok.words_of(text))
-    least = 2 if len(seen) > ALL_WORDS else 1
-    items = [(w, n) for w, n in seen.items() if n >= least and len(w) <= LONG]
-    for at in range(0, len(items), 20_000):
-        words, counts = zip(*items[at : at + 20_000])
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts, the last column, have about BLOCK bytes."""
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.columns[-1]), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK, side="right")))
+            yield b.slice(at, end - at)
+            at = end
 
 
-def _encode_column(words: pa.Array, tok) -> pa.Array:
-    ids = [e.ids for e in tok.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
-    return pa.array(ids, pa.list_(pa.int32()))
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in one array, and where each text's words end; empty ones come with blanks at an end."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    return lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+
+
+def _encoded(words: pa.Array, tok) -> pa.Array:
+    return pa.array([e.ids for e in tok.encode_batch_fast(words.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
+
+
+def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[starts[0] : starts[0] + sizes[0]], then the next, in one array."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
 
 def hot_table(docs: DataFrame, tokenizer: str, most_words: int, most_bytes: int) -> pa.Table:
-    """The commonest words with their ids; at most most_words of them and most_bytes of text."""
-    counts = docs.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
+    """word and ids of the commonest words, commonest first; at most most_words of them and most_bytes of text."""
+
+    def count(batches):
+        for b in _blocks(batches):
+            seen = pc.value_counts(_words(b.column(0))[0])
+            # In a whole block, words met once only matter for the choice of hot words, and hardly.
+            often = pc.greater_equal(seen.field(1), 2 if b.nbytes > BLOCK // 2 else 1)
+            yield pa.RecordBatch.from_arrays([seen.field(0), seen.field(1)], names=["word", "n"]).filter(often)
+
+    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("word <> ''").persist()
     try:
         # Words by size class of their count: a few hundred rows whatever the corpus.
         level = F.floor(F.log2("n") * 8).cast("int")
         steps = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum(F.octet_length("word")).alias("bytes")).collect()
         words = size = 0
-        least = None
+        least = 1 << 30
         for r in sorted(steps, key=lambda r: -r.level):
             words, size = words + r.words, size + r.bytes
             if words > most_words or size > most_bytes:
                 break
             least = r.level
-        if least is None:
-            return pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
 
         def encode(batches):
             tok = wordtok.load(tokenizer)
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), _encode_column(b.column(0), tok)], names=["word", "ids"])
+                yield pa.RecordBatch.from_arrays([*b.columns, _encoded(b.column(0), tok)], names=["word", "n", "ids"])
 
-        return counts.filter(level >= least).select("word").mapInArrow(encode, "word string, ids array<int>").toArrow()
+        table = counts.filter(level >= least).mapInArrow(encode, "word string, n long, ids array<int>").toArrow().combine_chunks()
+        return table.take(np.lexsort((pc.rank(table.column("word")).to_numpy(), -table.column("n").to_numpy()))).select(["word", "ids"]) if table.num_rows else table.select(["word", "ids"])
     finally:
         counts.unpersist()
 
 
-def _hot_dict(shared, name: str) -> dict[str, bytes]:
-    """word -> its ids as bytes; one for a Python process and call of encode()."""
-    if name not in _tables:
-        _tables.clear()
-        t = pa.ipc.open_stream(shared.value["table"]).read_all().combine_chunks()
-        if not t.num_rows:
-            return _tables.setdefault(name, {})
-        ids = t.column("ids").chunk(0)
-        blob, size = ids.flatten().to_numpy().astype(shared.value["type"]).tobytes(), np.dtype(shared.value["type"]).itemsize
-        ends = (ids.offsets.to_numpy() - ids.offsets[0].as_py()) * size
-        _tables[name] = {w: blob[a:b] for w, a, b in zip(t.column("word").to_pylist(), ends[:-1].tolist(), ends[1:].tolist())}
-    return _tables[name]
+class _Hot:
+    """The hot table in a task. Number 0 is the empty word, without ids; len(words) marks a hole."""
+
+    def __init__(self, blob: bytes):
+        t = pa.ipc.open_stream(blob).read_all().combine_chunks()
+        words, ids = (t.column(c).chunk(0) if t.num_rows else t.schema.field(c).type for c in ("word", "ids"))
+        self.words = pa.concat_arrays([pa.array([""], pa.string()), words.cast(pa.string())]) if t.num_rows else pa.array([""], pa.string())
+        self.hole = len(self.words)
+        sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False) if t.num_rows else np.zeros(0, np.int64)
+        self.sizes = np.concatenate([[0], sizes, [0]]).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.values = ids.flatten().to_numpy() if t.num_rows else np.zeros(0, np.int32)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(words, value_set=self.words), self.hole).to_numpy()
+
+
+@lru_cache(maxsize=1)
+def _hot(call: str, shared) -> _Hot:
+    """One for a Python process and call of encode()."""
+    return _Hot(shared.value)
+
+
+def _packed(numbers: np.ndarray, pack: zstandard.ZstdCompressor) -> bytes:
+    """Low, middle and high bytes apart: the high ones are mostly zero."""
+    return pack.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
 
+def _unpacked(blob: bytes, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
+    planes = np.frombuffer(unpack.decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view("<u4").astype(np.int64)
 
-def encode(docs: DataFrame, keep: list[str] | None = None, tokenizer: str = wordtok.DEFAULT_TOKENIZER, most_words: int = 400_000, most_bytes: int = 32 << 20) -> DataFrame:
+
+def encode(docs: DataFrame, keep: list[str] | None = None, tokenizer: str = wordtok.DEFAULT_TOKENIZER, most_words: int = 800_000, most_bytes: int = 16 << 20) -> DataFrame:
     """The kept columns (all, if none are named) and `ids array<int>` of each row's text.
 
     Name only what is needed: kept columns cross the shuffle that brings rare
@@ -115,9 +148,7 @@ def encode(docs: DataFrame, keep: list[str] | None = None, tokenizer: str = word
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, hot.schema) as to:
         to.write_table(hot)
-    kind = "<u2" if wordtok.load(tokenizer).get_vocab_size() < 0xFFFF else "<u4"
-    shared = docs.sparkSession.sparkContext.broadcast({"table": sink.getvalue().to_pybytes(), "type": kind})
-    gap, call = np.array(np.iinfo(kind).max, kind).tobytes(), uuid4().hex
+    shared, call = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid4().hex
 
     name = F.col("`doc_id`").cast("string")
     keys = [F.xxhash64("text", name).alias("_key"), F.hash(name, "text").alias("_key2")]
@@ -125,105 +156,113 @@ def encode(docs: DataFrame, keep: list[str] | None = None, tokenizer: str = word
     rows = docs.select(*keys, *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
 
     def fill(batches):
-        known, tok, pack = _hot_dict(shared, call).get, wordtok.load(tokenizer), zstandard.ZstdCompressor(level=3)
-
-        def of(w: str) -> bytes:
-            ids = known(w)
-            if ids is None:
-                return gap if len(w) <= LONG else np.array(tok.encode(w, add_special_tokens=False).ids, kind).tobytes()
-            return ids
-
-        for b in batches:
-            blobs = [pack.compress(b"".join(map(of, wordtok.words_of(t.as_py())))) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(blobs, pa.binary())], names=[*b.schema.names[:-1], "_ids"])
+        hot, pack = _hot(call, shared), zstandard.ZstdCompressor(level=3)
+        for b in _blocks(batches):
+            words, ends = _words(b.columns[-1])
+            parts = np.split(hot.numbers(words), ends[:-1])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([_packed(x, pack) for x in parts], pa.binary())], names=[*b.schema.names[:-1], "_packed"])
 
     def missing(batches):
-        known = _hot_dict(shared, call)
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part, words, rows, places = b.slice(at, 1024), [], [], []
-                for i, text in enumerate(part.column(2).to_pylist()):
-                    lost = [w for w in wordtok.words_of(text) if w not in known and len(w) <= LONG]
-                    words += lost
-                    rows += [i] * len(lost)
-                    places += range(len(lost))
-                if words:
-                    at_row = pa.array(rows, pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), part.column(0).take(at_row), part.column(1).take(at_row), pa.array(places, pa.int32())], names=["word", "_key", "_key2", "place"])
+        hot = _hot(call, shared)
+        for b in _blocks(batches):
+            words, ends = _words(b.columns[-1])
+            at = np.flatnonzero(hot.numbers(words) == hot.hole)
+            if len(at):
+                row = np.searchsorted(ends, at, side="right")
+                first = np.searchsorted(row, row)
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(at)), *(c.take(pa.array(row)) for c in b.columns[:2]), pa.array((np.arange(len(at)) - first).astype(np.int32))], names=["word", "_key", "_key2", "place"])
 
     def once(batches):
         tok, last = wordtok.load(tokenizer), (None, None)
         for b in batches:
             runs = pc.dictionary_encode(b.column(0))  # equal words lie together: the rows are sorted
-            words = runs.dictionary.to_pylist()
-            known = [last[1]] if words[0] == last[0] else []
-            ids = known + [e.ids for e in tok.encode_batch_fast(words[len(known) :], add_special_tokens=False)]
-            last = (words[-1], ids[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(ids, pa.list_(pa.int32())).take(runs.indices)], names=["_key", "_key2", "place", "ids"])
+            words, known = runs.dictionary, []
+            if words[0].as_py() == last[0]:
+                known = [pa.array([last[1]], pa.list_(pa.int32()))]
+            ids = pa.concat_arrays([*known, _encoded(words.slice(len(known)), tok)])
+            last = (words[-1].as_py(), ids[-1].as_py())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], ids.take(runs.indices)], names=["_key", "_key2", "place", "ids"])
 
     def stitch(batches):
-        unpack, hole = zstandard.ZstdDecompressor(), np.iinfo(kind).max
-        for b in batches:
-            found = b.column(b.num_columns - 1)
-            ids = [_stitched(np.frombuffer(unpack.decompress(x.as_py()), kind), hole, f.as_py()) for x, f in zip(b.column(b.num_columns - 2), found)]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], lists], names=[*b.schema.names[:-2], "ids"])
+        hot, unpack = _hot(call, shared), zstandard.ZstdDecompressor()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                numbers = [_unpacked(x.as_py(), unpack) for x in b.columns[-2]]
+                ends = np.cumsum([len(x) for x in numbers])
+                numbers = np.concatenate(numbers)
+                starts, sizes, values = hot.starts[numbers], hot.sizes[numbers], hot.values
+                holes = np.flatnonzero(numbers == hot.hole)
+                if len(holes):
+                    found = b.columns[-1]
+                    each, flat = pc.list_parent_indices(found).to_numpy(), pc.list_flatten(found)
+                    ids = flat.field("ids")
+                    n = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+                    order = np.lexsort((flat.field("place").to_numpy(), each))
+                    if len(order) != len(holes):
+                        raise ValueError(f"{len(holes)} words are missing, {len(order)} were found")
+                    starts[holes], sizes[holes] = (np.cumsum(n) - n)[order] + len(values), n[order]
+                    values = np.concatenate([values, pc.list_flatten(ids).to_numpy()])
+                offsets = np.concatenate([[0], np.concatenate([[0], np.cumsum(sizes)])[ends]]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(_ragged(values, starts, sizes).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], lists], names=[*b.schema.names[:-2], "ids"])
 
     # Rows that share both keys share text and doc_id, so the set of their words' places is that of one.
     found = texts.mapInArrow(missing, "word string, _key long, _key2 int, place int").repartition("word").sortWithinPartitions("word")
     found = found.mapInArrow(once, "_key long, _key2 int, place int, ids array<int>").groupBy("_key", "_key2").agg(F.collect_set(F.struct("place", "ids")).alias("_found"))
     kept = rows.drop("_text").schema
-    arrays = rows.mapInArrow(fill, T.StructType([*kept.fields, T.StructField("_ids", T.BinaryType())]))
+    arrays = rows.mapInArrow(fill, T.StructType([*kept.fields, T.StructField("_packed", T.BinaryType())]))
     joined = arrays.join(found, ["_key", "_key2"], "left").drop("_key", "_key2")
     out = joined.mapInArrow(stitch, T.StructType([*kept.fields[2:], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], "ids")
 
 
-def _stitched(ids: np.ndarray, hole: int, found: list[dict] | None) -> np.ndarray:
-    """ids with the k-th hole replaced by the ids found for place k."""
-    if not found:
-        return ids.astype(np.int32)
-    words = [f["ids"] for f in sorted(found, key=lambda f: f["place"])]
-    at = np.flatnonzero(ids == hole)
-    if len(at) != len(words):
-        raise ValueError(f"{len(at)} words are missing, {len(words)} were found")
-    pieces, done = [], 0
-    for k, w in zip(at.tolist(), words):
-        pieces += [ids[done:k], w]
-        done = k + 1
-    return np.concatenate([*pieces, ids[done:]]).astype(np.int32)
-
+def join_pieces(rows: DataFrame, ids: str, tables: dict[str, list[str]], drop: bool = True) -> DataFrame:
+    """rows with a text column for each table: the pieces of its ids, joined by one space.
 
-def decode(rows: DataFrame, ids: str = "ids", to: str = "decoded", tokenizer: str = wordtok.DEFAULT_TOKENIZER) -> DataFrame:
-    """rows with a text column `to`, the library's decode(ids, skip_special_tokens=False), in place of `ids`.
-
-    The id-to-piece table has one row for each id of the vocabulary, so it is
-    sent to every task; ids look their pieces up by position. Null ids decode to
-    the empty text, ids outside the vocabulary to nothing.
+    A table has a piece for each id of the vocabulary, so it is sent to every
+    task. Null ids give the empty text; ids outside the vocabulary give nothing.
     """
-    tok = wordtok.load(tokenizer)
-    pieces = [tok.id_to_token(i) for i in range(tok.get_vocab_size())] if wordtok.spec(tokenizer)["decoder"] is None else None
-    shared = rows.sparkSession.sparkContext.broadcast(pieces)
-    keep = [c for c in rows.columns if c not in (ids, to)]
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
+    keep = [c for c in rows.columns if c not in tables and (c != ids or not drop)]
     picked = rows.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)], F.col(f"`{ids}`").alias("_ids"))
 
     def run(batches):
-        table, mine = shared.value, wordtok.load(tokenizer) if shared.value is None else None
+        pieces = [pa.array(t, pa.string()) for t in shared.value.values()]
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                lists = [x or [] for x in part.column(part.num_columns - 1).to_pylist()]
-                texts = [" ".join([table[i] for i in x if 0 <= i < len(table)]) for x in lists] if mine is None else [mine.decode(x, skip_special_tokens=False) for x in lists]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*part.schema.names[:-1], "_text"])
+                lists = part.columns[-1]
+                flat = pc.list_flatten(lists)
+                known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces[0])))
+                if not pc.all(known).as_py():
+                    lists = pa.array([[i for i in x or [] if 0 <= i < len(pieces[0])] for x in lists.to_pylist()], lists.type)
+                    flat = pc.list_flatten(lists)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                texts = [pc.binary_join(pa.ListArray.from_arrays(offsets, p.take(flat)), " ") for p in pieces]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *texts], names=[*part.schema.names[:-1], *(f"_t{i}" for i in range(len(texts)))])
+
+    out = picked.mapInArrow(run, T.StructType([*picked.schema.fields[:-1], *(T.StructField(f"_t{i}", T.StringType()) for i in range(len(tables)))]))
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"_t{i}").alias(c) for i, c in enumerate(tables)])
+
+
+def pieces_of(tokenizer: str = wordtok.DEFAULT_TOKENIZER) -> list[str]:
+    """Piece of each id. The file must have no decoder of its own: the library then joins pieces by a space."""
+    if wordtok.spec(tokenizer)["decoder"] is not None:
+        raise ValueError(f"{tokenizer} has a decoder; pieces alone don't give its texts")
+    tok = wordtok.load(tokenizer)
+    return [tok.id_to_token(i) for i in range(tok.get_vocab_size())]
+
 
-    out = picked.mapInArrow(run, T.StructType([*picked.schema.fields[:-1], T.StructField("_text", T.StringType())]))
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], F.col("_text").alias(to))
+def decode(rows: DataFrame, ids: str = "ids", to: str = "decoded", tokenizer: str = wordtok.DEFAULT_TOKENIZER) -> DataFrame:
+    """rows with a text column `to`, the library's decode(ids, skip_special_tokens=False), in place of `ids`."""
+    return join_pieces(rows, ids, {to: pieces_of(tokenizer)})
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text they decode to."""
     coded = encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    texts = decode(coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids"))
-    return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    pieces = pieces_of()
+    texts = join_pieces(coded.withColumn("n_tokens", F.size("ids").cast("long")), "ids", {"decoded": pieces, "numbers": list(map(str, range(len(pieces))))})
+    return texts.select("doc_id", "n_tokens", F.sha2("numbers", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
