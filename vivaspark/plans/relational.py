@@ -152,7 +152,7 @@ def numeric_summary(t):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), six(F.avg("v")).alias("mean"), six(F.stddev_pop("v")).alias("std"), six(F.min("v")).alias("low"), six(F.max("v")).alias("high"))
 
 
-@query("SELECT user_id, episode, count(*) AS turns, min(event_id) AS first_event FROM (SELECT *, sum(ended) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS episode FROM (SELECT *, coalesce(lag((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS ended FROM events)) GROUP BY user_id, episode")
+@query("SELECT user_id, episode, count(*) AS turns, min(event_id) AS first_event FROM (SELECT *, CAST(sum(ended) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS episode FROM (SELECT *, coalesce(lag((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS ended FROM events)) GROUP BY user_id, episode")
 def done_truncation(t):
     """Positional sessions cut after each 'error' event."""
     rows = R.sessionise(t.events, "user_id", ["ts", "event_id"], F.col("event_type") == "error")
