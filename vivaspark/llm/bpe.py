@@ -32,15 +32,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vivaspark.llm import wordtok
-from vivaspark.llm.common import table
+from vivaspark.llm.common import small_batches, table
 
 #: Bytes of text that are split into words at a time.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,6 +53,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK, side="right")))
             yield b.slice(at, end - at)
             at = end
+            pa.default_memory_pool().release_unused()
 
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -70,6 +72,17 @@ def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
 
+def _placed(places: pa.Array, ids: pa.Array) -> pa.Array:
+    """Each place and the ids that belong there, as the bytes of 32-bit numbers."""
+    n = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends = np.cumsum(n)
+    out = np.empty(int(ends[-1]), "<i4")
+    first = np.zeros(len(out), bool)
+    first[ends - n] = True
+    out[first], out[~first] = places.to_numpy(), pc.list_flatten(ids).to_numpy()
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32)), pa.py_buffer(out)])
+
+
 def hot_table(docs: DataFrame, tokenizer: str, most_words: int, most_bytes: int) -> pa.Table:
     """word and ids of the commonest words, commonest first; at most most_words of them and most_bytes of text."""
 
@@ -80,7 +93,7 @@ def hot_table(docs: DataFrame, tokenizer: str, most_words: int, most_bytes: int)
             often = pc.greater_equal(seen.field(1), 2 if b.nbytes > BLOCK // 2 else 1)
             yield pa.RecordBatch.from_arrays([seen.field(0), seen.field(1)], names=["word", "n"]).filter(often)
 
-    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("word <> ''").persist()
+    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("word <> ''").persist(StorageLevel.DISK_ONLY)
     try:
         # Words by size class of their count: a few hundred rows whatever the corpus.
         level = F.floor(F.log2("n") * 8).cast("int")
@@ -143,6 +156,7 @@ def encode(docs: DataFrame, keep: list[str] | None = None, tokenizer: str = word
     Name only what is needed: kept columns cross the shuffle that brings rare
     words back.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
     hot = hot_table(docs, tokenizer, most_words, most_bytes)
     sink = pa.BufferOutputStream()
@@ -150,8 +164,10 @@ def encode(docs: DataFrame, keep: list[str] | None = None, tokenizer: str = word
         to.write_table(hot)
     shared, call = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid4().hex
 
-    name = F.col("`doc_id`").cast("string")
-    keys = [F.xxhash64("text", name).alias("_key"), F.hash(name, "text").alias("_key2")]
+    # Small ids compress well; where there is none, the text's own hash has to tell rows apart.
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    own = F.xxhash64("text", F.col("`doc_id`").cast("string"))
+    keys = [(F.coalesce(F.col("`doc_id`").cast("long"), own) if whole else own).alias("_key"), F.hash("text").alias("_key2")]
     texts = docs.select(*keys, F.col("text").alias("_text"))
     rows = docs.select(*keys, *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
 
@@ -181,7 +197,7 @@ def encode(docs: DataFrame, keep: list[str] | None = None, tokenizer: str = word
                 known = [pa.array([last[1]], pa.list_(pa.int32()))]
             ids = pa.concat_arrays([*known, _encoded(words.slice(len(known)), tok)])
             last = (words[-1].as_py(), ids[-1].as_py())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], ids.take(runs.indices)], names=["_key", "_key2", "place", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:3], _placed(b.column(3), ids.take(runs.indices))], names=["_key", "_key2", "placed"])
 
     def stitch(batches):
         hot, unpack = _hot(call, shared), zstandard.ZstdDecompressor()
@@ -194,22 +210,21 @@ def encode(docs: DataFrame, keep: list[str] | None = None, tokenizer: str = word
                 starts, sizes, values = hot.starts[numbers], hot.sizes[numbers], hot.values
                 holes = np.flatnonzero(numbers == hot.hole)
                 if len(holes):
-                    found = b.columns[-1]
-                    each, flat = pc.list_parent_indices(found).to_numpy(), pc.list_flatten(found)
-                    ids = flat.field("ids")
-                    n = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-                    order = np.lexsort((flat.field("place").to_numpy(), each))
+                    each, flat = pc.list_parent_indices(b.columns[-1]).to_numpy(), pc.list_flatten(b.columns[-1])
+                    n = pc.binary_length(flat).to_numpy(zero_copy_only=False) // 4
+                    found, at_ = np.frombuffer(b"".join(flat.to_pylist()), "<i4"), np.cumsum(n) - n
+                    order = np.lexsort((found[at_], each))
                     if len(order) != len(holes):
                         raise ValueError(f"{len(holes)} words are missing, {len(order)} were found")
-                    starts[holes], sizes[holes] = (np.cumsum(n) - n)[order] + len(values), n[order]
-                    values = np.concatenate([values, pc.list_flatten(ids).to_numpy()])
+                    starts[holes], sizes[holes] = at_[order] + 1 + len(values), n[order] - 1
+                    values = np.concatenate([values, found])
                 offsets = np.concatenate([[0], np.concatenate([[0], np.cumsum(sizes)])[ends]]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(_ragged(values, starts, sizes).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-2], lists], names=[*b.schema.names[:-2], "ids"])
 
     # Rows that share both keys share text and doc_id, so the set of their words' places is that of one.
     found = texts.mapInArrow(missing, "word string, _key long, _key2 int, place int").repartition("word").sortWithinPartitions("word")
-    found = found.mapInArrow(once, "_key long, _key2 int, place int, ids array<int>").groupBy("_key", "_key2").agg(F.collect_set(F.struct("place", "ids")).alias("_found"))
+    found = found.mapInArrow(once, "_key long, _key2 int, placed binary").groupBy("_key", "_key2").agg(F.collect_set("placed").alias("_found"))
     kept = rows.drop("_text").schema
     arrays = rows.mapInArrow(fill, T.StructType([*kept.fields, T.StructField("_packed", T.BinaryType())]))
     joined = arrays.join(found, ["_key", "_key2"], "left").drop("_key", "_key2")

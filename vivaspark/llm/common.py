@@ -37,6 +37,13 @@ def parts_for(df: DataFrame, bytes_in: int, per_part: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(bytes_in) // per_part))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches of texts have at most so many rows, on both sides of the pipe to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def arrow_rows(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[..., Iterator[tuple]]], slice_rows: int = 512) -> DataFrame:
     """Apply a Python function to df's columns, rows in slices, through Arrow.
 
@@ -44,6 +51,8 @@ def arrow_rows(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[
     values; f yields output tuples. Memory is that of slice_rows rows.
     """
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, to = make(), to_arrow_schema(schema)
         for batch in batches:
