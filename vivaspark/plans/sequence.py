@@ -7,7 +7,10 @@ from vivaspark.plans.base import query
 from vivaspark.plans.metrics import six
 
 _ORDER = ["ts", "event_id"]
-_MS = F.unix_micros(F.col("ts").cast("timestamp"))
+
+
+def _us():
+    return F.unix_micros(F.col("ts").cast("timestamp"))
 
 
 @query("""
@@ -47,7 +50,7 @@ m AS (SELECT *, last_value(CASE WHEN below AND NOT coalesce(was, FALSE) THEN at_
 SELECT user_id, started, at_us AS ended, at_us - started AS duration FROM m WHERE NOT below AND was
 """)
 def threshold_crossing(t):
-    return S.crossings(t.events, "user_id", _ORDER, "value", 50, _MS)
+    return S.crossings(t.events, "user_id", _ORDER, "value", 50, _us())
 
 
 @query("""
@@ -55,7 +58,7 @@ WITH r AS (SELECT user_id, count(*) OVER w AS n, (last_value(epoch_us(ts)) OVER
 SELECT user_id, count(*) AS windows, round(stddev_pop(4 / span) / avg(4 / span), 6) AS cv FROM r WHERE n = 4 AND span > 0 GROUP BY user_id
 """)
 def sliding4_cv(t):
-    return six(S.sliding_rate_cv(t.events, "user_id", _ORDER, _MS / 1e6), "cv")
+    return six(S.sliding_rate_cv(t.events, "user_id", _ORDER, _us() / 1e6), "cv")
 
 
 @query("""
