@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vivaspark.plans import belief, metrics, relational, sequence, sources, streams, text  # noqa: F401
+from vivaspark.plans import belief, contracts, metrics, relational, sequence, sources, streams, text  # noqa: F401
 from vivaspark.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
