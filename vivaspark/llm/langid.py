@@ -208,8 +208,12 @@ def train(docs: DataFrame, fold: int | None = 2, folds: int = 4, per_lang: int =
     total = known.count()
     share = min(1.0, 60.0 * per_lang * max(1, len(langs)) / max(1, total))
     ids = known.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.length("text") <= FIT_CHARS)).select("doc_id", "lang").distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id"))
-    chosen = ids.withColumn("k", rank).filter(F.col("k") <= per_lang).select("doc_id", "lang")
+    # First per_lang of each language's salted parts, then of those: a language of most rows is no one task's.
+    order = [F.xxhash64("doc_id", "lang"), F.col("doc_id")]
+    part = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy(*order))
+    first = ids.withColumn("k", part).filter(F.col("k") <= max(8, per_lang // 4)).select("doc_id", "lang")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    chosen = first.withColumn("k", rank).filter(F.col("k") <= per_lang).select("doc_id", "lang")
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id"]).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
