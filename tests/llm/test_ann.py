@@ -27,6 +27,22 @@ def test_beam_is_no_worse_than_greedy():
     assert error(8) < error(1)
 
 
+def test_recall_of_a_full_block_of_noise():
+    """Vectors without any structure are the hardest; the shortlist of a block must hold their neighbours."""
+    x = np.random.default_rng(3).normal(size=(ann.BLOCK, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aq = ann.AdditiveQuantiser.fit(x[: ann.SAMPLE], rounds=4)
+    codes, norms = (np.concatenate(c) for c in zip(*(aq.encode(x[k : k + 1024]) for k in range(0, len(x), 1024))))
+    hits = 0
+    for q in range(0, 100):
+        approx = aq.tables(x[q : q + 1])[0][np.arange(ann.BOOKS)[None, :], codes].sum(1) / np.sqrt(norms)
+        short = set(np.argpartition(-approx, ann.RERANK)[: ann.RERANK])
+        exact = x @ x[q]
+        exact[q] = -9
+        hits += sum(k in short for k in np.argpartition(-exact, 5)[:5])
+    assert hits / 500 >= 0.95
+
+
 def test_recall_and_exact_scores(spark):
     sf = "/root/testdata/sf0.1"
     want = exact(spark.read.parquet(f"{sf}/embeddings.parquet").collect())

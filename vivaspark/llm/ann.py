@@ -10,7 +10,8 @@ A query's inner products with all codewords form a lookup table; a code's score
 is the sum of BOOKS entries over its stored norm, so a block of codes is scored
 by lookups. The best RERANK codes of each block and query are scored exactly,
 with the original vectors in double precision, and the best K of all blocks
-stay. Queries come in blocks of QUERY_BLOCK, broadcast one after the other, so
+stay. A block has at most about BLOCK rows, so recall does not fall as the index
+grows. Queries come in blocks of QUERY_BLOCK, broadcast one after the other, so
 neither side of the search is gathered whole.
 
 Every row is indexed; only the codebooks come from a sample, of at most SAMPLE
@@ -33,10 +34,11 @@ from pyspark.sql import types as T
 
 from vivaspark.llm.common import table
 
-BOOKS, WORDS, BEAM = 8, 64, 4
+BOOKS, WORDS, BEAM = 12, 256, 4
 SAMPLE = 8192
-RERANK = 256
+RERANK = 1024
 QUERY_BLOCK = 4096
+BLOCK = 16_384
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -125,7 +127,7 @@ def encoded(vectors: DataFrame, quantiser: AdditiveQuantiser) -> DataFrame:
     def run(batches):
         aq = AdditiveQuantiser(shared.value)
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
+            for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 2048)
                 x, rows = _matrix(part.column("embedding"), dim)
                 if len(rows):
@@ -169,7 +171,7 @@ def _block_search(index: DataFrame, quantiser: AdditiveQuantiser, ids: np.ndarra
             x = np.array(b.column("embedding").to_pylist(), np.float64)
             held.append((b.column("vec_id").to_numpy(), x, np.array([np.frombuffer(c, np.uint8) for c in b.column("code").to_pylist()]), b.column("norm").to_numpy()))
             size += b.num_rows
-            if size >= 16_384:
+            if size >= BLOCK:
                 yield search(held)
                 held, size = [], 0
         if size:
