@@ -72,19 +72,20 @@ def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
 
-def _placed(places: pa.Array, ids: pa.Array) -> pa.Array:
-    """Each place and the ids that belong there, as the bytes of 32-bit numbers."""
-    n = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    ends = np.cumsum(n)
-    out = np.empty(int(ends[-1]), "<i4")
-    first = np.zeros(len(out), bool)
-    first[ends - n] = True
-    out[first], out[~first] = places.to_numpy(), pc.list_flatten(ids).to_numpy()
-    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32)), pa.py_buffer(out)])
+def _placed(places: pa.Array, ids: pa.Array, kind: str) -> pa.Array:
+    """Each place, in two numbers, and the ids that belong there, as bytes."""
+    n = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+    ends, base = np.cumsum(n), 1 << 16
+    out, at = np.empty(int(ends[-1]), kind), places.to_numpy()
+    own = np.ones(len(out), bool)
+    own[ends - n] = own[ends - n + 1] = False
+    out[ends - n], out[ends - n + 1], out[own] = at % base, at // base, pc.list_flatten(ids).to_numpy()
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.dtype(kind).itemsize * ends]).astype(np.int32)), pa.py_buffer(out)])
 
 
-def hot_table(docs: DataFrame, tokenizer: str, most_words: int, most_bytes: int) -> pa.Table:
-    """word and ids of the commonest words, commonest first; at most most_words of them and most_bytes of text."""
+def hot_table(docs: DataFrame, tokenizer: str, most_words: int, most_bytes: int) -> tuple[pa.Table, int]:
+    """word and ids of the commonest words, commonest first, at most most_words of them and most_bytes of text;
+    and how many words the texts have, about."""
 
     def count(batches):
         for b in _blocks(batches):
@@ -97,7 +98,8 @@ def hot_table(docs: DataFrame, tokenizer: str, most_words: int, most_bytes: int)
     try:
         # Words by size class of their count: a few hundred rows whatever the corpus.
         level = F.floor(F.log2("n") * 8).cast("int")
-        steps = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum(F.octet_length("word")).alias("bytes")).collect()
+        steps = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum(F.octet_length("word")).alias("bytes"), F.sum("n").alias("times")).collect()
+        times = sum(r.times for r in steps)
         words = size = 0
         least = 1 << 30
         for r in sorted(steps, key=lambda r: -r.level):
@@ -112,7 +114,9 @@ def hot_table(docs: DataFrame, tokenizer: str, most_words: int, most_bytes: int)
                 yield pa.RecordBatch.from_arrays([*b.columns, _encoded(b.column(0), tok)], names=["word", "n", "ids"])
 
         table = counts.filter(level >= least).mapInArrow(encode, "word string, n long, ids array<int>").toArrow().combine_chunks()
-        return table.take(np.lexsort((pc.rank(table.column("word")).to_numpy(), -table.column("n").to_numpy()))).select(["word", "ids"]) if table.num_rows else table.select(["word", "ids"])
+        if table.num_rows:
+            table = table.take(np.lexsort((pc.rank(table.column("word")).to_numpy(), -table.column("n").to_numpy())))
+        return table.select(["word", "ids"]), times
     finally:
         counts.unpersist()
 
@@ -158,7 +162,10 @@ def encode(docs: DataFrame, keep: list[str] | None = None, tokenizer: str = word
     """
     small_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
-    hot = hot_table(docs, tokenizer, most_words, most_bytes)
+    hot, times = hot_table(docs, tokenizer, most_words, most_bytes)
+    kind = "<u2" if wordtok.load(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+    # Rare words are about a sixteenth of all. Few partitions keep a text's rare words together, in about 32 MB each.
+    parts = max(8, times // 16 * 40 // (32 << 20))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, hot.schema) as to:
         to.write_table(hot)
@@ -197,7 +204,7 @@ def encode(docs: DataFrame, keep: list[str] | None = None, tokenizer: str = word
                 known = [pa.array([last[1]], pa.list_(pa.int32()))]
             ids = pa.concat_arrays([*known, _encoded(words.slice(len(known)), tok)])
             last = (words[-1].as_py(), ids[-1].as_py())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:3], _placed(b.column(3), ids.take(runs.indices))], names=["_key", "_key2", "placed"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:3], _placed(b.column(3), ids.take(runs.indices), kind)], names=["_key", "_key2", "placed"])
 
     def stitch(batches):
         hot, unpack = _hot(call, shared), zstandard.ZstdDecompressor()
@@ -211,19 +218,19 @@ def encode(docs: DataFrame, keep: list[str] | None = None, tokenizer: str = word
                 holes = np.flatnonzero(numbers == hot.hole)
                 if len(holes):
                     each, flat = pc.list_parent_indices(b.columns[-1]).to_numpy(), pc.list_flatten(b.columns[-1])
-                    n = pc.binary_length(flat).to_numpy(zero_copy_only=False) // 4
-                    found, at_ = np.frombuffer(b"".join(flat.to_pylist()), "<i4"), np.cumsum(n) - n
-                    order = np.lexsort((found[at_], each))
+                    n = pc.binary_length(flat).to_numpy(zero_copy_only=False) // np.dtype(kind).itemsize
+                    found, at_ = np.frombuffer(b"".join(flat.to_pylist()), kind).astype(np.int64), np.cumsum(n) - n
+                    order = np.lexsort((found[at_] + (found[at_ + 1] << 16), each))
                     if len(order) != len(holes):
                         raise ValueError(f"{len(holes)} words are missing, {len(order)} were found")
-                    starts[holes], sizes[holes] = at_[order] + 1 + len(values), n[order] - 1
+                    starts[holes], sizes[holes] = at_[order] + 2 + len(values), n[order] - 2
                     values = np.concatenate([values, found])
                 offsets = np.concatenate([[0], np.concatenate([[0], np.cumsum(sizes)])[ends]]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(_ragged(values, starts, sizes).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-2], lists], names=[*b.schema.names[:-2], "ids"])
 
     # Rows that share both keys share text and doc_id, so the set of their words' places is that of one.
-    found = texts.mapInArrow(missing, "word string, _key long, _key2 int, place int").repartition("word").sortWithinPartitions("word")
+    found = texts.mapInArrow(missing, "word string, _key long, _key2 int, place int").repartition(parts, "word").sortWithinPartitions("word")
     found = found.mapInArrow(once, "_key long, _key2 int, placed binary").groupBy("_key", "_key2").agg(F.collect_set("placed").alias("_found"))
     kept = rows.drop("_text").schema
     arrays = rows.mapInArrow(fill, T.StructType([*kept.fields, T.StructField("_packed", T.BinaryType())]))
