@@ -55,6 +55,7 @@ def test_recall_and_exact_scores(spark):
         rows.sort(key=lambda r: r["rank"])
         assert [r["rank"] for r in rows] == [1, 2, 3, 4, 5]
         assert all(a.score >= b.score for a, b in zip(rows, rows[1:]))
+        assert len({r.vec_id for r in rows}) == 5
         near = dict(want[q])
         hits += sum(r.vec_id in near for r in rows)
         assert all(abs(near[r.vec_id] - r.score) < 1e-12 for r in rows if r.vec_id in near)
@@ -68,3 +69,10 @@ def test_defined_cases(spark):
     got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.search(v, v.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 1, 0.0), (50, 3, 2, 0.0)]
     assert ann.search(v.limit(0), v).count() == 0
+
+
+def test_a_large_batch_is_encoded_once(spark):
+    rows = [(i, np.random.default_rng(i).normal(size=4).tolist()) for i in range(2500)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    aq = ann.train(ann.usable(v))
+    assert sorted(r.vec_id for r in ann.encoded(ann.usable(v), aq).select("vec_id").collect()) == list(range(2500))

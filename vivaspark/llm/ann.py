@@ -128,7 +128,7 @@ def encoded(vectors: DataFrame, quantiser: AdditiveQuantiser) -> DataFrame:
         aq = AdditiveQuantiser(shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 2048)
+                part = b.slice(at, 1024)
                 x, rows = _matrix(part.column("embedding"), dim)
                 if len(rows):
                     codes, norms = aq.encode(x / np.linalg.norm(x, axis=1, keepdims=True))
