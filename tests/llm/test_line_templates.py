@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
+import duckdb
 from oracle import same
 
 from vivaspark.llm import line_templates as lt
@@ -40,3 +41,14 @@ def test_defined_cases(spark):
     assert by[6][1:] == (None, 0, 0) and by[7][1:] == ("", 1, 0)
     assert by[8][3] == by[9][3] == 0
     assert lt.drop_recurring_lines(docs.limit(0)).count() == 0
+
+
+def test_blanks_other_than_spaces_part_tokens(spark, tmp_path):
+    head = "Name\tAge\tCity\tCountry\tPhone\tMail\tJob\tPay"
+    texts = [f"own {i} here\n{head}\n{head.replace(chr(9), b)}\n\tone\ttwo\t\nRead{b}more\n{b}a{b}b{b}c{b}" for i, b in enumerate("\t\x0b\f\r ")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(lt.ORACLE_SQL).fetchall())
+    got = sorted(map(tuple, lt.op9_line_templates(spark, str(tmp_path)).collect()))
+    assert got == want and [r[3] for r in got] == [0, 3, 3, 3, 3]

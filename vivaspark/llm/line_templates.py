@@ -22,6 +22,9 @@ others; an empty table gives an empty table; other columns pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +53,9 @@ def _parsed(lines: DataFrame) -> DataFrame:
 def dropped_places(docs: DataFrame, key: list) -> DataFrame:
     """_id, _key, and the array `_drop` of line numbers that go, for documents that lose any."""
     lines = docs.select(*key, F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    lines = lines.filter(F.size(F.split(F.trim("line"), " ")) >= LEAST_TOKENS)
+    # A cheap test first: too few spaces and no other blank, so too few tokens.
+    other = [F.col("line").contains(c) for c in "\t\x0b\f\r"]
+    lines = lines.filter(reduce(or_, other, F.size(F.split(F.trim("line"), " ")) >= LEAST_TOKENS))
     parsed = _parsed(lines).filter((F.col("tokens") >= LEAST_TOKENS) & ((F.col("fields") == 0) | ((F.col("tokens") - F.col("fields") >= 3) & (F.col("fields") * 2 <= F.col("tokens")))))
     path = [F.xxhash64("tokens", "lead1", "lead2", "template").alias("h1"), F.xxhash64("template", "tokens").alias("h2")]
     leaves = cut(parsed.select("_id", "_key", "place", *path, (F.col("tokens") >= LONG_LINE).alias("long")))
