@@ -76,3 +76,17 @@ def test_a_large_batch_is_encoded_once(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
     aq = ann.train(ann.usable(v))
     assert sorted(r.vec_id for r in ann.encoded(ann.usable(v), aq).select("vec_id").collect()) == list(range(2500))
+
+
+def test_copies_of_one_block_give_the_smallest_ids(spark):
+    """5,000 copies and 2,000 of twice the vector: all of cosine one, far over RERANK."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=8)
+    rows = [(i, v.tolist()) for i in range(1, 5001)] + [(i, (2 * v).tolist()) for i in range(5001, 7001)] + [(i, rng.normal(size=8).tolist()) for i in range(8000, 9500)]
+    rows += [(3, v.tolist())] * 9 + [(40, w) for w in rng.normal(size=(8, 8)).tolist()]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(i), x) for i, x in rows], "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in ann.search(df, df.filter("vec_id IN (3, 2000, 6000)").dropDuplicates(["vec_id"])).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {3: [1, 2, 4, 5, 6], 2000: [1, 2, 3, 3, 3], 6000: [1, 2, 3, 3, 3]}

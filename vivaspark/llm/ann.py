@@ -8,8 +8,10 @@ choices can be revised. With each code goes the squared norm of its sum.
 
 A query's inner products with all codewords form a lookup table; a code's score
 is the sum of BOOKS entries over its stored norm, so a block of codes is scored
-by lookups. The best RERANK codes of each block and query are scored exactly,
-with the original vectors in double precision, and the best K of all blocks
+by lookups. Equal vectors of a block are one code, however many rows they are.
+The best RERANK codes of each block and query, and all that tie with the last
+of them, are scored exactly, with the original vectors in double precision;
+their rows follow, smallest ids first, and the best K of all blocks
 stay. A block has at most about BLOCK rows, so recall does not fall as the index
 grows. Queries come in blocks of QUERY_BLOCK, broadcast one after the other, so
 neither side of the search is gathered whole.
@@ -149,20 +151,37 @@ def _block_search(index: DataFrame, quantiser: AdditiveQuantiser, ids: np.ndarra
 
         def search(block: list[tuple]) -> pa.RecordBatch:
             vec, x, code, norm = (np.concatenate(c) for c in zip(*block))
+            # Equal vectors are searched as one; its members follow by id. No id but the query's own is left out,
+            # so `spare` more than wanted is enough, the most rows of one id.
+            spare = int(np.unique(vec, return_counts=True)[1].max())
+            _, which = np.unique(np.ascontiguousarray(x).view(f"V{x.itemsize * x.shape[1]}").ravel(), return_inverse=True)
+            order = np.lexsort((vec, which))
+            group = which[order]
+            start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            count = np.minimum(np.diff(np.append(start, len(group))), k + spare)
+            vec, one = vec[order], order[start]
+            x, code, norm = x[one], code[one], norm[one]
             length = np.linalg.norm(x, axis=1)
             out: list[tuple] = []
             for at in range(0, len(ids), 128):
                 lut = aq.tables(unit[at : at + 128])
                 approx = sum(lut[:, b, :][:, code[:, b]] for b in range(code.shape[1])) / np.sqrt(np.maximum(norm, 1e-12))
-                approx[ids[at : at + 128, None] == vec[None, :]] = -np.inf
-                m = min(rerank, len(vec))
-                best = np.argpartition(-approx, m - 1, axis=1)[:, :m]
-                for i, rows in enumerate(best):
-                    rows = rows[vec[rows] != ids[at + i]]
+                m = min(rerank + spare, len(x))
+                least = np.partition(approx, len(x) - m, axis=1)[:, len(x) - m]
+                for i in range(len(approx)):
+                    # All that tie with the last are scored exactly too.
+                    rows = np.flatnonzero(approx[i] >= least[i])
                     q = queries[at + i]
                     exact = (x[rows] * q).sum(1) / (length[rows] * np.sqrt((q * q).sum()))
-                    order = np.lexsort((vec[rows], -exact))[:k]
-                    out += [(ids[at + i], vec[rows[j]], exact[j]) for j in order]
+                    if len(rows) > k + spare:
+                        best = exact >= np.partition(exact, -(k + spare))[-(k + spare)]
+                        rows, exact = rows[best], exact[best]
+                    n = count[rows]
+                    member = vec[np.repeat(start[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    score = np.repeat(exact, n)[member != ids[at + i]]
+                    member = member[member != ids[at + i]]
+                    nearest = np.lexsort((member, -score))[:k]
+                    out += [(ids[at + i], member[j], score[j]) for j in nearest]
             cols = list(zip(*out)) or [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
