@@ -65,3 +65,18 @@ def test_held_out_accuracy(spark):
     assert len(got) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     held = [r for r in got if r.held_out and docs[r.doc_id].lang]
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) / len(held) > 0.96
+
+
+def test_rare_and_long_languages_are_learned_from(spark, monkeypatch):
+    """5 documents among 20,000, and a language of long texts only; each gives what it has, up to per_lang."""
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: list(zip(texts, langs)))
+    common = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "if(id % 2 = 0, 'a', 'b') AS lang")
+    rare = [(30_000 + i, f"rare {i}", "c") for i in range(5)] + [(40_000 + i, f"long {i} " * langid.FIT_CHARS, "d") for i in range(3)]
+    rare += [(50_000 + i, "e " * (langid.FIT_CHARS if i < 3 else 1), "e") for i in range(9)]
+    docs = common.union(spark.createDataFrame(rare, "doc_id long, text string, lang string"))
+    got = langid.train(docs, fold=None, per_lang=6)
+    by = {}
+    for text, lang in got:
+        by.setdefault(lang, []).append(text)
+    assert {k: len(v) for k, v in by.items()} == {"a": 6, "b": 6, "c": 5, "d": 3, "e": 6}
+    assert max(len(t) for t, _ in got) == langid.FIT_CHARS and set(by["e"]) == {"e "}

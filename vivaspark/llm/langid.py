@@ -197,24 +197,22 @@ def fit(texts: list[str], langs: list[str], hidden: int = HIDDEN, per_lang: int
 def train(docs: DataFrame, fold: int | None = 2, folds: int = 4, per_lang: int = DOCS) -> Network | None:
     """Fit on at most per_lang texts of each language, none of the held-out fold.
 
-    The choice reads ids and languages only; the texts of the chosen ids follow
-    by a join with them, DOCS rows a language.
+    Every language is ranked by itself, so how many others or how many rows there
+    are changes nothing. Texts of over FIT_CHARS characters come after all others
+    and are read that far. The choice reads ids, languages and lengths only; the
+    texts of the chosen ids follow by a join with them, DOCS rows a language.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if fold is not None:
         known = known.filter(crc_fold("doc_id", folds) != fold)
-    langs = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
-    # A hash cut keeps a small part of the ids first, so the ranking is of few rows whatever the table.
-    total = known.count()
-    share = min(1.0, 60.0 * per_lang * max(1, len(langs)) / max(1, total))
-    ids = known.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.length("text") <= FIT_CHARS)).select("doc_id", "lang").distinct()
+    ids = known.groupBy("doc_id", "lang").agg((F.min(F.length("text")) > FIT_CHARS).alias("long"))
     # First per_lang of each language's salted parts, then of those: a language of most rows is no one task's.
-    order = [F.xxhash64("doc_id", "lang"), F.col("doc_id")]
+    order = [F.col("long"), F.xxhash64("doc_id", "lang"), F.col("doc_id")]
     part = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy(*order))
-    first = ids.withColumn("k", part).filter(F.col("k") <= max(8, per_lang // 4)).select("doc_id", "lang")
+    first = ids.withColumn("k", part).filter(F.col("k") <= max(8, per_lang // 4))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     chosen = first.withColumn("k", rank).filter(F.col("k") <= per_lang).select("doc_id", "lang")
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id"]).toArrow().to_pylist()
+    rows = known.select("doc_id", "lang", F.substring("text", 1, FIT_CHARS).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id"]).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
