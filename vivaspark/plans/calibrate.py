@@ -69,6 +69,14 @@ def checkpoint_restore(t):
     return C.restored(C.checkpoint(rows, "user_id", "event_type"), "user_id", "event_type").select("user_id", "event_type", F.col("n").cast("long").alias("n"))
 
 
+@query("SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS ess FROM events GROUP BY ALL")
+def checkpoint_restore_all(t):
+    """Beliefs of all events survive their JSON form."""
+    e = t.events.groupBy("user_id", "event_type").agg(F.count("*").cast("int").alias("n"), F.sum("value").alias("ess"))
+    rows = e.select("user_id", "event_type", F.array(F.lit(0.2), F.lit(0.8)).alias("p"), "n", "ess")
+    return C.restored(C.checkpoint(rows, "user_id", "event_type"), "user_id", "event_type").select("user_id", "event_type", F.col("n").cast("long").alias("n"), F.round("ess", 4).alias("ess"))
+
+
 @query(r"SELECT doc_id, len(regexp_extract_all(text, 'tion')) AS n, instr(text, 'tion') - 1 AS first, TRUE AS holds FROM documents WHERE contains(text, 'tion')")
 def evidence_spans(t):
     """All places of a pattern; each span's text stands where it says."""
@@ -88,6 +96,12 @@ def next_question_index(t):
     return t.conversations.filter("conv_id = 3").agg(F.coalesce(F.max("turn"), F.lit(0)).cast("long").alias("last_turn"), F.count("*").alias("turns"))
 
 
+@query("SELECT conv_id, CAST(coalesce(max(turn), 0) AS BIGINT) AS last_turn, count(*) AS turns FROM conversations GROUP BY conv_id")
+def next_question_index_all(t):
+    """A48 of every conversation."""
+    return t.conversations.groupBy("conv_id").agg(F.coalesce(F.max("turn"), F.lit(0)).cast("long").alias("last_turn"), F.count("*").alias("turns"))
+
+
 @query("SELECT c_nationkey, c_mktsegment AS domain FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) = 1")
 def mode_alphabetical(t):
     """Commonest, then alphabetical."""

@@ -51,6 +51,17 @@ def pairing_record(t):
     return six(part(0, "a").join(part(1, "b"), "user_id").select("user_id", C.pairing_record(F.col("a"), F.col("b")).alias("r")).select("user_id", "r.*"), "ratio")
 
 
+@query("""
+WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS a FROM events WHERE event_id % 2 = 0 GROUP BY user_id), j AS (SELECT user_id, list_distinct(list(event_type)) AS b FROM events WHERE event_id % 2 = 1 GROUP BY user_id),
+p AS (SELECT user_id, len(list_intersect(a, b)) AS overlap, len(b) AS n FROM s JOIN j USING (user_id))
+SELECT user_id, CAST(overlap AS INTEGER) AS overlap, round(overlap / n, 6) AS ratio, CASE WHEN overlap / n >= 0.5 THEN 'domain_matched' WHEN overlap > 0 THEN 'overlap' ELSE 'disjoint' END AS pairing_class FROM p
+""")
+def pairing_record_all(t):
+    """Pairing over all events, in two halves."""
+    part = lambda k, n: t.events.filter(F.col("event_id") % 2 == k).groupBy("user_id").agg(F.collect_set("event_type").alias(n))
+    return six(part(0, "a").join(part(1, "b"), "user_id").select("user_id", C.pairing_record(F.col("a"), F.col("b")).alias("r")).select("user_id", "r.*"), "ratio")
+
+
 @query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_acctbal > 9000")
 def pool_pairs(t):
     """All supplier and customer pairs of a nation."""
@@ -145,6 +156,12 @@ def turn_listing(t):
     return t.conversations.filter("conv_id < 20").orderBy("conv_id", "turn").select("conv_id", "turn", "role")
 
 
+@query("SELECT conv_id, turn, role FROM conversations")
+def turn_listing_all(t):
+    """Turns of all conversations in order."""
+    return t.conversations.orderBy("conv_id", "turn").select("conv_id", "turn", "role")
+
+
 @query("SELECT user_id, round(avg(100 * (0.5 * least(value / 100, 1) + 0.5)), 2) AS score FROM events GROUP BY user_id")
 def technical_score(t):
     """Mean over skills of a weighted belief."""
