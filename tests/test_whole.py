@@ -1,5 +1,6 @@
 """Queries read their tables whole: brute force over every row."""
 
+from vivaspark.functions import text as X
 from vivaspark.plans import registry
 
 
@@ -28,3 +29,9 @@ def test_components_and_splits_of_every_line(spark, sf):
     for r in rows:
         split.setdefault(r.component, set()).add(r.split)
     assert {r.node: r.component for r in rows} == want and all(len(s) == 1 for s in split.values())
+
+
+def test_a_copy_of_any_earlier_turn_is_found(spark):
+    rows = [(1, 1, "alpha beta gamma"), (1, 3, "delta epsilon zeta"), (1, 5, "alpha beta gamma"), (1, 7, "?"), (2, 1, "delta epsilon zeta")]
+    got = X.history_cosine(spark.createDataFrame(rows, "conv_id long, turn long, text string"), "conv_id", "turn", "text")
+    assert {(r.conv_id, r.turn): round(r.similarity, 9) for r in got.collect()} == {(1, 3): 0.0, (1, 5): 1.0, (1, 7): 0.0}

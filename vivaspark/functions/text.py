@@ -148,6 +148,29 @@ def pair_cosine(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     return df.select(*key).join(sums.select(*key, sim.alias("similarity")), key, "left").na.fill(0.0, ["similarity"])
 
 
+def history_cosine(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """pair_cosine's highest value over all earlier rows of the key, for every row that has any.
+
+    Pairs meet through their shared terms; the weight of the others follows from
+    the rows' own sums, so rows without a shared term never meet.
+    """
+    terms = ngram_counts(df, [key, order], text)
+    total = terms.groupBy(key, order).agg(F.sum(F.col("n") * F.col("n")).alias("sum"))
+    terms = terms.join(total, [key, order])
+    now = terms.select(key, order, "term", F.col("n").alias("x"), F.col("sum").alias("xs"))
+    then = terms.select(key, F.col(order).alias("before"), "term", F.col("n").alias("y"), F.col("sum").alias("ys"))
+    met = now.join(then, [key, "term"]).filter(F.col("before") < F.col(order)).groupBy(key, order, "before")
+    x, y = F.col("x"), F.col("y")
+    sums = met.agg(F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.first("xs").alias("xs"), F.first("ys").alias("ys"))
+    rare = (F.log(F.lit(2.0)) + 1) ** 2
+    norm = lambda own, shared: shared + rare * (own - shared)
+    sim = F.col("xy") / F.sqrt(norm(F.col("xs"), F.col("xx")) * norm(F.col("ys"), F.col("yy")))
+    most = sums.groupBy(key, order).agg(F.max(sim).alias("similarity"))
+    first = df.groupBy(key).agg(F.min(order).alias("_first"))
+    later = df.select(key, order).distinct().join(first, key).filter(F.col(order) > F.col("_first")).drop("_first")
+    return later.join(most, [key, order], "left").na.fill(0.0, ["similarity"])
+
+
 def safe_filename(name: Column) -> Column:
     """F23."""
     return F.substring(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_"), 1, 120)
