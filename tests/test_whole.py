@@ -1,6 +1,7 @@
 """Queries read their tables whole: brute force over every row."""
 
 from vivaspark.functions import text as X
+from vivaspark.operators import calibrate, metrics
 from vivaspark.plans import registry
 
 
@@ -35,3 +36,13 @@ def test_a_copy_of_any_earlier_turn_is_found(spark):
     rows = [(1, 1, "alpha beta gamma"), (1, 3, "delta epsilon zeta"), (1, 5, "alpha beta gamma"), (1, 7, "?"), (2, 1, "delta epsilon zeta")]
     got = X.history_cosine(spark.createDataFrame(rows, "conv_id long, turn long, text string"), "conv_id", "turn", "text")
     assert {(r.conv_id, r.turn): round(r.similarity, 9) for r in got.collect()} == {(1, 3): 0.0, (1, 5): 1.0, (1, 7): 0.0}
+
+
+def test_report_has_every_scope(spark):
+    rows = [(f"s{i:03}" if i else None, k % 3, (k * i) % 3 if k else None) for i in range(70) for k in range(5)]
+    df = spark.createDataFrame(rows, "s string, y int, p int")
+    got = {r.scope: r for r in calibrate.report(df, "y", "p", "s").collect()}
+    assert set(got) == {"None"} | {f"s{i:03}" for i in range(1, 70)}
+    for name in ("None", "s001", "s069"):
+        own = metrics.classification(df.filter("s IS NULL" if name == "None" else f"s = '{name}'"), "y", "p").first()
+        assert got[name].asDict() == own.asDict() | {"scope": name}

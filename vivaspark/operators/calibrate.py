@@ -72,7 +72,10 @@ def rank_candidates(scores: DataFrame) -> DataFrame:
 
 
 def search(df: DataFrame, episode: str, skill: str, order: list[str], truth: DataFrame, stages: list[list[B.BeliefConfig]], least_f1: float) -> DataFrame:
-    """Stages of candidates in order; the first with an eligible one ends the search. A job a stage."""
+    """Stages of candidates in order; the first with an eligible one ends the search. A job a stage.
+
+    Candidates are fixed and scored on all rows: nothing is fitted and no fold is held out.
+    """
     best = None
     for k, stage in enumerate(stages):
         rows = None
@@ -92,11 +95,9 @@ def validated(new: DataFrame, base: DataFrame, slack: float = 0.02) -> bool:
 
 def report(df: DataFrame, truth: str, prediction: str, scope: str) -> DataFrame:
     """One row of metrics a scope value."""
-    out = None
-    for r in df.select(scope).distinct().orderBy(scope).limit(50).collect():
-        m = metrics.classification(df.filter(F.col(scope).eqNullSafe(F.lit(r[0]))), truth, prediction).withColumn("scope", F.lit(str(r[0])))
-        out = m if out is None else out.union(m)
-    return out
+    rows = df.withColumn("_scope", F.coalesce(F.col(scope).cast("string"), F.lit("None")))
+    m = metrics.classification(rows, truth, prediction, ("_scope",))
+    return m.select(*m.columns[1:], F.col("_scope").alias("scope"))
 
 
 def split_summary(df: DataFrame, split: str, truth: str, prediction: str) -> DataFrame:

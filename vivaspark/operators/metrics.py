@@ -21,8 +21,8 @@ def confusion(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     return rows.join(counts, truth, "left").na.fill(0)
 
 
-def classification(df: DataFrame, truth: str, prediction: str) -> DataFrame:
-    """Abstention-aware metrics in one pass over the rows.
+def classification(df: DataFrame, truth: str, prediction: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Abstention-aware metrics in one pass over the rows, for each value of the columns `by`.
 
     Accuracy counts abstentions as wrong, the share of the commonest prediction
     is over classified rows (1 if there are none), and an abstention is two
@@ -33,7 +33,7 @@ def classification(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     cells = [F.count_if((y == a) & (p == b)).alias(f"m{a}{b}") for a in CLASSES for b in CLASSES]
     totals = [F.count_if(y == a).alias(f"t{a}") for a in CLASSES]
     error = F.sum(F.coalesce(F.abs(y - p), F.lit(2))).alias("error")
-    m = df.agg(n, *cells, *totals, F.count(p).alias("classified"), error)
+    m = df.groupBy(*by).agg(n, *cells, *totals, F.count(p).alias("classified"), error)
     hits = F.col("m00") + F.col("m11") + F.col("m22")
     div = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
     guessed = [F.col("m0%d" % c) + F.col("m1%d" % c) + F.col("m2%d" % c) for c in CLASSES]
@@ -42,6 +42,7 @@ def classification(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     f1 = [div(2 * p_ * r_, p_ + r_) for p_, r_ in zip(precision, recall)]
     share = F.when(F.col("classified") == 0, 1.0).otherwise(div(F.greatest(*guessed), F.col("classified")))
     return m.select(
+        *by,
         "n",
         "classified",
         div(F.col("classified"), F.col("n")).alias("coverage"),

@@ -54,7 +54,7 @@ def masked_policy(t):
 
 @query()
 def calibration_search(t):
-    """Staged candidates scored on users' terminal beliefs; the best of the last stage run."""
+    """Staged candidates scored on users' terminal beliefs; the best of the last stage run."""
     truth = t.events.select("user_id").distinct().withColumn("y", (F.col("user_id") % 3).cast("int"))
     base = B.BeliefConfig()
     stages = [[base, C.shrink_scales(B.BeliefConfig(scales=(0.1, 0.2, 0.3)), 0.5)], [B.BeliefConfig(low_bias=x) for x in (0.5, 1.0)]]

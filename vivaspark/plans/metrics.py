@@ -162,7 +162,7 @@ m AS (SELECT low, gap, round(avg((CASE WHEN s < low THEN 0 WHEN s < low + gap TH
 SELECT round(low, 6) AS low, round(gap, 6) AS gap, round(acc, 6) AS accuracy FROM m ORDER BY acc DESC, low, gap LIMIT 1
 """)
 def cv_grid_search(t):
-    """Best of a grid of two thresholds, the first on ties."""
+    """Best of a grid of two thresholds, the first on ties."""
     rows = t.embeddings.select((F.col("label") % 3).alias("y"), (F.get("embedding", F.lit(0)).cast("double") + 0.5).alias("s"))
     grid = t.spark.range(1, 21).select((F.col("id") / 20.0).alias("low")).crossJoin(t.spark.range(1, 16).select((F.col("id") / 15.0).alias("gap")))
     return A.best_of_grid(rows, grid)
