@@ -1,4 +1,4 @@
-"""Line dedup by a log-template tree, in DataFrame functions only.
+"""Line dedup by masked lines, in DataFrame functions only.
 
 Every line is parsed to a fixed depth: its token count, its two leading tokens,
 then its template, the tokens with variable fields (any token with a digit, an
@@ -10,6 +10,9 @@ A template recurs when it stands in at least 2 documents if it has LONG_LINE
 tokens or more, in SHORT_DOCS if it has fewer. Lines under 3 tokens, and
 templates with fewer than 3 fixed tokens or more fields than fixed tokens, stay.
 
+Templates match exactly: no place becomes a field because its words vary, so the
+tree path adds nothing to the template it is hashed with.
+
 Only 128-bit template digests and positions are shuffled for the counts, with
 partial aggregation first, so a line of millions of documents costs a row a
 task. Texts cross one shuffle, by their row key, to meet their dropped places.
