@@ -1,9 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vivaspark.operators import belief as B
+from vivaspark.operators import calibrate as C
 from vivaspark.operators import rollout as O
 
 
@@ -55,14 +58,46 @@ def test_rollouts_repeat_and_are_legal(spark):
     rows = a.collect()
     assert len(rows) == 36 and sorted(map(str, rows)) == sorted(map(str, a.repartition(5).collect()))
     assert all(r.turns <= 30 and r.skills_covered <= 7 for r in rows)
+    one = spark.createDataFrame([(0.2, 42, "episode-0-0", 3, O.ACTIONS[4], "s1")], "m double, seed long, e string, t int, a string, s string")
+    x = one.select(O.evidence(F.col("m"), F.lit(0.16), F.lit(0.1), F.lit(0.0), *map(F.col, ("seed", "e", "t", "a", "s"))).alias("x")).first().x
+    assert abs(x - (0.2 + O._jitters([f"42|episode-0-0|3|{O.ACTIONS[4]}|s1"])[0] * 0.16 + O._jitters(["bias|42"])[0] * 0.1 + 0.025)) < 1e-12
     script = [r for r in rows if r.policy == "fixed_script"]
     assert script and all(r.turns >= 10 for r in script if r.termination_reason == "explicit_conclusion")
 
 
-def test_episode_equals_fold():
-    e = O.Episode(["x"], B.BeliefConfig())
+def test_episodes_equal_the_fold():
+    e = O.Episodes(2, ["x", "y"], B.BeliefConfig())
     rows = [(0.2, 1.0, None), (0.7, 0.5, None), (0.4, 1.0, None)] * 4
     for s, r, _ in rows:
-        e.observe("x", s, r)
+        e.observe(np.array([1]), np.array([0]), np.array([s]), r)
     p, n, ess = plain(rows, B.BeliefConfig())
-    assert e.n["x"] == n and abs(e.ess["x"] - ess) < 1e-12 and all(abs(a - b) < 1e-12 for a, b in zip(e.p["x"], p))
+    assert e.n.tolist() == [[0, 0], [n, 0]] and abs(e.ess[1, 0] - ess) < 1e-12 and np.abs(e.p[1, 0] - p).max() < 1e-12
+    assert np.abs(e.p[0] - 1 / 3).max() < 1e-12
+
+
+def test_rules_take_the_first_legal_action():
+    legal = np.array([[1, 1, 0, 1, 1, 1, 1, 0], [0, 1, 0, 0, 1, 1, 1, 1], [1, 1, 1, 1, 1, 1, 1, 1]], bool)
+    state = {"turn": np.array([0, 10, 13]), "seed": np.array([1, 2, 3]), "entropy": np.array([0.2, 0.2, 0.9]), "coverage": np.array([0.6, 0.4, 0.9]), "ability": np.array([0.9, 0.1, 0.5]), "skill_entropy": np.array([0.3, 0.9, 0.9])}
+    assert O.POLICIES["fixed_script"](state, legal).tolist() == [4, 7, 7]
+    assert O.POLICIES["rule_adaptive"](state, legal).tolist() == [0, 4, 2]
+    assert O.POLICIES["uncertainty_greedy"](state, legal).tolist() == [4, 7, 3]
+    assert all(legal[i, a] for i, a in enumerate(O.POLICIES["random_valid"](state, legal)))
+
+
+def test_replay_equals_a_plain_loop(spark):
+    rng = random.Random(4)
+    rows = [(u, i, rng.choice("xyz"), rng.choice([None, 0.1, 0.6, 0.9]), i == u * 4) for u in range(1, 5) for i in range(14)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "u long, i long, s string, score double, stop boolean")
+    got = {(r.episode, r.turn): r for r in C.replay(df, "u", "i", "s", "score", "stop").collect()}
+    c, k = B.BeliefConfig(), 0
+    for u in range(1, 5):
+        seen = {}
+        for _, i, s, score, _ in [x for x in rows if x[0] == u and x[1] <= u * 4]:
+            r, before = got[u, i], seen.get(s, [])
+            seen[s] = [*before, (score, 1.0, None)] if score is not None else before
+            assert abs(r.evidence - (plain(seen[s], c)[2] - plain(before, c)[2])) < 1e-9 and r.done == (i == min(u * 4, 13))
+            h = lambda x: -sum(q * math.log(q + 1e-12) for q in plain(x, c)[0])
+            gain = max(0.0, h(before) - h(seen[s])) * r.evidence
+            assert abs(r.gain - gain) < 1e-9 and abs(r.reward - (1.5 * gain + 0.5 * (not before) - 0.1 - 0.05 * min(len([x for x in before if plain([x], c)[1]]), 3))) < 1e-9
+            k += 1
+    assert k == len(got)

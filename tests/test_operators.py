@@ -12,26 +12,37 @@ from vivaspark.operators import sequence as S
 from vivaspark.sources import readers, writers
 
 
-def test_metrics_vector_of_87(spark):
-    truth = [0] * 15 + [1] * 35 + [2] * 23 + [0] * 12 + [2] * 2
-    said = [0] * 3 + [1] * 12 + [1] * 35 + [1] * 4 + [2] * 19 + [None] * 14
-    df = spark.createDataFrame(list(zip(truth, said)), "y int, p int")
+def test_metrics_of_a_hand_worked_table(spark):
+    """Ten answers: per class 2 of 3, 1 of 4 and 2 of 3 are right; two abstain."""
+    pairs = [(0, 0), (0, 0), (0, 1), (1, 1), (1, 0), (1, 2), (1, None), (2, 2), (2, 2), (2, None)]
+    df = spark.createDataFrame(pairs, "y int, p int")
     m = M.classification(df, "y", "p").first()
-    assert (m.n, m.classified) == (87, 73) and abs(m.max_share - 51 / 73) < 1e-12
+    assert (m.n, m.classified) == (10, 8) and abs(m.max_share - 3 / 8) < 1e-12 and abs(m.accuracy - 0.5) < 1e-12
     rows = {r.y: r for r in M.confusion(df, "y", "p").collect()}
-    assert [sum((rows[c].pred_0, rows[c].pred_1, rows[c].pred_2, rows[c].abstained)) for c in range(3)] == [27, 35, 25]
-    assert (rows[0].abstained, rows[1].abstained, rows[2].abstained) == (12, 0, 2)
+    assert [(rows[c].pred_0, rows[c].pred_1, rows[c].pred_2, rows[c].abstained) for c in range(3)] == [(2, 1, 0, 0), (1, 1, 1, 1), (0, 0, 2, 1)]
     none = M.classification(df.withColumn("p", F.lit(None).cast("int")), "y", "p").first()
     assert none.max_share == 1.0 and none.accuracy == 0 and none.ordinal_mae == 2
 
 
-def test_reading_sweep_and_wandering(spark):
-    yaw, ms = [-15 + 3.33 * i for i in range(10)], [350.0 * i for i in range(10)]
-    found = U.find_sweeps(yaw, [-2 + 0.2 * i for i in range(10)], ms)
-    assert len(found) == 1 and found[0][2] == 3150.0 and found[0][4] == "left_to_right"
-    assert U.find_sweeps(yaw, [(-1) ** i * 9.0 for i in range(10)], ms) == []
-    assert U.find_sweeps([0.0, 9.0, -9.0, 9.0, -9.0], [0.0] * 5, [0.0, 500.0, 1000.0, 1500.0, 2000.0]) == []
-    assert U.find_sweeps([], [], []) == [] and U.find_sweeps([1.0], [0.0], [0.0]) == []
+def sweeps_of(spark, yaw, pitch, every):
+    """(start, end, direction) of the sweeps of one turn, a frame each `every` ms."""
+    frames = [(k * every, float(y), float(p)) for k, (y, p) in enumerate(zip(yaw, pitch))]
+    df = spark.createDataFrame([(frames,)], "frames array<struct<ms:double,yaw:double,pitch:double>>")
+    found = df.select(U.sweeps(F.col("frames")).alias("s"), U.note_reading(U.sweeps(F.col("frames")), F.lit(4000.0)).alias("c")).first()
+    return [(x.start_ms, x.end_ms, x.direction) for x in found.s], found.c
+
+
+def test_sweeps_follow_steady_movement(spark):
+    there, back = [3 * k for k in range(6)], [15 - 4 * k for k in range(1, 6)]
+    level = [0] * 11
+    # Two steps back of seven are over a quarter, so the way to the right ends at the frame before the second.
+    found, sure = sweeps_of(spark, there + back, level, 500.0)
+    assert found == [(0.0, 3000.0, "left_to_right"), (3000.0, 5000.0, "right_to_left")]
+    assert abs(sure - (0.4 * 3000 / 4000 + 0.35 + 0.25 * 2 / 3)) < 1e-9
+    assert sweeps_of(spark, there, [6 * (k % 2) * 2 for k in range(6)], 500.0) == ([], 0.0)  # the head nods too much
+    assert sweeps_of(spark, there, level[:6], 100.0) == ([], 0.0)  # too short
+    assert sweeps_of(spark, [0.1 * k for k in range(6)], level[:6], 500.0) == ([], 0.0)  # hardly any movement
+    assert sweeps_of(spark, [], [], 1.0) == ([], 0.0) and sweeps_of(spark, [3], [0], 1.0) == ([], 0.0)
 
 
 def test_even_delivery_has_low_variation(spark):

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vivaspark.operators import audit, metrics
 from vivaspark.operators import belief as B
-from vivaspark.operators.rollout import Episode
+from vivaspark.operators.rollout import Episodes
 
 
 def replay_evidence(valid: Column, score: Column, stop: Column) -> Column:
@@ -27,31 +29,46 @@ def owned(owner: Column, me: str, deleted: Column) -> Column:
 def replay(df: DataFrame, episode: str, order: str, skill: str, score: str, done: str, c: B.BeliefConfig = B.BeliefConfig()) -> DataFrame:
     """Each turn's certainty before and after, its gain, reward and legality of ending.
 
-    Needs state across skills, so an episode (at most 30 turns or so) is one unit
-    of work. Rows after the first done are dropped; the last row left is done.
+    Rows after an episode's first done are dropped before its turns are gathered,
+    so what is gathered is an episode; the last row left is done. The episodes of
+    an Arrow batch then advance together, a turn at a time.
     """
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, e, out = rows.sort_values(order), Episode([], c), []
-        for at, s, x, end in zip(rows[order], rows[skill], rows[score], rows[done]):
-            if s not in e.p:
-                e.skills.append(s)
-                e.p[s], e.n[s], e.ess[s] = list(c.prior), 0, 0.0
-            before, first, visits, ess = _certainty(e), not e.n[s], e.n[s], e.ess[s]
-            gain = 0.0 if x is None or math.isnan(x) else e.observe(s, float(x), 1.0)
-            reward = 1.5 * gain + 0.5 * first - 0.1 - 0.05 * min(visits, 3)
-            out.append([key[0], int(at), s, before, _certainty(e), e.ess[s] - ess, gain, reward, len(out) >= 10 and e.covered() >= min(5, c.least_coverage + 2), bool(end)])
-            if end:
-                break
-        out[-1][-1] = True
-        return pd.DataFrame(out, columns=["episode", "turn", "skill", "entropy_before", "entropy_after", "evidence", "gain", "reward", "may_conclude", "done"])
+    first = df.filter(F.col(done)).groupBy(F.col(episode).alias("_e")).agg(F.min(order).alias("_end"))
+    own = df.select(episode, order, skill, score, done).join(first, F.col(episode).eqNullSafe(F.col("_e")), "left").filter(F.col("_end").isNull() | (F.col(order) <= F.col("_end")))
+    turns = F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("at"), F.col(skill).alias("skill"), F.col(score).cast("double").alias("score"), F.coalesce(done, F.lit(False)).alias("done"))))
+    whole = own.groupBy(F.col(episode).alias("episode")).agg(turns.alias("turns"))
+    whole = whole.select("episode", F.col("turns.at").alias("at"), F.col("turns.skill").alias("skill"), F.col("turns.score").alias("score"), F.col("turns.done").alias("done"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if not len(f):
+                continue
+            names = sorted({s for row in f["skill"] for s in row}, key=str)
+            place = {s: k for k, s in enumerate(names)}
+            length = f["at"].map(len).to_numpy()
+            e, out = Episodes(len(f), [str(s) for s in names], c), []
+            for turn in range(int(length.max())):
+                who = np.flatnonzero(length > turn)
+                column = lambda name: [f[name].iat[i][turn] for i in who]  # noqa: B023, E731
+                k = np.array([place[s] for s in column("skill")])
+                x = np.array(column("score"), float)
+                before, visits, ess, known = certainty(e)[who], e.n[who, k], e.ess[who, k], np.isfinite(x)
+                gain = np.zeros(len(who))
+                gain[known] = e.observe(who[known], k[known], x[known], 1.0)
+                reward = 1.5 * gain + 0.5 * (visits == 0) - 0.1 - 0.05 * np.minimum(visits, 3)
+                may = (turn >= 10) & (e.covered()[who] >= min(5, c.least_coverage + 2))
+                end = np.array(column("done"), bool) | (length[who] == turn + 1)
+                out.append(pd.DataFrame({"episode": f["episode"].to_numpy()[who], "turn": column("at"), "skill": column("skill"), "entropy_before": before, "entropy_after": certainty(e)[who], "evidence": e.ess[who, k] - ess, "gain": gain, "reward": reward, "may_conclude": may, "done": end}))
+            yield pd.concat(out, ignore_index=True)
 
     kind = df.schema[episode].dataType.simpleString()
-    return df.select(episode, order, skill, score, done).groupBy(episode).applyInPandas(run, f"episode {kind}, turn long, skill string, entropy_before double, entropy_after double, evidence double, gain double, reward double, may_conclude boolean, done boolean")
+    return whole.mapInPandas(run, f"episode {kind}, turn long, skill string, entropy_before double, entropy_after double, evidence double, gain double, reward double, may_conclude boolean, done boolean")
 
 
-def _certainty(e: Episode) -> float:
-    return -sum(p * math.log(p + 1e-12) for p in e.pool())
+def certainty(e: Episodes) -> np.ndarray:
+    """Entropy of each episode's pooled distribution."""
+    p = e.pool()
+    return -(p * np.log(p + 1e-12)).sum(1)
 
 
 def shrink_scales(c: B.BeliefConfig, alpha: float) -> B.BeliefConfig:

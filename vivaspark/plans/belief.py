@@ -97,22 +97,62 @@ def fusion_attention(t):
     return out.select("vec_id", *[F.round(f"w_{m}", 6).alias(m) for m in ("text", "vision", "prosody")])
 
 
-@query()
-def gaze_sweeps(t):
-    """W07 over events as frames: yaw from value, pitch from the id; one unit of work a user."""
-    frames = t.events.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ms"), "event_id", (F.col("value") / 5).alias("yaw"), ((F.col("event_id") % 7) * 0.5).alias("pitch"))
+_FRAMES = "SELECT user_id, CAST(ts AS DATE) AS day, epoch_us(ts) / 1000.0::DOUBLE AS ms, value / 5 AS yaw, (event_id % 7) * 0.5::DOUBLE AS pitch, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS i FROM events"
+#: The fold over frames, a row a frame: the open segment after it, and the segment that it closed.
+_SWEEPS = f"""
+WITH RECURSIVE f AS ({_FRAMES}), n AS (SELECT user_id, day, max(i) AS n, max(ms) - min(ms) AS turn FROM f GROUP BY ALL),
+s AS (
+  SELECT user_id, day, i, 0 AS steps, 0 AS way, 0 AS back, ms AS ms0, yaw AS yaw0, pitch AS low, pitch AS high, ms, yaw, pitch, 0 AS cway, ms AS cms0, ms AS cms1, 0::DOUBLE AS cwidth, 0::DOUBLE AS cpitch FROM f WHERE i = 1
+  UNION ALL
+  SELECT user_id, day, i, CASE WHEN breaks THEN 1 ELSE steps + 1 END, CASE WHEN breaks OR way = 0 THEN goes ELSE way END, CASE WHEN breaks THEN 0 ELSE backs END, CASE WHEN breaks THEN pms ELSE ms0 END, CASE WHEN breaks THEN pyaw ELSE yaw0 END,
+    CASE WHEN breaks THEN least(ppitch, pitch) ELSE least(low, pitch) END, CASE WHEN breaks THEN greatest(ppitch, pitch) ELSE greatest(high, pitch) END, ms, yaw, pitch,
+    CASE WHEN breaks THEN way ELSE 0 END, ms0, pms, abs(pyaw - yaw0), high - low
+  FROM (SELECT *, way <> 0 AND backs::DOUBLE / (steps + 1) > 0.25 AS breaks FROM (
+    SELECT f.user_id, f.day, f.i, s.steps, s.way, s.ms0, s.yaw0, s.low, s.high, s.ms AS pms, s.yaw AS pyaw, s.pitch AS ppitch, f.ms, f.yaw, f.pitch, (f.yaw - s.yaw > 0.5)::INT - (f.yaw - s.yaw < -0.5)::INT AS goes, s.back + (s.way <> 0 AND s.way * (f.yaw - s.yaw) < -3)::INT AS backs
+    FROM s JOIN f ON f.user_id = s.user_id AND f.day = s.day AND f.i = s.i + 1))
+),
+c AS (SELECT user_id, day, cway AS way, cms0 AS a, cms1 AS b, cwidth AS width, cpitch AS p FROM s UNION ALL SELECT s.user_id, s.day, way, ms0, ms, abs(yaw - yaw0), high - low FROM s JOIN n ON n.user_id = s.user_id AND n.day = s.day AND s.i = n.n),
+g AS (SELECT * FROM c WHERE way <> 0 AND b - a >= 2000 AND width >= 8 AND p <= 10)
+"""
+
+
+def _sweeps(t):
+    """A user's day is one turn of frames: yaw from value, pitch from the id."""
+    ts = F.col("ts").cast("timestamp")
+    frame = F.struct((F.unix_micros(ts) / 1000).alias("ms"), "event_id", (F.col("value") / 5).alias("yaw"), ((F.col("event_id") % 7) * 0.5).alias("pitch"))
+    days = t.events.groupBy("user_id", ts.cast("date").alias("day")).agg(F.sort_array(F.collect_list(frame)).alias("frames"))
+    return days.select("user_id", "day", U.sweeps(F.col("frames")).alias("found"), (F.element_at("frames", -1).ms - F.get("frames", F.lit(0)).ms).alias("turn_ms"), F.size("frames").alias("n"))
 
-    def run(key, pdf):
-        import pandas as pd
 
-        p = pdf.sort_values(["ms", "event_id"])
-        found = U.find_sweeps(p["yaw"].tolist(), p["pitch"].tolist(), p["ms"].tolist())
-        return pd.DataFrame([(key[0], *x) for x in found], columns=["user_id", "start_ms", "end_ms", "duration_ms", "yaw_range", "direction"])
+@query(_SWEEPS + "SELECT user_id, day, round(a, 3) AS start_ms, round(b - a, 3) AS duration_ms, round(width, 6) AS yaw_range, CASE WHEN way > 0 THEN 'left_to_right' ELSE 'right_to_left' END AS direction FROM g")
+def gaze_sweeps(t):
+    """W07."""
+    one = _sweeps(t).select("user_id", "day", F.explode("found").alias("s"))
+    return one.select("user_id", "day", F.round("s.start_ms", 3).alias("start_ms"), F.round("s.duration_ms", 3).alias("duration_ms"), F.round("s.yaw_range", 6).alias("yaw_range"), "s.direction")
+
 
-    return frames.groupBy("user_id").applyInPandas(run, U.sweeps_schema("user_id long"))
+@query(_SWEEPS + ", k AS (SELECT user_id, day, max(b - a) AS longest, sum(b - a) AS spent, count(*) AS sweeps FROM g GROUP BY ALL) SELECT n.user_id, n.day, coalesce(sweeps, 0) AS sweeps, round(CASE WHEN sweeps IS NULL THEN 0 ELSE 0.4 * least(longest / 4000, 1) + 0.35 * least(spent / greatest(turn, 1), 1) + 0.25 * least(sweeps / 3.0, 1) END::DOUBLE, 6) AS confidence FROM n LEFT JOIN k ON k.user_id = n.user_id AND k.day = n.day WHERE n.n >= 3")
+def note_reading(t):
+    """F55 of every turn with three frames or more."""
+    return _sweeps(t).filter("n >= 3").select("user_id", "day", F.size("found").cast("long").alias("sweeps"), F.round(U.note_reading(F.col("found"), F.col("turn_ms")), 6).alias("confidence"))
 
 
 @query()
 def policy_rollouts(t):
     """Every policy on matched scenarios of every condition."""
     return O.rollouts(t.spark, O.POLICIES, O.CONDITIONS, 5, [f"skill_{k}" for k in range(8)])
+
+
+@query(f"""
+WITH e AS (SELECT event_id, event_id % 3 AS label, event_id % 30 AS turn, CASE event_id % 4 WHEN 0 THEN '{O.ACTIONS[2]}' WHEN 1 THEN '{O.ACTIONS[4]}' ELSE '{O.ACTIONS[3]}' END AS action, event_type, user_id FROM events),
+j AS (SELECT *, (('0x' || substr(sha256(concat_ws('|', user_id, 'episode-' || user_id, turn, action, event_type)), 1, 16))::UBIGINT % 2001)::DOUBLE / 2000 - 0.5 AS own, (('0x' || substr(sha256('bias|' || user_id), 1, 16))::UBIGINT % 2001)::DOUBLE / 2000 - 0.5 AS bias FROM e)
+SELECT event_id, round(own, 6) AS jitter, round(least(1, greatest(0, CASE label WHEN 0 THEN 0.38 WHEN 1 THEN 0.5 ELSE 0.62 END::DOUBLE + own * 0.5 + bias * 0.24 + CASE WHEN event_id % 4 < 2 THEN 0.025 ELSE 0 END)), 6) AS score FROM j
+""")
+def scenario_evidence(t):
+    """Scores of the overlap condition, each event a question of its user's scenario."""
+    c, k = O.CONDITIONS["overlap"], F.col("event_id") % 4
+    action = F.when(k == 0, O.ACTIONS[2]).when(k == 1, O.ACTIONS[4]).otherwise(O.ACTIONS[3])
+    rows = t.events.select("event_id", "event_type", "user_id", F.concat(F.lit("episode-"), F.col("user_id").cast("string")).alias("episode"), (F.col("event_id") % 30).alias("turn"), action.alias("action"), F.get(F.array(*map(F.lit, c.centres)), (F.col("event_id") % 3).cast("int")).alias("centre"))
+    token = F.concat_ws("|", F.col("user_id").cast("string"), "episode", F.col("turn").cast("string"), "action", "event_type")
+    score = O.evidence(F.col("centre"), F.lit(c.jitter), F.lit(c.bias_width), F.lit(c.shift), F.col("user_id"), F.col("episode"), F.col("turn"), F.col("action"), F.col("event_type"))
+    return rows.select("event_id", F.round(O.jitter(token), 6).alias("jitter"), F.round(score, 6).alias("score"))

@@ -14,7 +14,7 @@ def _events(t):
 @query("SELECT user_id, CAST(round(value) AS BIGINT) AS submission, count(*) AS kept FROM (SELECT DISTINCT user_id, round(value) AS value FROM events) GROUP BY ALL")
 def stream_dedupe(t):
     rows = _events(t).select("user_id", F.round("value").cast("long").alias("submission"), "ts")
-    out = L.drain(L.deduplicated(rows, ["user_id", "submission"], "ts", "3650 days"))
+    out = L.drain(L.deduplicated(rows, ["user_id", "submission"], "ts", "31 days"))
     return out.groupBy("user_id", "submission").agg(F.count("*").alias("kept"))
 
 
@@ -43,8 +43,8 @@ FROM (SELECT t.user_id, t.event_type, t.i, t.s, b.p0, b.p1, b.p2, b.ess, least(1
 SELECT user_id, event_type, round(p0, 6) AS p0, round(p2, 6) AS p2, round(ess, 6) AS ess FROM b QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY i DESC) = 1
 """)
 def stream_belief(t):
-    rows = _events(t).select("user_id", "event_type", "event_id", "ts", F.least(F.col("value") / 100, F.lit(1.0)).alias("score"))
-    out = L.drain(L.beliefs(rows.withColumn("ord", F.struct("ts", "event_id").ts), "user_id", "event_type", "score", "ord"), "update")
+    rows = _events(t).select("user_id", "event_type", "ts", F.least(F.col("value") / 100, F.lit(1.0)).alias("score"))
+    out = L.drain(L.beliefs(rows, "user_id", "event_type", "score", "ts"), "update")
     last = out.groupBy("user_id", "event_type").agg(F.max_by(F.struct("p0", "p2", "ess"), "batch").alias("x")).select("user_id", "event_type", "x.*")
     return six(last, "p0", "p2", "ess")
 

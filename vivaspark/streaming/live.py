@@ -1,7 +1,9 @@
 """Keyed state over live streams, with batch twins.
 
 Every query here also has a batch form in `operators`; with availableNow a
-stream over the same files ends with the same rows. Watermarks bound state.
+stream over the same files ends with the same rows. State is bounded: by the
+watermark where Spark keeps it, and by an event-time timeout where a key's own
+state is kept, which drops a key that has been idle for so long.
 """
 
 from __future__ import annotations
@@ -9,13 +11,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vivaspark.operators.belief import BeliefConfig
-from vivaspark.operators.rollout import Episode
+from vivaspark.operators.rollout import Episodes
+from vivaspark.session import shared_folder
 
 
 def read(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -32,13 +36,7 @@ def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     results keep each batch apart by its id: the last row of a key counts.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or (sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
-    if root is None:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="viva-")
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
     if mode == "append":
         q = writer.format("parquet").option("path", f"{at}/rows").start()
@@ -65,43 +63,54 @@ def sessions(stream: DataFrame, at: str, lateness: str, gap: str, key: str) -> D
     return stream.withWatermark(at, lateness).groupBy(w.alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
-def beliefs(stream: DataFrame, key: str, skill: str, score: str, order: str, c: BeliefConfig = BeliefConfig()) -> DataFrame:
+def beliefs(stream: DataFrame, key: str, skill: str, score: str, order: str, lateness: str = "1 hour", idle_ms: int = 90 * 86_400_000, c: BeliefConfig = BeliefConfig()) -> DataFrame:
     """A key's beliefs by skill, kept in state and sent out after each of its batches.
 
-    Rows of one batch are taken in the given order; across batches order is that
-    of arrival. Output: key, skill, p0, p1, p2, n, ess, of skills the batch moved.
+    Rows of one batch are taken in the order of the timestamp `order`; across
+    batches order is that of arrival. A key's state goes idle_ms after its last
+    event. Output: key, skill, p0, p1, p2, n, ess, of skills the batch moved.
     """
     out = f"{key} long, {skill} string, p0 double, p1 double, p2 double, n long, ess double"
-    state = "skills array<string>, p array<array<double>>, n array<long>, ess array<double>"
+    state = "skills array<string>, p array<array<double>>, n array<long>, ess array<double>, last long"
 
     def update(k, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        e = Episode([], c)
-        if held.exists:
-            names, p, n, ess = held.get
-            e.skills = list(names)
-            e.p, e.n, e.ess = dict(zip(names, map(list, p))), dict(zip(names, n)), dict(zip(names, ess))
-        rows, moved = pd.concat(list(frames)).sort_values(order), set()
-        for s, x in zip(rows[skill], rows[score]):
-            if s not in e.p:
-                e.skills.append(s)
-                e.p[s], e.n[s], e.ess[s] = list(c.prior), 0, 0.0
-            e.observe(s, float(x), 1.0)
-            moved.add(s)
-        held.update((e.skills, [e.p[s] for s in e.skills], [e.n[s] for s in e.skills], [e.ess[s] for s in e.skills]))
-        yield pd.DataFrame([(k[0], s, *e.p[s], e.n[s], e.ess[s]) for s in sorted(moved)], columns=[key, skill, "p0", "p1", "p2", "n", "ess"])
-
-    return stream.groupBy(key).applyInPandasWithState(update, out, state, "update", GroupStateTimeout.NoTimeout)
-
-
-def leases(stream: DataFrame, session: str, owner: str, at_ms: str, ttl_ms: int = 45_000) -> DataFrame:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        old = held.get if held.exists else ([], [], [], [], 0)
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        names = [*old[0], *sorted(set(rows[skill]) - set(old[0]))]
+        e, known = Episodes(1, names, c), len(old[0])
+        if known:
+            e.p[0, :known], e.n[0, :known], e.ess[0, :known] = np.array([list(x) for x in old[1]]), old[2], old[3]
+        place = rows[skill].map({s: i for i, s in enumerate(names)}).to_numpy()
+        values, turn = rows[score].to_numpy(float), rows.groupby(skill).cumcount().to_numpy()
+        # Skills don't touch each other: the j-th rows of all of them go together.
+        for j in range(int(turn.max()) + 1):
+            own = turn == j
+            e.observe(np.zeros(int(own.sum()), int), place[own], values[own], 1.0)
+        last = max(old[4], int(rows[order].max().timestamp() * 1000))
+        held.update((names, e.p[0].tolist(), e.n[0].tolist(), e.ess[0].tolist(), last))
+        held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + idle_ms)
+        moved = sorted(set(place))
+        yield pd.DataFrame([(k[0], names[i], *e.p[0, i], e.n[0, i], e.ess[0, i]) for i in moved], columns=[key, skill, "p0", "p1", "p2", "n", "ess"])
+
+    return stream.withWatermark(order, lateness).groupBy(key).applyInPandasWithState(update, out, state, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def leases(stream: DataFrame, session: str, owner: str, at_ms: str, ttl_ms: int = 45_000, lateness: str = "1 hour") -> DataFrame:
     """One writer a session. A heartbeat renews its owner's lease, another owner takes it over only
-    once it has run out, with the next epoch; rows older than what was seen are stale.
+    once it has run out, with the next epoch; rows older than what was seen are stale. A session's state goes once
+    its lease has run out for all rows that can still come.
 
     Output: a row a heartbeat with its decision (renewed, taken, refused, stale) and the epoch in force.
     """
     out = f"{session} long, {owner} string, {at_ms} long, decision string, epoch long"
 
     def update(k, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         holder, until, epoch, seen = held.get if held.exists else ("", -1, 0, -1)
         rows = []
         for who, at in pd.concat(list(frames)).sort_values([at_ms, owner])[[owner, at_ms]].itertuples(index=False):
@@ -117,6 +126,8 @@ def leases(stream: DataFrame, session: str, owner: str, at_ms: str, ttl_ms: int
                 decision = "refused"
             rows.append((k[0], who, at, decision, epoch))
         held.update((holder, int(until), int(epoch), int(seen)))
+        held.setTimeoutTimestamp(max(int(until), held.getCurrentWatermarkMs()) + ttl_ms)
         yield pd.DataFrame(rows, columns=[session, owner, at_ms, "decision", "epoch"])
 
-    return stream.groupBy(session).applyInPandasWithState(update, out, "holder string, until long, epoch long, seen long", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withColumn("_at", F.timestamp_millis(F.col(at_ms))).withWatermark("_at", lateness)
+    return timed.groupBy(session).applyInPandasWithState(update, out, "holder string, until long, epoch long, seen long", "append", GroupStateTimeout.EventTimeTimeout)
