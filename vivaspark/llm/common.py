@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from vivaspark.session import shared_folder
+
 #: What separates words in every contract: space and the controls 9 to 13.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
@@ -21,15 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the folder all executors share and forget its lineage.
+    """Materialise df in the folder all executors share and forget its lineage."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+#: Rows of a table over which a key is hot, as a share of all.
+HOT = 1000
 
-    The folder is the session's spark.checkpoint.dir; only where a session
-    names none (single-machine tests) a temporary one is set.
+
+def join_by_key(rows: DataFrame, one: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of rows with a table that has a row a key and, in `weight`, how many of the rows have that key.
+
+    Keys of a thousandth of all rows or more, at most HOT of them by that bound,
+    are broadcast; the others are shuffled, none of them hot. `weight` is dropped.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="viva-"))
-    return df.checkpoint(eager=True)
+    hot = F.broadcast(one.filter(F.col(weight) * HOT >= total).drop(weight))
+    rest = one.filter(F.col(weight) * HOT < total).drop(weight)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
 
 
 def parts_for(df: DataFrame, bytes_in: int, per_part: int) -> int:
