@@ -52,3 +52,29 @@ def test_blanks_other_than_spaces_part_tokens(spark, tmp_path):
     want = sorted(con.execute(lt.ORACLE_SQL).fetchall())
     got = sorted(map(tuple, lt.op9_line_templates(spark, str(tmp_path)).collect()))
     assert got == want and [r[3] for r in got] == [0, 3, 3, 3, 3]
+
+
+def test_lines_that_differ_in_a_word_meet_in_one_template(spark, tmp_path):
+    """The path alone would not do: the lines are all different, and no word holds a digit."""
+    names = ["anna", "bert", "carla", "dirk", "eva", "frank"]
+    log = [f"the system logged a new session for user {n} in the main office" for n in names]
+    long = [f"all rights to this text and to the pictures in it stay with {n} unless the editors agree in writing to other terms" for n in names[:2]]
+    lead = [f"{n} {n} logged a new session in the main office this morning" for n in names]
+    far = ["one two three four five six seven eight", "one two three four nine ten seven twelve"]
+    texts = [f"{a}\n{c}\nown {i}" for i, (a, c) in enumerate(zip(log, lead))] + long + far + [log[0]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(lt.ORACLE_SQL).fetchall())
+    got = sorted(map(tuple, lt.op9_line_templates(spark, str(tmp_path)).collect()))
+    assert got == want
+    # A field among the leading tokens parts the lines, as it does in every tree that routes by them.
+    assert [r[3] for r in got] == [0, 1, 1, 1, 1, 1, 0, 1, 0, 0, 1]
+
+
+def test_very_long_line_and_text(spark):
+    long = "x1" * 200_000 + " a b"
+    many = "\n".join(f"line {k % 50} of a text of very many lines" for k in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, long), (3, many), (4, "tail " + "y" * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in lt.drop_recurring_lines(docs).collect()}
+    assert got == {1: (1, 0), 2: (1, 0), 3: (60_000, 0), 4: (1, 0)}
