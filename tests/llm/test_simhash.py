@@ -88,4 +88,26 @@ def test_defined_cases(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 4]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+    # An id that two texts share keeps both; the smaller hash of a text decides between near copies of one id.
+    both = spark.createDataFrame([(5, "a b c d e f"), (5, "quite other words in this one"), (5, "a b c d e f"), (6, "a b c d e f"), (None, "p q r s t"), (None, "p q r s t")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(both).collect()) == [(0, "p q r s t"), (5, "a b c d e f"), (5, "quite other words in this one")]
+
+
+def test_parts_of_a_crowd_share_48_bits(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 30)
+    rng = random.Random(9)
+    values = {rng.getrandbits(32) << 32 | 7 for _ in range(400)}
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    for r in simhash.shards(df).groupBy("k", "bits").agg(F.count("*").alias("n"), F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any")).collect():
+        assert r.n <= 30 or r.k >= 36
+        if r.k >= 36:
+            assert ((r["all"] ^ r["any"]) % (1 << 64)).bit_count() <= 16
+
+
+def test_blocks_of_a_long_text():
+    rng = random.Random(5)
+    text = "".join(rng.choice(["wort ", "a\n", "zwei\t", "Überall ", "x\u00a0y "]) for _ in range(4000)) + "z" * 3000
+    for cut_to in (text, text[:7], "one", "one two", "one two three", "one two three four", " "):
+        for block in (1, 40, 1 << 18):
+            assert simhash.fingerprint(cut_to, block=block) == slow_print(cut_to)

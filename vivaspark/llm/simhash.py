@@ -4,23 +4,27 @@ Fingerprints at most RADIUS bits apart agree on at least two of four 16-bit
 blocks, so each distinct fingerprint joins six shards, one for each pair of
 blocks, keyed by those 32 bits. A shard's members form a BK-tree, sent with its
 queries to one task; searches follow only edges within the radius. A shard of
-over SHARD members is divided again by pairs of 8-bit blocks of its other 32
-bits, which bounds a tree at 65,536 nodes whatever the data hold. Tasks emit a
-spanning forest of the links they find (at most one row a member), never the
-pairs of a group. Sending every tree to every task would make the broadcast
-grow with the corpus, so trees meet their queries by key instead.
+over SHARD members is divided again by pairs of the four 8-bit blocks of its
+other 32 bits: members of a part share 48 bits, which bounds a tree at 65,536
+nodes whatever the data hold. Tasks emit a spanning forest of the links they
+find (at most one row a member), never the pairs of a group. Sending every tree
+to every task would make the broadcast grow with the corpus, so trees meet
+their queries by key instead.
 
 Exact copies share a fingerprint and are one node, so a group of copies of any
-size costs one row here.
+size costs one row here. Rows find their component by fingerprint: fingerprints
+of a thousandth of all rows or more are broadcast, the others shuffled.
 
 Defined results: a text without words (null, empty or blank) has fingerprint
-zero and links like any other; repeated rows repeat their result; a null doc_id
-keeps its row, and its component is the smallest non-null doc_id reachable
-(null, if there is none); an empty table gives an empty table.
+zero and links like any other; a text of any length is read in blocks; repeated
+rows repeat their result; a null doc_id keeps its row, and its component is the
+smallest non-null doc_id reachable (null, if there is none); an empty table
+gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -32,57 +36,90 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vivaspark.llm.bktree import Forest, roots
-from vivaspark.llm.common import arrow_rows, cut, table
+from vivaspark.llm.common import HOT, arrow_rows, cut, join_by_key, table
 from vivaspark.llm.components import components
 
 RADIUS = 2
 SHARD = 65_536
 #: Rows a task gathers before it builds and searches the trees of the whole shards among them.
 CHUNK = 200_000
-
-
-def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of a text's word shingles, repeats included."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    line, n = b" ".join(words), max(1, len(words) - words_each + 1)
-    ends = list(accumulate((len(w) + 1 for w in words), initial=0))
-    digest = xxhash.xxh64_intdigest
-    spans = zip(ends, ends[words_each:]) if len(words) > words_each else [(0, len(line) + 1)]
-    h = np.array([digest(line[a : b - 1], seed) for a, b in spans], np.uint64)
-    bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    over = bits.sum(0, dtype=np.int64) * 2 > n
-    return int(np.packbits(over, bitorder="little").view("<u8")[0])
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _word_blocks(data: bytes, size: int) -> Iterator[list[bytes]]:
+    """Words of a text, in lists of those of about size bytes."""
+    at = 0
+    while at < len(data):
+        end = min(at + size, len(data))
+        if end < len(data):
+            # Up to the next blank, wherever it is.
+            found = _BLANK.search(data, end)
+            end = found.start() if found else len(data)
+        yield data[at:end].split()
+        at = end
+
+
+def fingerprint(text: str | None, words_each: int = 3, seed: int = 42, block: int = 1 << 18) -> int:
+    """64-bit SimHash of a text's word shingles, repeats included; blocks of about `block` bytes at a time."""
+    digest, n = xxhash.xxh64_intdigest, 0
+    ones = np.zeros(64, np.int64)
+
+    def add(h: list[int]) -> None:
+        bits = np.unpackbits(np.array(h, np.uint64).view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little")
+        np.add(ones, bits.sum(0, dtype=np.int64), out=ones)
+
+    last: list[bytes] = []
+    for own in _word_blocks((text or "").encode().lower(), block):
+        words = last + own
+        if len(words) >= words_each:
+            line = b" ".join(words)
+            ends = list(accumulate((len(w) + 1 for w in words), initial=0))
+            h = [digest(line[a : b - 1], seed) for a, b in zip(ends, ends[words_each:])]
+            add(h)
+            n += len(h)
+            words = words[len(words) - words_each + 1 :]
+        last = words
+    if not n:
+        if not last:
+            return 0
+        add([digest(b" ".join(last), seed)])
+        n = 1
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, words_each: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, key (a hash of the text) and fp, the fingerprint as a signed long."""
 
     def make():
-        def rows(ids: list, texts: list) -> Iterator[tuple]:
-            for i, t in zip(ids, texts):
+        def rows(ids: list, keys: list, texts: list) -> Iterator[tuple]:
+            for i, k, t in zip(ids, keys, texts):
                 x = fingerprint(t, words_each, seed)
-                yield i, x - (1 << 64) if x >> 63 else x
+                yield i, k, x - (1 << 64) if x >> 63 else x
 
         return rows
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
-    return arrow_rows(docs.select(F.col("doc_id").cast("long"), "text"), schema, make)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("fp", T.LongType())])
+    return arrow_rows(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text"), schema, make)
 
 
-def _blocks(fp: Column, width: int, places: list[int]) -> list[Column]:
-    return [F.shiftrightunsigned(fp, p).bitwiseAND(F.lit((1 << width) - 1)) for p in places]
+def _shards(fp: Column, k: Column, width: int, places: list[int]) -> Column:
+    """One (k, bits, fp) struct for each pair of blocks of so many bits at these places; k tells pairs apart."""
+    b = [F.shiftrightunsigned(fp, p).bitwiseAND(F.lit((1 << width) - 1)) for p in places]
+    return F.array(*[F.struct((k * 6 + n).alias("k"), (F.shiftleft(b[i], width) + b[j]).alias("bits"), fp.alias("fp")) for n, (i, j) in enumerate(combinations(range(len(places)), 2))])
 
 
-def _shards(fp: Column, tag: Column, width: int, places: list[int]) -> Column:
-    """One (shard, member) struct for each pair of blocks."""
-    b = _blocks(fp, width, places)
-    return F.array(*[F.struct(F.xxhash64(tag, F.lit(k)).alias("salt"), (F.shiftleft(b[i], width) + b[j]).alias("bits"), fp.alias("fp")) for k, (i, j) in enumerate(combinations(range(len(places)), 2))])
+def _parts(fp: Column, k: Column) -> Column:
+    """The parts of a crowded shard, by pairs of the 8-bit blocks outside its own two 16-bit ones."""
+    out = None
+    for n, own in enumerate(combinations(range(4), 2)):
+        free = [p for b in range(4) if b not in own for p in (16 * b, 16 * b + 8)]
+        part = _shards(fp, F.lit(6) + k, 8, free)
+        out = F.when(k == n, part) if out is None else out.when(k == n, part)
+    return out
 
 
 def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (salt, bits, fp) sorted by shard -> links (a, b) that keep each shard's connections."""
+    """Rows (k, bits, fp) sorted by shard -> links (a, b) that keep each shard's connections."""
 
     def emit(salt: np.ndarray, bits: np.ndarray, fp: np.ndarray):
         new = np.concatenate([[True], (salt[1:] != salt[:-1]) | (bits[1:] != bits[:-1])])
@@ -110,29 +147,43 @@ def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(*(np.concatenate(x) for x in zip(*held)))
 
 
+def shards(fps: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp) -> k, bits and fp: each one's shards, those of over SHARD members in parts.
+
+    Parts keep their shard's bits above their own, so no two shards mix.
+    """
+    keys, total = ["k", "bits"], 6 * fps.count()
+    wide = fps.select(F.explode(_shards(F.col("fp"), F.lit(0), 16, [0, 16, 32, 48])).alias("x")).select("x.*")
+    hot = cut(wide.groupBy(*keys).count().filter(F.col("count") > SHARD))
+    if hot.isEmpty():
+        return wide
+    crowd = join_by_key(wide, hot, keys, "count", total).select(F.col("bits").alias("own"), F.explode(_parts(F.col("fp"), F.col("k"))).alias("x"))
+    parts = crowd.select("x.k", (F.shiftleft("own", 16) + F.col("x.bits")).alias("bits"), "x.fp")
+    largest = F.broadcast(hot.filter(F.col("count") * HOT >= total).select(*keys))
+    return wide.join(largest, keys, "left_anti").join(hot, keys, "left_anti").select("k", "bits", "fp").union(parts)
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) with the connections of all pairs within the radius."""
-    wide = fps.select(F.explode(_shards(F.col("fp"), F.lit(0), 16, [0, 16, 32, 48])).alias("x")).select("x.*")
-    hot = wide.groupBy("salt", "bits").count().filter(F.col("count") > SHARD).select("salt", "bits")
-    if not hot.isEmpty():
-        crowd = wide.join(hot, ["salt", "bits"])
-        # A shard's own bits tell nothing more; the pairs of all eight 8-bit blocks hold the pairs of its other four.
-        fine = crowd.select(F.explode(_shards(F.col("fp"), F.xxhash64("salt", "bits"), 8, list(range(0, 64, 8)))).alias("x")).select("x.*")
-        wide = wide.join(hot, ["salt", "bits"], "left_anti").select("salt", "bits", "fp").union(fine)
-    return wide.repartition("salt", "bits").sortWithinPartitions("salt", "bits", "fp").mapInArrow(_spanning, "a long, b long")
+    return shards(fps).repartition("k", "bits").sortWithinPartitions("k", "bits", "fp").mapInArrow(_spanning, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
-    prints = cut(fingerprints(docs))
-    fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def _grouped(docs: DataFrame, words_each: int) -> DataFrame:
+    """doc_id, key, fp, root and component_id of every row; root names its component."""
+    prints = cut(fingerprints(docs, words_each))
+    fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     tied = components(links(fps.select("fp")))
     # Only linked fingerprints take part in the joins on components; the rest keep their own smallest id.
     members = fps.join(tied.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left")
-    members = members.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = members.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    members = cut(members.select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    least = members.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    named = join_by_key(members, least, ["root"], "m", members.count())
+    return join_by_key(prints, named.select("fp", "root", "component_id", "n"), ["fp"], "n", prints.count())
+
+
+def near_duplicates(docs: DataFrame, words_each: int = 3) -> DataFrame:
+    """doc_id, fp and component_id of every row."""
+    return _grouped(docs, words_each).select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +191,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the first copy of its smallest doc_id; rows without an id stay."""
-    first = near_duplicates(docs).filter(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+def keep_one(docs: DataFrame, words_each: int = 3) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id, null ids last, then of the smallest hash of its text.
+
+    Rows that share a doc_id but not a text are told apart.
+    """
+    id_ = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("_id")
+    first = _grouped(docs, words_each).groupBy("root").agg(F.min(F.struct(id_, F.col("key").alias("_key"))).alias("x")).select("x.*")
+    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_key": F.xxhash64("text")})
+    return rows.join(first, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
