@@ -71,11 +71,15 @@ def test_defined_cases(spark):
     assert ann.search(v.limit(0), v).count() == 0
 
 
-def test_a_large_batch_is_encoded_once(spark):
+def test_every_row_is_indexed_and_layout_does_not_matter(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 700)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
     rows = [(i, np.random.default_rng(i).normal(size=4).tolist()) for i in range(2500)]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
-    aq = ann.train(ann.usable(v))
-    assert sorted(r.vec_id for r in ann.encoded(ann.usable(v), aq).select("vec_id").collect()) == list(range(2500))
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    blocks = ann.index(ann.usable(v), ann.train(ann.usable(v), 4), 4).collect()
+    assert len(blocks) == 4 and sorted(i for r in blocks for i in np.frombuffer(r.ids, np.int64)) == list(range(2500))
+    found = [sorted(map(tuple, ann.search(v.repartition(n), v.filter("vec_id % 50 = 0").repartition(n), rerank=60).collect())) for n in (1, 7)]
+    assert found[0] == found[1] and len(found[0]) == 50 * 5
 
 
 def test_copies_of_one_block_give_the_smallest_ids(spark):
