@@ -4,24 +4,50 @@ import zlib
 from vivaspark.llm import toxicity as tx
 
 
-def test_composition_adds_weights_and_is_total():
+def test_composition_equals_machines_one_after_the_other():
+    parts = [tx.negation(), tx.reported_speech(), tx.target(), tx.threat()]
     g = tx.grammar()
     nxt, weight = g.dense()
-    assert len(nxt) == len({s for s, _ in g.arcs}) and all(len(r) == 7 for r in nxt)
-
-    def run(labels):
-        state, total = 0, 0.0
+    rng = random.Random(6)
+    for _ in range(3000):
+        labels = rng.choices(range(7), [4, 3, 2, 3, 2, 1, 1], k=rng.randrange(14))
+        tape, total = labels, 0.0
+        for m in parts:
+            tape, w = m.run(tape)
+            total += w
+        roles, whole = g.run(labels)
+        assert roles == tape and abs(whole - total) < 1e-9
+        state = 0
         for x in labels:
-            total += weight[state][x]
+            total -= weight[state][x]
             state = nxt[state][x]
-        return round(total, 6)
+        assert abs(total) < 1e-9
+
+
+def test_roles_of_clauses():
+    g = tx.grammar()
+    run = lambda *labels: (g.run(list(labels))[0], round(g.run(list(labels))[1], 6))
+    assert run(tx.INSULT) == ([tx.INSULT], 0)
+    assert run(tx.TARGET, tx.OTHER, tx.INSULT) == ([tx.TARGET, tx.OTHER, tx.ATTACK], 0.4)
+    assert run(tx.INSULT, tx.TARGET) == ([tx.INSULT, tx.ATTACK], 0.4)
+    assert run(tx.NEGATION, tx.INSULT) == ([tx.NEGATION, tx.DENIED], -1.0)
+    assert run(tx.NEGATION, tx.THREAT, tx.TARGET)[1] == -1.0
+    assert run(tx.REPORT, *[tx.OTHER] * 9, tx.INSULT)[1] == -0.6
+    assert run(tx.QUOTE, tx.INSULT, tx.QUOTE, tx.INSULT) == ([tx.QUOTE, tx.QUOTED, tx.QUOTE, tx.INSULT], -0.6)
+    assert run(tx.THREAT, tx.OTHER, tx.TARGET) == ([tx.THREAT, tx.OTHER, tx.MENACE], tx.MENACE_WEIGHT)
+    assert run(tx.TARGET, *[tx.OTHER] * 5, tx.INSULT)[1] == 0
+
 
-    assert run([tx.INSULT]) == 0
-    assert run([tx.TARGET, tx.OTHER, tx.INSULT]) == 0.4
-    assert run([tx.NEGATION, tx.INSULT]) == -1.0
-    assert run([tx.REPORT] + [tx.OTHER] * 9 + [tx.INSULT]) == -0.6
-    assert run([tx.THREAT, tx.OTHER, tx.TARGET]) == 0.3
-    assert run([tx.TARGET] + [tx.OTHER] * 5 + [tx.INSULT]) == 0
+def test_clauses_of_text():
+    """Weights of matched clauses, worked out by hand, with a lexicon of one insult of weight 5."""
+    reader = tx.Model({"idiot": 5.0}, [], [], []).reader()
+    weights = lambda t: [round(x, 6) for x in reader.clauses(t)[0]]
+    assert weights("You are an idiot.") == [5.4]
+    assert weights("He said: you are an idiot.") == weights("he said you are an idiot") == [4.4]  # he and you are targets, quoted no attack
+    assert weights("You are not an idiot! Idiot") == [4.0, 5.0]
+    assert weights("I will kill you; you kill time") == [tx.MENACE_WEIGHT]
+    assert weights("ich will dich t\u00f6ten, dich") == weights("je vais d\u00e9truire toi") == [tx.MENACE_WEIGHT]
+    assert weights("nothing here") == []
 
 
 def corpus(n=400, seed=1):
