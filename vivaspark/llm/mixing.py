@@ -13,9 +13,11 @@ exact level at which its words reach the target is found by digits, six
 aggregations of 256 counts a source. The one document at that level gives the
 words still missing, as a cut copy. Sums are integers, so reruns agree.
 
-Only per-source rows (sums, counts, parameters) reach the driver. Parameters
+Only per-source rows (sums, digit counts, parameters) reach the driver, some
+hundred bytes a source: sources are feeds or sites, not documents. Parameters
 are broadcast while there are at most MANY sources, and joined over salted keys
-beyond that, since one source may hold a third of all rows.
+beyond that, since one source may hold a third of all rows. Rows themselves stay
+where they are.
 
 Defined results: null or blank text has size 0 and takes nothing; null source
 is a source of its own, the last; repeated rows get equal results; an empty
@@ -132,27 +134,43 @@ def _borders(entries: DataFrame, goal: dict[str, int]) -> dict[str, tuple[int, i
     return {s: (p, left, ties[s]) for s, (p, left) in found.items()}
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (whole ones) and taken (words) of every row."""
-    rows = docs.select("doc_id", "source", _named(F.col("source")).alias("s"), F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"))
-    # A draw in (0, 1] from the id.
-    rows = cut(rows.withColumn("u", (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), F.lit(1 << 40)) + 1) / float(1 << 40)))
+def _measured(docs: DataFrame, kept: list[Column]) -> DataFrame:
+    """The kept columns, and each row's source name s, size and draw u in (0, 1] from its id."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
+    draw = (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), F.lit(1 << 40)) + 1) / float(1 << 40)
+    return docs.select(*kept, _named(F.col("source")).alias("s"), size.alias("size"), draw.alias("u"))
+
+
+PARAMS = "s string, l double, mean double, source_size long, target double, border long, left long, ties long"
+
+
+def _plan(rows: DataFrame, weights: tuple) -> list[tuple]:
+    """The parameters of each source, as PARAMS, from rows of source, s, size and u."""
     sums = rows.groupBy("s").agg(F.min("source").alias("source"), F.sum("size").alias("words"), F.sum((F.col("size") > 0).cast("long")).alias("full")).collect()
     goal = targets({r.source: r.words for r in sums}, weights)
     stats = {r.s: (r.words, r.full, goal[r.source]) for r in sums if r.words}
     counts = cut(rows.filter("size > 0").groupBy("s", "size").agg(F.count("*").alias("n")))
     l = _multipliers(counts, stats)
     tilt = [(s, l[s], words / full) for s, (words, full, _) in stats.items()]
-    tilted = _with(rows.filter("size > 0"), tilt, "s string, l double, mean double")
+    tilted = _with(rows.filter("size > 0").select("s", "size", "u"), tilt, "s string, l double, mean double")
     entries = cut(tilted.select("s", "size", F.explode(F.array(*[_levels(k) for k in range(MOST)])).alias("level")))
     borders = _borders(entries, {s: round(t) for s, (_, _, t) in stats.items()})
-    params = [(r.s, l.get(r.s, 0.0), r.words / r.full if r.full else 1.0, r.words, goal[r.source], *borders.get(r.s, (0, 0, 0))) for r in sums]
-    all_ = _with(rows, params, "s string, l double, mean double, source_size long, target double, border long, left long, ties long")
+    return [(r.s, l.get(r.s, 0.0), r.words / r.full if r.full else 1.0, r.words, goal[r.source], *borders.get(r.s, (0, 0, 0))) for r in sums]
+
+
+def _taken(rows: DataFrame, params: list[tuple]) -> DataFrame:
+    """rows with their source's parameters, copies (whole ones) and taken (words): a row's own values decide."""
     below = sum(((_levels(k) < F.col("border")).cast("long") for k in range(MOST)), F.lit(0))
     at = sum(((_levels(k) == F.col("border")).cast("long") for k in range(MOST)), F.lit(0))
     share = F.least(F.col("size"), F.floor(F.col("left") / F.greatest(F.col("ties"), F.lit(1))))
-    copies = F.when(F.col("size") > 0, below).otherwise(0)
-    return all_.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), F.when(F.col("size") > 0, below * F.col("size") + at * share).otherwise(0).cast("long").alias("taken"))
+    taken = F.when(F.col("size") > 0, below * F.col("size") + at * share).otherwise(0)
+    return _with(rows, params, PARAMS).withColumns({"copies": F.when(F.col("size") > 0, below).otherwise(0).cast("long"), "taken": taken.cast("long")})
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (whole ones) and taken (words) of every row."""
+    rows = cut(_measured(docs, [F.col("doc_id"), F.col("source")]))
+    return _taken(rows, _plan(rows, weights)).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,10 +178,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-def take_copies(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it whole (a cut copy of half its words or more counts)."""
-    mixed = mix(docs).filter("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("_n")).filter("_n > 0")
-    # Rows that share a doc_id share their draw, not their size: one count each, the largest.
-    mixed = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_n").alias("_n"))
-    taken = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k")).drop("_k")
+def take_copies(docs: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
+    """docs with each row as often as the mix takes it whole (a cut copy of half its words or more counts). No row is shuffled."""
+    params = _plan(cut(_measured(docs, [F.col("source")])), weights)
+    rows = _taken(_measured(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")]), params)
+    times = F.round(F.col("taken") / F.col("size")).cast("int")
+    return rows.filter((F.col("size") > 0) & (times > 0)).select("_row", F.explode(F.sequence(F.lit(1), times)).alias("_k")).select("_row.*")
