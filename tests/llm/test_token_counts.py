@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -18,6 +19,25 @@ def test_every_prefix_equals_the_library():
         assert counter.prefix_counts(text).tolist() == want, text
 
 
+def test_recomposed_words_equal_the_library():
+    """Decomposed letters, stray marks, Hangul in parts, singletons, specials and other blanks, in every prefix."""
+    counter, tok, rng = tc.PrefixCounter(), wordtok.load(), random.Random(8)
+    parts = ["e\u0301", "\u0301", "\u0323", "a\u0323\u0302", "\u1112\u1161\u11ab", "\u212b", "\u0915\u093c", "\u09c7\u09be", "'s", "'", "x", "Q", "!", "9", "\u00a0", "\x1f", "<|endoftext|>", "<|endof", "\u6f22", "\ud55c", "\u0130", "\u1e9b\u0323", "\U0001f600", "\u0378"]
+    words = ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(250)] + [("e\u0301" * 90) + "a\u0323\u0302", "\u1112\u1161\u11ab" * 60, "!\u0323\u0301" * 70]
+    for text in words:
+        want = [len(tok.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        assert counter.prefix_counts(text).tolist() == want, text
+
+
+def test_long_words_take_time_in_proportion():
+    counter, tok = tc.PrefixCounter(), wordtok.load()
+    for text in ("\u6f22\u5b57" * 25_000 + "e\u0301", "e\u0301" * 25_000, "ab<|endoftext|>" * 4000):
+        began = time.process_time()
+        got = counter.prefix_counts(text)
+        assert time.process_time() - began < 10
+        assert got[-1] == len(tok.encode(text, add_special_tokens=False).ids)
+
+
 def test_budget_is_the_longest_prefix():
     counts = np.array([0, 1, 2, 3, 2, 3, 4])
     assert tc.longest_within(counts, 2) == 4

@@ -13,6 +13,12 @@ back. So inner[i] = inner[j] + 1, and the count of the prefix, with t's
 word-end form in place of t, is closed[i] = inner[j] + 1. Counts of a text are
 the counts of its whole words before k plus closed[] inside the word at k.
 
+Words that normalising recomposes are cut where it can't reach over. A prefix
+that ends inside such a piece may have other characters than the whole piece;
+its count goes on from the state before the piece, over the piece's few
+characters. Letter case and character classes are the library's own, asked once
+a character. So any text costs time in proportion to its length.
+
 Defined results: null counts as the empty text (0 tokens); texts of only
 white space have 0; repeated rows get equal rows; an empty table gives an
 empty table; further columns of the input are ignored.
@@ -46,7 +52,9 @@ class PrefixCounter:
     def __init__(self, tokenizer: str = wordtok.DEFAULT_TOKENIZER, max_words: int = 300_000):
         model = wordtok.spec(tokenizer)["model"]
         self.tok, self.end = wordtok.load(tokenizer), model["end_of_word_suffix"]
-        self.special = tuple(t["content"] for t in wordtok.spec(tokenizer)["added_tokens"])
+        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in wordtok.spec(tokenizer)["added_tokens"]) or r"(?!)")
+        self.lower, self.stand_in = _Lower(self.tok), _StandIn(self.tok)
+        self.base = 0
         # By the text of a token: its length, its id inside a run and its id at a run's end (-1: none).
         forms: dict[str, list[int]] = {}
         for t, i in model["vocab"].items():
@@ -56,6 +64,7 @@ class PrefixCounter:
         for stem, (inside, final) in forms.items():
             self.matcher.add_word(stem, (len(stem), inside, final))
         self.matcher.make_automaton()
+        self.longest = max(map(len, forms))
         # Rank of the merge that makes a token (-1: a symbol), its two halves, and the rank of a pair's merge.
         vocab = model["vocab"]
         self.made, self.halves, self.joins = [-1] * (max(vocab.values()) + 1), {}, {}
@@ -95,22 +104,22 @@ class PrefixCounter:
         self.pairs[key] = known
         return known
 
-    def run_counts(self, run: str) -> list[int]:
-        """closed[i] for i = 1 .. len(run); run is in the model's byte alphabet."""
-        found = self.runs.get(run)
-        if found is not None:
-            return found
-        n, ok, pair = len(run), self._ok, self.pairs.get
-        last, inner, closed = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for end, (size, inside, final) in self.matcher.iter(run):
+    def _walk(self, window: str, skip: int, last: list[int], inner: list[int], closed: list[int]) -> None:
+        """The recurrence over the places of window after the first skip ones, whose last and inner are known."""
+        ok, pair, base = self._ok, self.pairs.get, self.base
+        for end, (size, inside, final) in self.matcher.iter(window):
             i = end + 1
+            if i <= skip:
+                continue
             j = i - size
-            if not j:
+            if not j and not base:
                 if inside >= 0:
                     last[i], inner[i] = inside, 1
                 if final >= 0:
                     closed[i] = 1
                 continue
+            if last[j] < 0:
+                continue
             before = last[j] << 32
             if inside >= 0 and last[i] < 0:
                 stays = pair(before | inside)
@@ -120,51 +129,134 @@ class PrefixCounter:
                 stays = pair(before | final)
                 if stays or stays is None and ok(before | final):
                     closed[i] = inner[j] + 1
-        del closed[0]
-        if not all(closed):
-            raise ValueError(f"no segmentation of {run!r}")
-        if n < 64:
-            self.runs[run] = closed
-        return closed
 
-    def word_counts(self, word: str) -> list[int]:
-        """Counts of word[:1] .. word[:len(word)]."""
-        plain = word.isascii() and word.isprintable()
-        if plain and word.isalpha():
-            return self.run_counts(word.lower())
-        if any(s in word for s in self.special) or not (plain or unicodedata.is_normalized("NFC", word)):
-            return self._by_library(word)
-        lowered = [] if plain else [c.lower() for c in word]
-        low = word.lower() if plain else "".join(lowered)
-        ends, base, bytes_of = [], 0, self.bytes_of
-        for run in _CUT.findall(low):
+    def _run(self, run: str) -> tuple[list[int], list[int], list[int]]:
+        """last, inner and closed of a run, from place 0 on; run is in the model's byte alphabet."""
+        n = len(run)
+        last, inner, closed = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        self.base = 0
+        self._walk(run, 0, last, inner, closed)
+        if not all(closed[1:]):
+            raise ValueError(f"no segmentation of {run[:99]!r}")
+        return last, inner, closed
+
+    def run_counts(self, run: str) -> list[int]:
+        """closed[i] for i = 1 .. len(run)."""
+        found = self.runs.get(run)
+        if found is None:
+            found = self._run(run)[2][1:]
+            if len(run) < 64:
+                self.runs[run] = found
+        return found
+
+    def _extended(self, run: str, last: list[int], inner: list[int], n: int, tail: str) -> int:
+        """closed of run[:n] + tail, from what is known of run."""
+        self.base = start = max(0, n - self.longest)
+        before, more = last[start : n + 1] + [-1] * len(tail), inner[start : n + 1] + [0] * len(tail)
+        closed = [0] * len(before)
+        self._walk(run[start:n] + tail, n - start, before, more, closed)
+        return closed[-1]
+
+    def _in_bytes(self, text: str) -> str:
+        return "".join([self.bytes_of[b] for b in text.encode()])
+
+    def _low_counts(self, low: str, plain: bool) -> tuple[list[int], list[int]]:
+        """Counts at each character of a normalised word, and where its runs start. White space of other kinds counts nothing."""
+        ends, starts, base, at = [], [], 0, 0
+        for run in _CUT.findall(low) if plain else self._cut(low):
+            if run is None:
+                ends.append(base)
+                at += 1
+                continue
+            starts.append(at)
+            at += len(run)
             contracted = run in _CONTRACTIONS
             counts: list[int] = []
             for piece in ("'", run[1:]) if contracted else (run,):
                 if plain or piece.isascii() and piece.isprintable():
                     closed = self.run_counts(piece)
                 else:
-                    closed = self.run_counts("".join([bytes_of[b] for b in piece.encode()]))
+                    closed = self.run_counts(self._in_bytes(piece))
                     closed = [closed[k - 1] for k in itertools.accumulate(1 if c < "\x80" else len(c.encode()) for c in piece)]
                 counts += [counts[-1] + c for c in closed] if counts else closed
             if contracted:
                 counts[-1] = self.run_counts(run)[-1]
             ends += [base + c for c in counts] if base else counts
             base = ends[-1]
-        if len(ends) != len(low):
-            return self._by_library(word)
-        if len(low) != len(word):
-            ends = [ends[k - 1] for k in itertools.accumulate(map(len, lowered))]
-        if not plain and max(word) >= "\u0250" and len(self.tok.encode(word, add_special_tokens=False).ids) != ends[-1]:
-            return self._by_library(word)  # the two libraries may know different Unicode versions
-        return ends
-
-    def _by_library(self, word: str) -> list[int]:
-        """Prefix by prefix: words that normalising recomposes, or that hold a special string."""
-        out, tok = [], self.tok
-        for at in range(0, len(word), 256):
-            block = [word[: k + 1] for k in range(at, min(at + 256, len(word)))]
-            out += [len(e.ids) for e in tok.encode_batch_fast(block, add_special_tokens=False)]
+        return ends, starts
+
+    def _cut(self, low: str) -> Iterator[str | None]:
+        """Runs of a word by the library's character classes; None for a character of white space."""
+        at = 0
+        for m in _CUT.finditer(low.translate(self.stand_in)):
+            yield from itertools.repeat(None, m.start() - at)
+            at = m.end()
+            yield low[m.start() : at]
+        yield from itertools.repeat(None, len(low) - at)
+
+    def word_counts(self, word: str) -> list[int]:
+        """Counts of word[:1] .. word[:len(word)]."""
+        plain = word.isascii() and word.isprintable()
+        if plain and word.isalpha():
+            return self.run_counts(word.lower())
+        if self.special.search(word):
+            return self._around_specials(word)
+        if plain:
+            return self._low_counts(word.lower(), True)[0]
+        if not unicodedata.is_normalized("NFC", word):
+            return self._recomposed(word)
+        lowered = [self.lower[c] for c in word]
+        ends, _ = self._low_counts("".join(lowered), False)
+        return ends if len(ends) == len(word) else [ends[k - 1] for k in itertools.accumulate(map(len, lowered))]
+
+    def _around_specials(self, word: str) -> list[int]:
+        """A special string is one token and parts what is before and after it."""
+        out: list[int] = []
+        at = base = 0
+        for m in self.special.finditer(word):
+            # Until its last character is there, the string is text like any other.
+            out += [base + c for c in self.word_counts(word[at : m.end() - 1])]
+            base += (self.word_counts(word[at : m.start()])[-1] if m.start() > at else 0) + 1
+            out.append(base)
+            at = m.end()
+        return out + ([base + c for c in self.word_counts(word[at:])] if at < len(word) else [])
+
+    def _recomposed(self, word: str) -> list[int]:
+        """Counts of a word that is not in composed form."""
+        cuts = [k for k, c in enumerate(word) if not k or c.isascii() or not (unicodedata.combining(c) or c in _seconds())] + [len(word)]
+        pieces = [word[a:b] for a, b in zip(cuts, cuts[1:])]
+        normal = self.tok.normalizer.normalize_str
+        whole = [self.lower[p] if len(p) == 1 else normal(p) for p in pieces]
+        low = "".join(whole)
+        ends, starts = self._low_counts(low, False)
+        out: list[int] = []
+        at, run, held = 0, -1, None
+        for piece, end in zip(pieces, whole):
+            while run + 1 < len(starts) and starts[run + 1] < at:
+                run, held = run + 1, None
+            for k in range(1, len(piece)):
+                part = normal(piece[:k])
+                if end.startswith(part):
+                    out.append(ends[at + len(part) - 1])
+                    continue
+                begin = starts[run] if run >= 0 else 0
+                before = ends[begin - 1] if begin else 0
+                same = self._cut(low[at - 1 : at] + part)
+                head = next(same) if at > begin else None
+                if at - begin < 64:
+                    out.append(before + self._low_counts(low[begin:at] + part, False)[0][-1])
+                elif head is None or len(head) < 2:
+                    out.append(ends[at - 1] + self._low_counts(part, False)[0][-1])
+                else:
+                    if held is None:
+                        stop = starts[run + 1] if run + 1 < len(starts) else len(low)
+                        data = self._in_bytes(low[begin:stop])
+                        held = (data, *self._run(data)[:2], list(itertools.accumulate((len(c.encode()) for c in low[begin:stop]), initial=0)))
+                    on, rest = head[1:], part[len(head) - 1 :]
+                    n = self._extended(held[0], held[1], held[2], held[3][at - begin], self._in_bytes(on))
+                    out.append(before + n + (self._low_counts(rest, False)[0][-1] if rest else 0))
+            at += len(end)
+            out.append(ends[at - 1])
         return out
 
     def _known(self, word: str):
@@ -203,6 +295,50 @@ class PrefixCounter:
         return out
 
 
+class _Lower(dict):
+    """The library's normalised form of a character."""
+
+    def __init__(self, tok):
+        self.tok = tok
+
+    def __missing__(self, c: str) -> str:
+        self[c] = c.lower() if c.isascii() else self.tok.normalizer.normalize_str(c)
+        return self[c]
+
+
+class _StandIn(dict):
+    """For str.translate: a character of the class that the library sees in another, as the pattern's library may differ."""
+
+    def __init__(self, tok):
+        self.tok = tok
+
+    def __missing__(self, code: int) -> int:
+        c, pieces = chr(code), self.tok.pre_tokenizer.pre_tokenize_str
+        if c.isascii() and c.isprintable():
+            kind = code
+        elif not pieces(c):
+            kind = 0xA0
+        elif len(pieces("a" + c)) == 1:
+            kind = 0xE9
+        else:
+            kind = 0xA1 if len(pieces("!" + c)) == 1 else 0xB2
+        self[code] = kind
+        return kind
+
+
+@lru_cache(maxsize=1)
+def _seconds() -> frozenset[str]:
+    """Characters without a combining class that composing may join to the one before."""
+    out = {chr(k) for k in itertools.chain(range(0x1161, 0x1176), range(0x11A8, 0x11C3))}
+    for k in range(0xC0, 0x20000):
+        d = unicodedata.decomposition(chr(k))
+        if d and d[0] != "<" and " " in d:
+            second = chr(int(d.split()[1], 16))
+            if not unicodedata.combining(second):
+                out.add(second)
+    return frozenset(out)
+
+
 def _byte_chars() -> list[str]:
     """Byte-level alphabet: printable Latin-1 stands for itself, the rest moves above 255."""
     keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
