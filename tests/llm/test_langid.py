@@ -32,7 +32,8 @@ def small():
 
 def test_learns_and_pools_every_byte():
     texts, langs = small()
-    net = langid.fit(texts, langs, per_lang=150, epochs=6)
+    drawn = [(piece, lang) for k, (t, lang) in enumerate(zip(texts, langs)) for piece in langid.draw(t, 5, k)]
+    net = langid.fit([p for p, _ in drawn], [lang for _, lang in drawn], epochs=6)
     p = net.pooled([t.encode() for t in texts])
     assert [net.langs[k] for k in p.argmax(1)] == langs and np.allclose(p.sum(1), 1, atol=1e-4)
     long = (texts[0] * 40).encode()[: langid.SEGMENT * 3 + 5]
@@ -45,6 +46,39 @@ def test_learns_and_pools_every_byte():
     assert np.allclose(net.pooled([long])[0], want, atol=1e-5)
 
 
+def plain(net, data):
+    """One byte after the other, in doubles, by the usual equations of a gated recurrent unit."""
+    n, w = net.w["rec_f"].shape[0], {k: v.astype(float) for k, v in net.w.items()}
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    total = np.zeros(len(net.langs))
+    for at in range(0, len(data), langid.SEGMENT):
+        symbols = list(data[at : at + langid.SEGMENT])
+        padded = symbols + [langid.PAD] * (langid.SEGMENT - len(symbols))
+        states = {}
+        for way, order in (("f", range(langid.SEGMENT)), ("b", reversed(range(langid.SEGMENT)))):
+            h = np.zeros(n)
+            for t in order:
+                # Weights hold half of what goes into a sigmoid, and half of the candidate's recurrent part.
+                a, g = w["in_" + way][padded[t]], h @ w["rec_" + way]
+                reset, update = sigmoid(2 * (a[:n] + g[:n])), sigmoid(2 * (a[n : 2 * n] + g[n : 2 * n]))
+                cand = np.tanh(a[2 * n :] + reset * g[2 * n :])
+                h = update * h + (1 - update) * cand
+                states[way, t] = h
+        for t in range(len(symbols)):
+            z = np.concatenate([states["f", t], states["b", t]]) @ w["out"] + w["bias"]
+            e = np.exp(z - z.max())
+            total += e / e.sum()
+    return total / len(data)
+
+
+def test_pooling_equals_a_plain_loop():
+    net = langid.Network.fresh(["a", "b", "c"], 4, np.random.default_rng(2))
+    texts = [b"one", bytes(range(256)), "Größe und Länge".encode() * 9]
+    got = net.pooled(texts)
+    for t, p in zip(texts, got):
+        assert np.abs(plain(net, t) - p).max() < 1e-4
+
+
 def test_defined_cases(spark):
     texts, langs = small()
     rows = [(i, t, v, "s") for i, (t, v) in enumerate(zip(texts, langs))] + [(100, None, "x", "s"), (101, "", "x", "s"), (102, "12 !!", None, "s"), (103, texts[0] * 50, None, "s"), (103, texts[0] * 50, None, "s"), (None, texts[40], "y", "s")]
@@ -67,16 +101,20 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) / len(held) > 0.96
 
 
-def test_rare_and_long_languages_are_learned_from(spark, monkeypatch):
+def test_rare_and_long_languages_are_learned_from(spark):
     """5 documents among 20,000, and a language of long texts only; each gives what it has, up to per_lang."""
-    monkeypatch.setattr(langid, "fit", lambda texts, langs: list(zip(texts, langs)))
     common = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "if(id % 2 = 0, 'a', 'b') AS lang")
-    rare = [(30_000 + i, f"rare {i}", "c") for i in range(5)] + [(40_000 + i, f"long {i} " * langid.FIT_CHARS, "d") for i in range(3)]
-    rare += [(50_000 + i, "e " * (langid.FIT_CHARS if i < 3 else 1), "e") for i in range(9)]
+    rare = [(30_000 + i, f"rare {i}", "c") for i in range(5)] + [(40_000 + i, f"long {i} " * 30_000 + "tail", "d") for i in range(3)]
+    rare += [(50_000, "", "f"), (50_001, None, "f"), (30_000, "a second text of one id", "c")]
     docs = common.union(spark.createDataFrame(rare, "doc_id long, text string, lang string"))
-    got = langid.train(docs, fold=None, per_lang=6)
-    by = {}
-    for text, lang in got:
-        by.setdefault(lang, []).append(text)
-    assert {k: len(v) for k, v in by.items()} == {"a": 6, "b": 6, "c": 5, "d": 3, "e": 6}
-    assert max(len(t) for t, _ in got) == langid.FIT_CHARS and set(by["e"]) == {"e "}
+    got = langid.segments(docs, fold=None, per_lang=6, per_fit=60).collect()
+    by, ids = {}, {}
+    for r in got:
+        by.setdefault(r.lang, []).append(bytes(r.piece))
+        ids.setdefault(r.lang, set()).add(r.doc_id)
+    assert {k: len(v) for k, v in ids.items()} == {"a": 6, "b": 6, "c": 5, "d": 3}
+    assert {k: len(v) for k, v in by.items()} == {"a": 60, "b": 60, "c": 60, "d": 60}
+    assert max(len(p) for v in by.values() for p in v) == langid.SEGMENT
+    long = " ".join(map(str, range(100_000)))
+    at = [long.encode().find(p) for p in langid.draw(long, 60, 1)]
+    assert min(at) >= 0 and max(at) > 0.9 * len(long) and sum(a > len(long) / 2 for a in at) > 15

@@ -8,8 +8,10 @@ a step, so the cost is the number of bytes.
 
 `fit` trains in numpy, by backpropagation through time and Adam, on SEGMENTS
 segments a language from at most DOCS labelled texts a language, chosen by a
-hash of the id; scoring labels every byte of every text. Language, source and
-id are never inputs of a prediction.
+hash of the id. Segments are drawn by tasks from all over each whole text, so
+what reaches the driver is SEGMENTS times SEGMENT bytes a language, however
+long the texts are. Scoring labels every byte of every text. Language, source
+and id are never inputs of a prediction.
 
 Defined results: null texts and texts without a letter are `und` with score 0;
 without any labelled text all are; equal texts get equal results, repeated rows
@@ -25,13 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vivaspark.llm.common import arrow_rows, crc_fold, table
+from vivaspark.llm.common import arrow_rows, crc_fold, crc_mod, table
 
 SEGMENT = 64
 HIDDEN = 8
 DOCS = 250
 SEGMENTS = 1500
-FIT_CHARS = 20_000
 #: Symbol after the last byte of a text's last segment.
 PAD = 256
 #: Segments that run side by side; their states stay in a core's cache.
@@ -159,24 +160,23 @@ class Network:
         return out / sizes[:, None]
 
 
-def fit(texts: list[str], langs: list[str], hidden: int = HIDDEN, per_lang: int = SEGMENTS, epochs: int = 14, batch: int = 256, seed: int = 5) -> Network | None:
-    """A network for the languages of these texts; None without any."""
+def draw(text: str, n: int, seed: int) -> list[bytes]:
+    """n segments from all over a text; none of an empty one."""
+    data, rng = text.encode(), np.random.default_rng(seed)
+    starts = rng.integers(0, max(1, len(data) - SEGMENT // 2), n) if data else []
+    return [data[at : at + SEGMENT] for at in starts]
+
+
+def fit(pieces: list[bytes], langs: list[str], hidden: int = HIDDEN, epochs: int = 14, batch: int = 256, seed: int = 5) -> Network | None:
+    """A network for the languages of these segments; None without any."""
     rng, names = np.random.default_rng(seed), sorted(set(langs))
     if not names:
         return None
-    xs, ys = [], []
-    for k, name in enumerate(names):
-        own = [t.encode() for t, lang in zip(texts, langs) if lang == name and t]
-        for j in range(per_lang if own else 0):
-            t = own[j % len(own)]
-            at = int(rng.integers(0, max(1, len(t) - SEGMENT // 2)))
-            piece = t[at : at + SEGMENT]
-            xs.append(np.concatenate([np.frombuffer(piece, np.uint8), np.full(SEGMENT - len(piece), PAD)]))
-            ys.append(k)
-    net = Network.fresh(names, hidden, rng)
-    if not xs:
-        return net
-    x, y = np.stack(xs).astype(np.int64), np.array(ys)
+    x = np.full((len(pieces), SEGMENT), PAD, np.int64)
+    for row, piece in zip(x, pieces):
+        row[: len(piece)] = np.frombuffer(piece, np.uint8)
+    place = {name: k for k, name in enumerate(names)}
+    net, y = Network.fresh(names, hidden, rng), np.array([place[lang] for lang in langs])
     first, second, step = {k: np.zeros_like(v) for k, v in net.w.items()}, {k: np.zeros_like(v) for k, v in net.w.items()}, 0
     for epoch in range(epochs):
         order = rng.permutation(len(x))
@@ -194,27 +194,41 @@ def fit(texts: list[str], langs: list[str], hidden: int = HIDDEN, per_lang: int
     return net
 
 
-def train(docs: DataFrame, fold: int | None = 2, folds: int = 4, per_lang: int = DOCS) -> Network | None:
-    """Fit on at most per_lang texts of each language, none of the held-out fold.
+def segments(docs: DataFrame, fold: int | None = 2, folds: int = 4, per_lang: int = DOCS, per_fit: int = SEGMENTS) -> DataFrame:
+    """doc_id, lang and piece: at least per_fit segments of each language, from at most per_lang of its texts, none of the held-out fold.
 
     Every language is ranked by itself, so how many others or how many rows there
-    are changes nothing. Texts of over FIT_CHARS characters come after all others
-    and are read that far. The choice reads ids, languages and lengths only; the
-    texts of the chosen ids follow by a join with them, DOCS rows a language.
+    are changes nothing. Of rows that share an id and a language the smallest text
+    counts. The choice shuffles ids and languages only; the texts of the chosen
+    ids follow by a join with them, per_lang rows a language.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    known = docs.filter(F.col("lang").isNotNull() & (F.col("text") != "") & F.col("doc_id").isNotNull())
     if fold is not None:
         known = known.filter(crc_fold("doc_id", folds) != fold)
-    ids = known.groupBy("doc_id", "lang").agg((F.min(F.length("text")) > FIT_CHARS).alias("long"))
+    ids = known.select("doc_id", "lang").distinct()
     # First per_lang of each language's salted parts, then of those: a language of most rows is no one task's.
-    order = [F.col("long"), F.xxhash64("doc_id", "lang"), F.col("doc_id")]
+    order = [F.xxhash64("doc_id", "lang"), F.col("doc_id")]
     part = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy(*order))
-    first = ids.withColumn("k", part).filter(F.col("k") <= max(8, per_lang // 4))
+    first = ids.withColumn("k", part).filter(F.col("k") <= per_lang)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    chosen = first.withColumn("k", rank).filter(F.col("k") <= per_lang).select("doc_id", "lang")
-    rows = known.select("doc_id", "lang", F.substring("text", 1, FIT_CHARS).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id"]).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    chosen = first.withColumn("k", rank).filter(F.col("k") <= per_lang)
+    chosen = chosen.withColumn("n", F.ceil(F.lit(float(per_fit)) / F.count("*").over(Window.partitionBy("lang"))).cast("int"))
+    texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang", "n")), ["doc_id", "lang"]).groupBy("doc_id", "lang", "n").agg(F.min("text").alias("text"))
+
+    def run(ids: list, langs: list, ns: list, texts: list) -> Iterator[tuple]:
+        for i, lang, n, text in zip(ids, langs, ns, texts):
+            for piece in draw(text, n, crc_mod(i, 1 << 32)):
+                yield i, lang, piece
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("piece", T.BinaryType())])
+    return arrow_rows(texts.select(F.col("doc_id").cast("long"), "lang", "n", "text"), schema, lambda: run, slice_rows=64)
+
+
+def train(docs: DataFrame, fold: int | None = 2, folds: int = 4, per_lang: int = DOCS) -> Network | None:
+    """Fit on segments of at most per_lang texts of each language, none of the held-out fold."""
+    rows = segments(docs, fold, folds, per_lang).toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["piece"]))
+    return fit([r["piece"] for r in rows], [r["lang"] for r in rows])
 
 
 PREDICTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
