@@ -11,21 +11,28 @@ from vivaspark.llm import mixing, simhash, toxicity, wordtok  # noqa: E402
 
 
 def plain_lines(rows):
-    tokens = {}
+    """Lines of each document without those of recurring templates: each line's templates, and the documents of each."""
+    docs = {}
 
-    def template(line):
+    def templates(line):
         words = re.sub(r"[ \t\x0b\f\r]+", " ", line.lower()).strip(" ").split(" ")
         words = ["<*>" if re.search(r"[0-9@]|://", w) else w for w in words]
-        fields = words.count("<*>")
-        ok = len(words) >= 3 and (not fields or (len(words) - fields >= 3 and fields * 2 <= len(words)))
-        return " ".join(words) if ok else None
+        n, out = len(words), []
+        cuts = [0, n // 4, n // 2, 3 * n // 4, n]
+        for free in range(4 if n >= 8 else 1):
+            left = words if not free else words[: cuts[free]] + words[cuts[free + 1] :]
+            fixed = sum(w != "<*>" for w in left)
+            if n >= 3 and (fixed == n or n - fixed <= fixed and (free or fixed >= 3)):
+                out.append((n, free, tuple(left), 2 if (n >= 8 if not free else fixed >= 16) else 5))
+        return out
 
     for r in rows:
         for line in (r["text"] or "").split("\n"):
-            if t := template(line):
-                tokens.setdefault(t, set()).add(r["doc_id"])
-    gone = {t: min(ids) for t, ids in tokens.items() if len(ids) >= (2 if len(t.split(" ")) >= 8 else 5)}
-    return {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if gone.get(template(x), r["doc_id"]) == r["doc_id"]) for r in rows}
+            for t in templates(line):
+                docs.setdefault(t, set()).add(r["doc_id"])
+    first = {t: min(ids) for t, ids in docs.items() if len(ids) >= t[3]}
+    stays = lambda d, line: all(first.get(t, d) == d for t in templates(line))
+    return {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if stays(r["doc_id"], x)) for r in rows}
 
 
 def test_stages(spark, sf):
@@ -47,7 +54,7 @@ def test_stages(spark, sf):
     assert {r["doc_id"] for r in clean} == {r["doc_id"] for r in start if reader.score(r["text"]) < toxicity.THRESHOLD}
     assert {r["doc_id"]: r["text"] for r in lines} == plain_lines(clean)
 
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in lines}
+    prints = {r["doc_id"]: simhash.fingerprint(r["text"], 5) for r in lines}
     root = {f: f for f in prints.values()}
 
     def find(x):
@@ -80,5 +87,28 @@ def test_stages(spark, sf):
         assert [int(x) for x in r["ids"].split()] == wordtok.load().encode(text[r["doc_id"]], add_special_tokens=False).ids
 
 
+def test_defined_cases(spark, sf):
+    """Nulls in any column, empty and very long texts, repeated rows, shared ids and further columns, through every stage."""
+    long = " ".join(f"w{i % 997}" for i in range(60_000))
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, long, None, None, None), (3, long, None, None, None), (4, "a few plain words", "en", "b", 17), (4, "another text of this id", "en", "b", 23), (None, "words without an id", None, "b", 3), (None, None, None, None, None), (5, "A FEW plain words", "en", "b", 17)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, size string, _key string")
+    got = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        got.append([r.asDict() for r in docs.collect()])
+        if name != "encoding":
+            assert docs.columns == corpus_pipeline.COLUMNS
+        docs = spark.createDataFrame(got[-1], docs.schema)
+        assert stage(spark, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), sf).count() == 0
+    clean, lines, single, mixed, coded = got
+    assert len(clean) == len(lines) == len(rows)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in single) == sorted([(1, ""), (3, long), (4, "a few plain words"), (4, "another text of this id"), (0, "words without an id")])
+    assert {(r["doc_id"], r["text"]) for r in mixed} <= {(r["doc_id"], r["text"]) for r in single if r["text"]}
+    assert sorted((r["doc_id"] or 0) for r in coded) == sorted((r["doc_id"] or 0) for r in mixed)
+
+
 def test_run(spark, sf):
-    assert corpus_pipeline.run(spark, sf).count() > 50
+    out = corpus_pipeline.run(spark, sf)
+    rows = out.collect()
+    assert len(rows) > 50 and all(r.n_tokens == len(r.ids.split()) for r in rows)
+    assert {r.doc_id for r in rows} <= {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
