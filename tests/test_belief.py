@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vivaspark.functions import grounding as N
 from vivaspark.operators import belief as B
 from vivaspark.operators import calibrate as C
 from vivaspark.operators import rollout as O
@@ -101,3 +102,25 @@ def test_replay_equals_a_plain_loop(spark):
             assert abs(r.gain - gain) < 1e-9 and abs(r.reward - (1.5 * gain + 0.5 * (not before) - 0.1 - 0.05 * min(len([x for x in before if plain([x], c)[1]]), 3))) < 1e-9
             k += 1
     assert k == len(got)
+
+
+def test_cross_validation_never_sees_its_fold(spark):
+    rng = random.Random(3)
+    rows = [(u, s, i, min(1.0, max(0.0, rng.gauss((0.2, 0.5, 0.8)[u % 3], 0.1))), 1.0, None) for u in range(18) for s in "xyz" for i in range(3)]
+    df = spark.createDataFrame(rows, "u long, s string, i long, score double, reliability double, fingerprint string")
+    truth = spark.createDataFrame([(u, u % 3) for u in range(18)], "u long, y int")
+    fold = (F.col("u") / 3).cast("int") % 3
+    run = lambda t: {r.u: (r.p, r.confidence, r.fold) for r in C.cross_validate(df, "u", "s", ["i"], "score", t, fold).collect()}
+    got = run(truth)
+    assert len(got) == 18 and sum(p == u % 3 for u, (p, _, _) in got.items()) >= 16
+    # Other labels in one fold change what the other folds' models learn, never its own predictions.
+    turned = run(truth.withColumn("y", F.when(fold == 1, 2 - F.col("y")).otherwise(F.col("y"))))
+    assert {u: x for u, x in got.items() if x[2] == 1} == {u: x for u, x in turned.items() if x[2] == 1} and got != turned
+
+
+def test_grades_by_hand(spark):
+    rows = [(1, "caching of hot keys", "caching of hot keys"), (2, "", "caching"), (3, "uncaching all", "caching keys"), (4, "hot keys", "cold locks")]
+    df = spark.createDataFrame(rows, "k int, a string, r string")
+    got = {r.k: r for r in N.semantic_grade(df, ["k"], "a", "r", ["caching"]).collect()}
+    assert abs(got[1].similarity - 1) < 1e-9 and got[1].coverage == 1 and got[1].grade == "A"
+    assert (got[2].composite, got[2].grade) == (0.0, "F") and (got[3].coverage, got[3].grade) == (0.0, "F") and got[4].similarity == 0.0

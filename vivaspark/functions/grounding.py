@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vivaspark.functions import text as X
@@ -78,9 +80,35 @@ def duration(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", (s / 3600).cast("long"), (s % 3600 / 60).cast("long"), s % 60)
 
 
-def grade(similarity: Column, answer: Column, keywords: list[str]) -> Column:
-    """0.7 similarity and 0.3 keyword coverage as a letter."""
+#: The least composite score of each letter.
+GRADES = {"A": 0.75, "B": 0.55, "C": 0.35, "D": 0.15}
+
+
+def keyword_coverage(answer: Column, keywords: list[str]) -> Column:
+    """Share of the keywords that stand in an answer as whole words; 1 without any."""
+    if not keywords:
+        return F.lit(1.0)
     low = F.lower(answer)
-    covered = sum((F.contains(low, F.lit(k)).cast("int") for k in keywords), F.lit(0)) / max(1, len(keywords))
-    s = 0.7 * similarity + 0.3 * covered
-    return F.when(s >= 0.85, "A").when(s >= 0.7, "B").when(s >= 0.55, "C").when(s >= 0.4, "D").otherwise("F")
+    return sum((low.rlike(rf"(?U)\b{re.escape(k.lower())}\b").cast("int") for k in keywords), F.lit(0)) / float(len(keywords))
+
+
+def letter(score: Column) -> Column:
+    """The letter of a composite score."""
+    out = None
+    for name, least in GRADES.items():
+        out = F.when(score >= least, name) if out is None else out.when(score >= least, name)
+    return out.otherwise("F")
+
+
+def semantic_grade(df: DataFrame, key: list[str], answer: str, reference: str, keywords: list[str], stop: list[str] = STOP) -> DataFrame:
+    """key, similarity, coverage, composite (0.7 and 0.3 of them) and grade of each answer against its reference.
+
+    Similarity is the cosine of unigrams and bigrams under smooth idf, without
+    stop words. Where either text is blank, all is zero and the grade F.
+    """
+    alike = X.pair_cosine(df, key, reference, answer, 1.5, lambda c: X.content_words(c, stop))
+    said = ~(F.coalesce(F.trim(answer), F.lit("")) == "") & ~(F.coalesce(F.trim(reference), F.lit("")) == "")
+    rows = df.select(*key, said.alias("_said"), keyword_coverage(F.col(answer), keywords).alias("_c")).join(alike, key)
+    score = {c: F.when(F.col("_said"), F.col(f)).otherwise(0.0) for c, f in (("similarity", "similarity"), ("coverage", "_c"))}
+    rows = rows.withColumns(score).withColumn("composite", 0.7 * F.col("similarity") + 0.3 * F.col("coverage"))
+    return rows.select(*key, "similarity", "coverage", "composite", letter(F.col("composite")).alias("grade"))

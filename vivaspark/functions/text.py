@@ -5,6 +5,8 @@ NFKC has no built-in; everything else stays in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import unicodedata
 
 import pandas as pd
@@ -129,19 +131,29 @@ def lexical_complexity(text: Column) -> Column:
     return F.coalesce(F.try_divide(total.cast("double"), F.size(words)), F.lit(0.0))
 
 
-def ngram_counts(df: DataFrame, key: list[str], text: str) -> DataFrame:
+def content_words(text: Column, stop: list[str]) -> Column:
+    """Words of two letters, digits or underscores at least, in any script, without stop words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
+    return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
+
+
+def ngram_counts(df: DataFrame, key: list[str], text: str, words: Callable[[Column], Column] = tokens) -> DataFrame:
     """unigram and bigram counts of each row: (key..., term, n). A row's terms are counted within its own row."""
-    words = df.select(*key, tokens(F.col(text)).alias("w"))
+    words = df.select(*key, words(F.col(text)).alias("w"))
     pairs = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get("w", i), x))
     return words.select(*key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("n"))
 
 
-def pair_cosine(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
-    """cosine of the two texts of each row under two-document tf-idf with idf ln(2 / df) + 1."""
-    left = ngram_counts(df, key, a).withColumnRenamed("n", "x")
-    right = ngram_counts(df, key, b).withColumnRenamed("n", "y")
+def pair_cosine(df: DataFrame, key: list[str], a: str, b: str, ratio: float = 2.0, words: Callable[[Column], Column] = tokens) -> DataFrame:
+    """cosine of the two texts of each row under two-document tf-idf.
+
+    idf is ln(n / df) + 1: a term of one text only weighs ln(ratio) + 1, one of
+    both texts 1. With ratio 1.5 that is the smooth form, ln((1 + n) / (1 + df)) + 1.
+    """
+    left = ngram_counts(df, key, a, words).withColumnRenamed("n", "x")
+    right = ngram_counts(df, key, b, words).withColumnRenamed("n", "y")
     both = left.join(right, [*key, "term"], "full").na.fill(0, ["x", "y"])
-    idf = F.when((F.col("x") > 0) & (F.col("y") > 0), 1.0).otherwise(F.log(F.lit(2.0)) + 1)
+    idf = F.when((F.col("x") > 0) & (F.col("y") > 0), 1.0).otherwise(F.log(F.lit(ratio)) + 1)
     x, y = F.col("x") * idf, F.col("y") * idf
     sums = both.groupBy(*key).agg(F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
     sim = F.coalesce(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))), F.lit(0.0))

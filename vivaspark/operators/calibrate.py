@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vivaspark.operators import audit, metrics
+from vivaspark.operators import audit, metrics, sequence
 from vivaspark.operators import belief as B
 from vivaspark.operators.rollout import Episodes
 
@@ -105,6 +105,28 @@ def search(df: DataFrame, episode: str, skill: str, order: list[str], truth: Dat
     return best
 
 
+def cross_validate(df: DataFrame, episode: str, skill: str, order: list[str], score: str, truth: DataFrame, fold: Column, folds: int = 3, base: B.BeliefConfig = B.BeliefConfig()) -> DataFrame:
+    """Episode, y, p, confidence and fold: each episode predicted by a model fitted without its fold.
+
+    `truth` has a row an episode, with y; `fold` is an expression over it, so
+    episodes stay whole. A fit is three rows, one a class; they reach the driver
+    as the next configuration.
+    """
+    dealt = truth.withColumn("_fold", fold)
+    out = None
+    for k in range(folds):
+        seen = df.join(dealt.filter(F.col("_fold") != k).select(episode, "y"), episode)
+        fit = sequence.emission_fit(sequence.balanced_weights(seen, episode), "y", score, "weight").orderBy("y").collect()
+        if len(fit) != 3:
+            raise ValueError(f"the folds other than {k} lack a class")
+        mass = sum(r.prior for r in fit)
+        c = replace(base, centres=tuple(r.centre for r in fit), scales=tuple(r.scale for r in fit), prior=tuple(r.prior / mass for r in fit))
+        held = dealt.filter(F.col("_fold") == k)
+        said = evaluate(df.join(held.select(episode), episode, "left_semi"), episode, skill, order, held.select(episode, "y"), c).withColumn("fold", F.lit(k))
+        out = said if out is None else out.unionByName(said)
+    return out
+
+
 def validated(new: DataFrame, base: DataFrame, slack: float = 0.02) -> bool:
     """The new macro-F1 is not below the base by more than the slack."""
     return new.first().macro_f1 >= base.first().macro_f1 - slack

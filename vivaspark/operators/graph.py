@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vivaspark.functions import text as X
@@ -55,10 +55,20 @@ def hop(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def overlapping(left: DataFrame, right: DataFrame, l_id: str, r_id: str, items: str, least: int) -> DataFrame:
-    """Pairs of sets with at least `least` common items, by an equi join on items; no all-pairs comparison."""
-    a = left.select(l_id, F.explode(F.array_distinct(items)).alias("item"))
-    b = right.select(r_id, F.explode(F.array_distinct(items)).alias("item"))
-    return a.join(b, "item").groupBy(l_id, r_id).agg(F.count("*").alias("common")).filter(F.col("common") >= least)
+    """Pairs of sets with at least `least` common items, by an equi join on the rarest items of each, then an exact count."""
+    a, b = (rows.select(i, F.array_distinct(items).alias("_x")).filter(F.size("_x") >= least) for rows, i in ((left, l_id), (right, r_id)))
+    each = a.select(F.explode("_x").alias("item")).unionAll(b.select(F.explode("_x").alias("item")))
+    often = each.groupBy("item").agg(F.count("*").alias("often"))
+
+    def rarest(rows: DataFrame, i: str) -> DataFrame:
+        """A set of n items that shares `least` with another shares one of its n - least + 1 rarest."""
+        ranked = rows.select(i, F.size("_x").alias("_n"), F.explode("_x").alias("item")).join(often, "item")
+        rank = F.row_number().over(Window.partitionBy(i).orderBy("often", "item"))
+        return ranked.select(i, "item", "_n", rank.alias("_r")).filter(F.col("_r") <= F.col("_n") - least + 1).select(i, "item")
+
+    pairs = rarest(a, l_id).join(rarest(b, r_id), "item").select(l_id, r_id).distinct()
+    both = pairs.join(a, l_id).withColumnRenamed("_x", "_y").join(b, r_id)
+    return both.select(l_id, r_id, F.size(F.array_intersect("_y", "_x")).cast("long").alias("common")).filter(F.col("common") >= least)
 
 
 def evidence(docs: DataFrame, key: str, text: str, catalog: dict[str, list[str]], most: int = 5) -> DataFrame:
@@ -73,8 +83,6 @@ def evidence(docs: DataFrame, key: str, text: str, catalog: dict[str, list[str]]
 
 def hash_split(groups: DataFrame, group: str, seed: int, train: float, validation: float) -> DataFrame:
     """Groups in the order of a seeded hash; the first share trains, the next validates, at least one each."""
-    from pyspark.sql import Window
-
     one = Window.partitionBy(F.lit(1))  # over groups, not rows
     ranked = groups.select(group).distinct().withColumn("h", F.sha2(F.concat_ws(":", F.lit(seed), group), 256))
     ranked = ranked.withColumn("i", F.row_number().over(one.orderBy("h", group))).withColumn("n", F.count("*").over(one))
@@ -100,8 +108,6 @@ def largest_deficit_split(sizes: list[tuple], ratios: dict[str, float]) -> dict:
 
 def largest_remainder(df: DataFrame, share: Column, total: int, tie: str) -> DataFrame:
     """whole parts of shares of a total, the rest by largest remainder, ties by key. For dimension tables."""
-    from pyspark.sql import Window
-
     one = Window.partitionBy(F.lit(1))
     out = df.withColumn("_x", share / F.sum(share).over(one) * total).withColumn("_f", F.floor("_x"))
     rank = F.row_number().over(one.orderBy(F.desc(F.round(F.col("_x") - F.col("_f"), 9)), tie))

@@ -40,11 +40,34 @@ def missing_lookup(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame
     return rows.select(key).join(dimension.select(key), key, "left_anti").distinct()
 
 
-def top_bottom(df: DataFrame, by: str, tie: str, n: int, keys: list[str] = ()) -> DataFrame:
-    """The first n and last n rows of each key, all where there are no more than 2n."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    up, down = F.row_number().over(w.orderBy(F.desc(by), tie)), F.row_number().over(w.orderBy(F.asc(by), F.desc(tie)))
-    return df.select("*", up.alias("rank_high"), down.alias("rank_low")).filter((F.col("rank_high") <= n) | (F.col("rank_low") <= n))
+def top_bottom(df: DataFrame, by: str, tie: str, n: int, keys: list[str]) -> DataFrame:
+    """The first n and last n rows of each key, all where there are no more than 2n.
+
+    Two ranks with a limit each, so a task passes on n rows a key; one rank
+    follows from the other and the key's number of rows.
+    """
+    w = Window.partitionBy(*keys)
+    total = df.groupBy(*keys).agg(F.count("*").alias("_all"))
+    high = df.select("*", F.row_number().over(w.orderBy(F.desc(by), tie)).alias("rank_high")).filter(F.col("rank_high") <= n)
+    low = df.select("*", F.row_number().over(w.orderBy(F.asc(by), F.desc(tie))).alias("rank_low")).filter(F.col("rank_low") <= n)
+    high = high.join(total, keys).withColumn("rank_low", F.col("_all") - F.col("rank_high") + 1)
+    low = low.join(total, keys).withColumn("rank_high", F.col("_all") - F.col("rank_low") + 1).filter(F.col("rank_high") > n)
+    return high.unionByName(low).drop("_all")
+
+
+#: Share of all rows from which a key is hot: one in so many.
+HOT = 1000
+
+
+def join_by_key(rows: DataFrame, one: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of rows with a table that has a row a key and, in `weight`, how many of the rows have that key.
+
+    Keys of a thousandth of all rows or more, at most HOT of them by that bound,
+    are broadcast; the others are shuffled, none of them hot. `weight` is dropped.
+    """
+    hot = F.broadcast(one.filter(F.col(weight) * HOT >= total).drop(weight))
+    rest = one.filter(F.col(weight) * HOT < total).drop(weight)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
 
 
 def cyclic_take(items: DataFrame, order: str, n: Column, total: Column, times: int) -> DataFrame:

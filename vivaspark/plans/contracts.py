@@ -1,5 +1,6 @@
 """Queries over row contracts, projections, planners and small functions."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vivaspark.operators import contracts as C
@@ -42,12 +43,12 @@ def generation_seed(t):
 
 
 @query("""
-WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS a FROM events WHERE event_id % 9 = 0 GROUP BY user_id), j AS (SELECT user_id, list_distinct(list(event_type)) AS b FROM events WHERE event_id % 9 = 1 GROUP BY user_id),
+WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS a FROM events WHERE value > 20 GROUP BY user_id), j AS (SELECT user_id, list_distinct(list(event_type)) AS b FROM events WHERE value <= 20 GROUP BY user_id),
 p AS (SELECT user_id, len(list_intersect(a, b)) AS overlap, len(b) AS n FROM s JOIN j USING (user_id))
 SELECT user_id, CAST(overlap AS INTEGER) AS overlap, round(overlap / n, 6) AS ratio, CASE WHEN overlap / n >= 0.5 THEN 'domain_matched' WHEN overlap > 0 THEN 'overlap' ELSE 'disjoint' END AS pairing_class FROM p
 """)
 def pairing_record(t):
-    part = lambda k, n: t.events.filter(F.col("event_id") % 9 == k).groupBy("user_id").agg(F.collect_set("event_type").alias(n))
+    part = lambda k, n: t.events.filter("value > 20" if k == 0 else "value <= 20").groupBy("user_id").agg(F.collect_set("event_type").alias(n))
     return six(part(0, "a").join(part(1, "b"), "user_id").select("user_id", C.pairing_record(F.col("a"), F.col("b")).alias("r")).select("user_id", "r.*"), "ratio")
 
 
@@ -62,11 +63,11 @@ def pairing_record_all(t):
     return six(part(0, "a").join(part(1, "b"), "user_id").select("user_id", C.pairing_record(F.col("a"), F.col("b")).alias("r")).select("user_id", "r.*"), "ratio")
 
 
-@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_acctbal > 9000")
+@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey")
 def pool_pairs(t):
     """All supplier and customer pairs of a nation."""
     a = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("pool"))
-    b = t.customer.filter("c_acctbal > 9000").select("c_custkey", F.col("c_nationkey").alias("pool"))
+    b = t.customer.select("c_custkey", F.col("c_nationkey").alias("pool"))
     return C.paired_pools(a, b, "pool").select("s_suppkey", "c_custkey")
 
 
@@ -143,17 +144,16 @@ def lease_freshness(t):
 @query("SELECT user_id, event_type, rank AS position FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY round(s, 6) DESC, event_type) AS rank FROM (SELECT user_id, event_type, stddev_pop(value) AS s FROM events GROUP BY ALL)) WHERE rank <= 5")
 def top_entropy_skills(t):
     """At most five per key, by a spread, ties by name."""
-    from pyspark.sql import Window
-
     per = t.events.groupBy("user_id", "event_type").agg(F.stddev_pop("value").alias("s"))
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc(F.round("s", 6)), "event_type"))
     return per.select("user_id", "event_type", rank.cast("long").alias("position")).filter("position <= 5")
 
 
-@query("SELECT conv_id, turn, role FROM conversations WHERE conv_id < 20")
+@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations")
 def turn_listing(t):
-    """Turns of some conversations in order."""
-    return t.conversations.filter("conv_id < 20").orderBy("conv_id", "turn").select("conv_id", "turn", "role")
+    """Each turn with its place in its conversation."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t.conversations.select("conv_id", "turn", "role", place.cast("long").alias("place"))
 
 
 @query("SELECT conv_id, turn, role FROM conversations")

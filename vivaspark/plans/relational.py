@@ -97,8 +97,9 @@ def set_equality(t):
 @query("SELECT user_id, event_type, n AS first_seen FROM (SELECT user_id, event_type, rn AS n FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY f) AS rn FROM (SELECT user_id, event_type, min((ts, event_id)) AS f FROM events GROUP BY ALL)))")
 def ordered_dedupe(t):
     """Distinct values of each user in order of first appearance."""
-    seen = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x.event_type))
-    return t.events.groupBy("user_id").agg(seen.alias("types")).select("user_id", F.posexplode("types").alias("pos", "event_type")).select("user_id", "event_type", (F.col("pos") + 1).cast("long").alias("first_seen"))
+    first = t.events.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("at"))
+    return first.select("user_id", "event_type", place.cast("long").alias("first_seen"))
 
 
 @query("SELECT doc_id, copies, doc_id = min(doc_id) OVER (PARTITION BY h) AS kept FROM (SELECT doc_id, sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')))) AS h, count(*) OVER (PARTITION BY sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))))) AS copies FROM documents)")

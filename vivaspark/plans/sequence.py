@@ -1,5 +1,6 @@
 """Queries over ordered events and conversation turns."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vivaspark.operators import sequence as S
@@ -104,8 +105,6 @@ SELECT event_id, round(1.5 * value / 100 + 0.5 * (visits = 0)::INT - 0.1 - 0.05
   + CASE WHEN back > 1 THEN 0 WHEN event_id % 4 = 3 THEN -2.5 WHEN abs(user_id % 3 - event_id % 4) = 0 THEN 10 WHEN abs(user_id % 3 - event_id % 4) = 1 THEN -5 ELSE -10 END, 6) AS reward FROM r
 """)
 def step_reward(t):
-    from pyspark.sql import Window
-
     visits = F.row_number().over(S.over(["user_id", "event_type"], _ORDER)) - 1
     back = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
     rows = t.events.withColumn("visits", visits).withColumn("back", back)
@@ -150,8 +149,6 @@ def turn_summary_mode(t):
 @query("SELECT user_id, event_id, round(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS running FROM events")
 def running_maximum(t):
     """W23."""
-    from pyspark.sql import Window
-
     w = S.over(["user_id"], _ORDER).rowsBetween(Window.unboundedPreceding, 0)
     return t.events.select("user_id", "event_id", F.round(F.max("value").over(w), 6).alias("running"))
 
@@ -159,8 +156,10 @@ def running_maximum(t):
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM events) WHERE b <= 5 GROUP BY user_id")
 def last_k_history(t):
     """The last five, also where there are fewer."""
-    a = t.events.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x.event_type).alias("a"))
-    return a.select("user_id", F.array_join(F.slice("a", F.greatest(F.size("a") - 4, F.lit(1)), 5), ",").alias("recent"))
+    back = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    last = t.events.select("user_id", "event_type", back.alias("back")).filter("back <= 5")
+    names = F.transform(F.sort_array(F.collect_list(F.struct(-F.col("back"), "event_type"))), lambda x: x.event_type)
+    return last.groupBy("user_id").agg(F.array_join(names, ",").alias("recent"))
 
 
 @query("SELECT user_id, round(quantile_cont(v, 0.9), 6) AS q90, round(max(abs(v)), 6) AS scale FROM (SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY ALL) GROUP BY user_id")

@@ -1,10 +1,12 @@
 """Queries over sources, sinks and contracts."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vivaspark.functions import text as X
-from vivaspark.operators import graph as G
 from vivaspark.plans.base import query
+from vivaspark.session import shared_folder
 from vivaspark.sources import readers as S
 from vivaspark.sources import writers as W
 
@@ -35,16 +37,17 @@ def source_manifest(t):
     return S.source_manifest(t.documents, "text", "lang")
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def _folder(t, name: str) -> str:
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id, event_type, value FROM events")
 def json_round_trip(t):
     """Rows appended as JSON lines and read back with their schema."""
-    import uuid
-
-    G.cut_lineage(t.spark.range(1))  # names the shared folder where the session has none
-    path = f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/json-{uuid.uuid4().hex}"
+    path = _folder(t, "json")
     rows = t.events.select("event_id", "event_type", "value")
     W.ledger(rows, path)
-    return t.spark.read.schema(rows.schema).option("mode", "FAILFAST").json(path).groupBy("event_type").agg(F.count("*").alias("n"))
+    return t.spark.read.schema(rows.schema).option("mode", "FAILFAST").json(path)
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 1 END AS revision FROM customer")
@@ -66,3 +69,54 @@ def name_attributes(t):
 def stratified_sample(t):
     """Ten rows of each source by a seeded hash."""
     return S.stratified(t.documents, "source", "doc_id", 10, 42).select("source", "doc_id")
+
+
+@query("SELECT 'doc-' || doc_id AS id, source AS category, length(replace(text, chr(13), '')) AS chars FROM documents WHERE source IN ('src0', 'src1') AND text <> '' AND NOT contains(text, chr(13))")
+def csv_scan(t):
+    """Texts with line ends and quotes written as CSV, scanned with their checks, two categories kept."""
+    d = t.documents.filter(F.col("text") != "").filter(~F.col("text").contains("\r"))
+    path = _folder(t, "resumes") + ".csv"
+    cells = {"ID": F.concat(F.lit("doc-"), "doc_id"), "Resume_str": F.col("text"), "Resume_prompt": X.prompt(F.col("text")), "Category": F.col("source"), "Resume_text_hash": X.content_hash(F.col("text")), "Prompt_truncated": (F.length("text") > 8000).cast("string")}
+    d.select(*[v.alias(k) for k, v in cells.items()]).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    out = S.in_categories(S.resumes(t.spark, path), ["src0", "src1"])
+    return out.select(F.col("ID").alias("id"), F.col("Category").alias("category"), F.length("Resume_str").alias("chars"))
+
+
+@query("SELECT o_orderpriority AS dataset_split, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1")
+def split_folder(t):
+    """A folder a split; the reader of one opens no other."""
+    path = _folder(t, "splits")
+    W.splits(t.orders.withColumn("dataset_split", F.col("o_orderpriority")), path)
+    own = t.spark.read.parquet(f"{path}/dataset_split=1-URGENT").withColumn("dataset_split", F.lit("1-URGENT"))
+    return own.groupBy("dataset_split").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT * FROM (VALUES ('AFRICA', TRUE), ('ASIA', TRUE), ('ATLANTIS', FALSE)) AS v(region, present)")
+def asset_inventory(t):
+    """Files below a folder against a table of what is required."""
+    path = _folder(t, "assets")
+    t.region.write.partitionBy("r_name").parquet(path)
+    needed = t.spark.createDataFrame([(r, "report") for r in ("AFRICA", "ASIA", "ATLANTIS")], "asset string, needed_for string")
+    found = S.inventory(S.files(t.spark, path, "*.parquet"), needed, F.regexp_extract("path", "r_name=([^/]+)/", 1))
+    return found.select(F.col("asset").alias("region"), F.col("exists").alias("present"))
+
+
+@query("SELECT r_name AS a, n_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey")
+def role_graph_scan(t):
+    """A graph written as JSON documents, one a region, read back as edges between its nodes."""
+    path = _folder(t, "graph")
+    pairs = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.collect_list(F.array("r_name", "n_name")).alias("edges"), F.concat(F.array(F.first("r_name")), F.collect_list("n_name")).alias("nodes"))
+    pairs.select("nodes", "edges").write.json(path)
+    raw = t.spark.read.schema("nodes array<string>, edges array<array<string>>").json(path)
+    known = raw.select(F.explode("nodes").alias("b")).distinct()
+    return raw.select(F.explode("edges").alias("e")).select(F.col("e")[0].alias("a"), F.col("e")[1].alias("b")).join(known, "b", "left_semi")
+
+
+@query("""
+SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'not_pdf' WHEN page_id % 5 = 1 THEN 'encrypted' WHEN page_id % 60 > 50 THEN 'too_many_pages' END AS reason FROM pages
+""")
+def document_guards(t):
+    """Bodies that stand for documents of page_id % 60 pages."""
+    k = F.col("page_id") % 5
+    body = F.concat(F.when(k == 0, "PK").otherwise("%PDF-1.7\n"), F.when(k == 1, "/Encrypt 1 0 R\n").otherwise(""), F.repeat(F.lit("<< /Type /Page /Parent 2 0 R >>\n"), (F.col("page_id") % 60).cast("int")), F.lit("<< /Type /Pages /Count 1 >>"))
+    return t.pages.select("page_id", S.document_guard(F.encode(body, "ISO-8859-1"), F.col("html")).alias("reason"))

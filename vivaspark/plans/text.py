@@ -1,7 +1,9 @@
 """Queries over texts, graphs and splits."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vivaspark.functions import grounding as N
 from vivaspark.functions import text as X
 from vivaspark.operators import graph as G
 from vivaspark.plans.base import query
@@ -39,8 +41,6 @@ def lexical_complexity(t):
 
 
 def _turn_pairs(t):
-    from pyspark.sql import Window
-
     said = t.conversations.filter("role = 'assistant'")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     return said.select("conv_id", "turn", "text", before.alias("before")).filter("before IS NOT NULL")
@@ -95,6 +95,26 @@ def set_overlap_pairs(t):
     return G.overlapping(convs, t.benchmark.select("item_id", words(F.col("text"))), "conv_id", "item_id", "w", 12)
 
 
+_STOP = ", ".join(f"'{w}'" for w in N.STOP)
+
+
+@query(f"""
+WITH p AS (SELECT * FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'assistant') WHERE before IS NOT NULL),
+k AS (SELECT conv_id, turn, 0 AS side, text AS x FROM p UNION ALL SELECT conv_id, turn, 1, before FROM p),
+w AS (SELECT conv_id, turn, side, list_filter(regexp_extract_all(lower(x), '([\\p{{L}}\\p{{N}}_]{{2,}})', 1), lambda v: v NOT IN ({_STOP})) AS w FROM k),
+g AS (SELECT conv_id, turn, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+c AS (SELECT conv_id, turn, term, count(*) FILTER (side = 0) AS x, count(*) FILTER (side = 1) AS y FROM g GROUP BY ALL),
+i AS (SELECT *, CASE WHEN x > 0 AND y > 0 THEN 1.0::DOUBLE ELSE ln(1.5::DOUBLE) + 1 END AS f FROM c),
+v AS (SELECT conv_id, turn, sum(x * f * y * f) AS xy, sum(x * f * x * f) * sum(y * f * y * f) AS z FROM i GROUP BY ALL),
+s AS (SELECT conv_id, turn, CASE WHEN trim(text) = '' OR trim(before) = '' THEN 0 WHEN z > 0 THEN xy / sqrt(z) ELSE 0 END AS sim, CASE WHEN trim(text) = '' OR trim(before) = '' THEN 0 ELSE (regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])the($|[^\\p{{L}}\\p{{N}}_])')::INT + regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])le($|[^\\p{{L}}\\p{{N}}_])')::INT) / 2.0 END AS cov FROM p LEFT JOIN v USING (conv_id, turn))
+SELECT conv_id, turn, round(sim, 6) AS similarity, cov::DOUBLE AS coverage, CASE WHEN 0.7 * sim + 0.3 * cov >= 0.75 THEN 'A' WHEN 0.7 * sim + 0.3 * cov >= 0.55 THEN 'B' WHEN 0.7 * sim + 0.3 * cov >= 0.35 THEN 'C' WHEN 0.7 * sim + 0.3 * cov >= 0.15 THEN 'D' ELSE 'F' END AS grade FROM s
+""")
+def semantic_grade(t):
+    """each assistant turn graded against the one before it."""
+    out = N.semantic_grade(_turn_pairs(t), ["conv_id", "turn"], "text", "before", ["the", "le"])
+    return six(out.drop("composite"), "similarity")
+
+
 _CATALOG = {"License": ["licensed under", "license"], "The": ["the the"], "Negation": ["not", "nicht"], "Contact": ["mail", "phone"]}
 
 
@@ -116,11 +136,7 @@ def domain_detection(t):
     return t.documents.select("doc_id", X.detect_domain(F.col("text"), {"latin": ["tion", "ment", "que", "ció"], "german": ["sch", "ung", "keit", "ü"]}).alias("domain"))
 
 
-_EDGES = "SELECT DISTINCT l_partkey * 2 AS a, l_orderkey * 2 + 1 AS b FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 20 = 0"
-
-
-def _part_orders(t):
-    return t.lineitem.filter("l_linenumber = 1 AND l_orderkey % 20 = 0").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_orderkey") * 2 + 1).alias("b"))
+_EDGES = "SELECT s_suppkey * 2 AS a, s_nationkey * 2 + 1 AS b FROM supplier UNION SELECT n_regionkey * 2 + 1001 AS a, n_nationkey * 2 + 1 AS b FROM nation WHERE n_name < 'J'"
 
 
 @query(f"""
@@ -128,7 +144,10 @@ WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT a, b FROM e UNION SELECT b, a FROM
 SELECT node, min(reach) AS component FROM r GROUP BY node
 """)
 def connected_components(t):
-    return G.components(_part_orders(t)).select("node", "component")
+    """Suppliers meet in their nations, nations with a name before J in their regions."""
+    own = t.supplier.select((F.col("s_suppkey") * 2).cast("long").alias("a"), (F.col("s_nationkey") * 2 + 1).cast("long").alias("b"))
+    regions = t.nation.filter("n_name < 'J'").select((F.col("n_regionkey") * 2 + 1001).cast("long").alias("a"), (F.col("n_nationkey") * 2 + 1).cast("long").alias("b"))
+    return G.components(own.union(regions)).select("node", "component")
 
 
 def _all_part_orders(t):

@@ -90,6 +90,26 @@ def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return raw.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("file_hash"))
 
 
+def inventory(found: DataFrame, required: DataFrame, asset: Column) -> DataFrame:
+    """Each required row (asset, needed_for) with the files of that asset and their bytes; none is `exists` false. `asset` reads a file's asset from its path."""
+    per = found.groupBy(asset.alias("asset")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    return required.join(per, "asset", "left").na.fill(0, ["files", "bytes"]).withColumn("exists", F.col("files") > 0)
+
+
+#: The largest document, in bytes, pages and characters of text.
+MOST_BYTES, MOST_PAGES, MOST_CHARS = 10 << 20, 50, 200_000
+
+
+def document_guard(content: Column, text: Column) -> Column:
+    """Why a PDF document is refused, or null: not one, encrypted, too large, too many pages or too much text.
+
+    Pages are counted by their page objects; `text` is what a reader made of it.
+    """
+    body = F.decode(content, "ISO-8859-1")
+    checks = [(~body.startswith("%PDF-"), "not_pdf"), (F.octet_length(content) > MOST_BYTES, "too_large"), (body.contains("/Encrypt"), "encrypted"), (F.regexp_count(body, F.lit(r"/Type\s*/Page[^s]")) > MOST_PAGES, "too_many_pages"), (F.length(text) > MOST_CHARS, "too_much_text")]
+    return F.coalesce(*[F.when(bad, F.lit(code)) for bad, code in checks])
+
+
 def role_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges (a, b) of ontology files."""
     raw = spark.read.schema("nodes array<string>, edges array<array<string>>").option("multiLine", True).json(path)

@@ -44,6 +44,8 @@ def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
     """A small table as text."""
     rows = df.limit(most).collect()
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    if len(rows) == most:
+        lines[2:2] = [f"The first {most} rows.", ""]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]) + "\n"
 
 
