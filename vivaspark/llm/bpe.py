@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vivaspark.llm import wordtok
-from vivaspark.llm.common import small_batches, table
+from vivaspark.llm.common import give_back, small_batches, table
 
 #: Bytes of text that are split into words at a time, and of packed arrays that are put together at a time.
 BLOCK, PACKED = 4 << 20, 1 << 20
@@ -240,6 +240,8 @@ def _encoded_rows(docs: DataFrame, keep: list[str] | None, tokenizer: str, most_
     hole = hot.num_rows + 1
     words, ids = (spark.sparkContext.broadcast(_stream(_array(hot.column(c)))) for c in ("word", "ids"))
     call = uuid4().hex
+    del hot
+    give_back()
 
     # Small ids compress well; where there is none, the text's own hash has to tell rows apart.
     whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)

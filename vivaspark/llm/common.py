@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from vivaspark.operators.relational import HOT, join_by_key  # noqa: F401
 from vivaspark.session import shared_folder
 
 #: What separates words in every contract: space and the controls 9 to 13.
@@ -27,26 +30,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of a table over which a key is hot, as a share of all.
-HOT = 1000
-
-
-def join_by_key(rows: DataFrame, one: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """Inner join of rows with a table that has a row a key and, in `weight`, how many of the rows have that key.
-
-    Keys of a thousandth of all rows or more, at most HOT of them by that bound,
-    are broadcast; the others are shuffled, none of them hot. `weight` is dropped.
-    """
-    hot = F.broadcast(one.filter(F.col(weight) * HOT >= total).drop(weight))
-    rest = one.filter(F.col(weight) * HOT < total).drop(weight)
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
-
-
-def parts_for(df: DataFrame, bytes_in: int, per_part: int) -> int:
-    """Partitions so that each holds about per_part bytes, never below the session's setting."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(bytes_in) // per_part))
-
-
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Let Arrow batches of texts have at most so many rows, on both sides of the pipe to Python."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -75,6 +58,16 @@ def arrow_rows(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return memory that a fit on the driver has freed to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def crc_fold(col: str, mod: int):
     """crc32 of an id written as text, modulo mod; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
@@ -82,8 +75,3 @@ def crc_fold(col: str, mod: int):
 
 def crc_mod(value: object, mod: int) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode()) % mod
-
-
-def keep_names(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """Only the wanted columns, by exact name, so extra or clashing ones don't matter."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])

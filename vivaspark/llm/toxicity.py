@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
 import zlib
 from collections import Counter
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vivaspark.llm.common import arrow_rows, crc_fold, small_batches, table
+from vivaspark.llm.common import arrow_rows, crc_fold, give_back, small_batches, table
 
 PER_CLASS = 3000
 THRESHOLD = 0.7
@@ -256,14 +257,23 @@ class Reader:
 
 def _lexicon(docs: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
     """Words and beginnings with log odds of at least 1.5, seen in at least 3 toxic documents and 0.4 % of them."""
-    counts = (Counter(), Counter())
-    for words, t in zip(docs, toxic):
-        counts[int(t)].update({p for w in words for p in _patterns(w)})
     n = (max(1, int((~toxic).sum())), max(1, int(toxic.sum())))
+    least = max(3, 0.004 * n[1])
+    # Only words of enough toxic documents, and beginnings of which enough have any, are counted in the others.
+    met: Counter = Counter()
+    for words, t in zip(docs, toxic):
+        if t:
+            met.update({p for w in words for p in _patterns(w)})
+    often = {p: k for p, k in met.items() if k >= least and bare(p) not in CLOSED}
+    del met
+    clean: Counter = Counter()
+    for words, t in zip(docs, toxic):
+        if not t:
+            clean.update({p for w in words for p in _patterns(w) if p in often})
     out = {}
-    for p, k in counts[1].items():
-        odds = math.log((k + 0.5) / (n[1] + 1)) - math.log((counts[0][p] + 0.5) / (n[0] + 1))
-        if k >= max(3, 0.004 * n[1]) and odds >= 1.5 and bare(p) not in CLOSED:
+    for p, k in often.items():
+        odds = math.log((k + 0.5) / (n[1] + 1)) - math.log((clean[p] + 0.5) / (n[0] + 1))
+        if odds >= 1.5:
             out[p] = round(min(odds, 6.0), 4)
     return out
 
@@ -309,7 +319,8 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     for g, t, x in zip(groups, texts, toxic):
         seen.setdefault((g, int(bool(x))), t or "")
     texts, y = list(seen.values()), np.array([x for _, x in seen], bool)
-    docs = [{w for w in tokens_of(t) if len(w) >= 3 and w.isalpha()} for t in texts]
+    # Documents share one string a word.
+    docs = [{sys.intern(w) for w in tokens_of(t) if len(w) >= 3 and w.isalpha()} for t in texts]
     if y.all() or not y.any():
         return Model({}, [0.0] * 5, [1.0] * 5, [-4.0, 1.0, 1.0, 1.0, 1.0, 0.0])
     half, x = np.array([zlib.crc32(t.encode()) >> 7 & 1 for t in texts]), np.zeros((len(y), 5))
@@ -333,7 +344,10 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = 1, folds: int =
     # At most 2 * per_class ids and labels are broadcast; of rows that share an id the smallest text counts.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().to_pylist()
     rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [int(r["toxic"] == 1) for r in rows])
+    model = fit([r["text"] for r in rows], [int(r["toxic"] == 1) for r in rows])
+    del rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

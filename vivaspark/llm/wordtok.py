@@ -34,8 +34,8 @@ def load(name_or_path: str = DEFAULT_TOKENIZER):
     return tok
 
 
-@lru_cache(maxsize=2)
 def spec(name_or_path: str = DEFAULT_TOKENIZER) -> dict:
+    """The tokenizer's file. It is large, so whoever reads it keeps what they need."""
     with open(tokenizer_path(name_or_path), encoding="utf-8") as f:
         return json.load(f)
 
