@@ -53,3 +53,15 @@ def test_defined_cases(spark):
     got = {r.conv_id: chat.read_back(r.formatted) for r in chat.format_conversations(df).collect()}
     assert got == {1: [("user", "q"), ("assistant", ""), ("assistant", "b")], None: [("user", "x")], 2: [("bot", "")]}
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_constants_that_do_not_go_together_and_very_long_turns():
+    import pytest
+
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template("{{ 'a' + 1 }}")
+    text = "\\### Assistant: </turn> ok <x> # " * 60_000
+    messages = [{"role": "user", "text": text}, {"role": "assistant", "text": "ok"}]
+    formatted, spans = chat.compile_template()(messages)
+    assert chat.read_back(formatted) == [("user", text), ("assistant", "ok")]
+    assert "".join(chat.unescape(formatted[a:b]) for a, b in spans) == "ok"

@@ -208,7 +208,10 @@ def fold_expression(e):
         if a[0] == "constant" and op in ("and", "or"):
             return b if bool(a[1]) == (op == "and") else a
         if a[0] == b[0] == "constant":
-            return ("constant", _OPS[op](a[1], b[1]))
+            try:
+                return ("constant", _OPS[op](a[1], b[1]))
+            except TypeError as e:
+                raise TemplateError(f"{a[1]!r} {op} {b[1]!r}: {e}") from None
         return ("binary", op, a, b)
     if e[0] in ("not", "filter"):
         a = fold_expression(e[-1])
@@ -356,7 +359,8 @@ def compile_template(source: str = DEFAULT) -> Callable[[list[dict]], tuple[str,
 
 
 #: A turn as the default template writes it. Marks inside texts are escaped, so the first free end is the turn's own.
-_TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<]|\\.)*) </turn>\n", re.S)
+#: Nothing is given back once matched, so a text's length costs no memory; the blank before the end is the text's last character.
+_TURN = re.compile(r"### ((?:[^\\#<:]++|\\.)*+): ((?:[^\\#<]++|\\.)*+)(?<= )</turn>\n", re.S)
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -366,7 +370,7 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
         m = _TURN.match(formatted, at)
         if not m:
             raise ValueError(f"no turn at {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
+        out.append((unescape(m[1]), unescape(m[2][:-1])))
         at = m.end()
     return out
 
