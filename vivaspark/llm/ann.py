@@ -220,8 +220,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RER
         queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
         quantiser = train(vectors, dim)
         shared = spark.sparkContext.broadcast(quantiser.books)
-        wanted = query_blocks(queries, dim, max(1, -(-queries.count() // QUERY_BLOCK)))
-        pairs = index(vectors, quantiser, max(1, -(-sizes["count"] // BLOCK))).hint("shuffle_replicate_nl").crossJoin(wanted)
+        # A task a pair of partitions: as many partitions as blocks, whatever the shuffles had.
+        blocks, q_blocks = max(1, -(-sizes["count"] // BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+        wanted = query_blocks(queries, dim, q_blocks).coalesce(q_blocks)
+        pairs = index(vectors, quantiser, blocks).coalesce(blocks).hint("shuffle_replicate_nl").crossJoin(wanted)
 
         def run(batches):
             aq = AdditiveQuantiser(shared.value)
