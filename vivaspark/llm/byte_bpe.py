@@ -10,8 +10,8 @@ are, the others from U+0100 on).
 Encoding works on chunks: white space and the word after it. No match of the
 pattern crosses from a non-space to a space, so a text's ids are those of its
 chunks in order. A task numbers the chunks of a block of texts, has the library
-encode each distinct one that its cache lacks, and gathers the ids by position
-with numpy. Offsets count code points; a character whose bytes lie in several
+encode each distinct one that its cache lacks, many at a time, and gathers the
+ids by position with numpy. Offsets count code points; a character whose bytes lie in several
 tokens belongs to each of them.
 
 Nothing is shuffled. A task's memory is that of a block of text, of its cache
@@ -48,10 +48,13 @@ DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
 #: White space as the pattern sees it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_SPACE}]", c))
 #: Where a long text may be cut: before white space after something else, and from punctuation to a letter or digit.
 _CUT = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])|(?<=[.,;:!?)\\]\\u3001\\u3002\\uff0c\\uff1a\\uff1b\\uff01\\uff1f])(?=[A-Za-z0-9\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5])")
 #: Code points of a text, and bytes of a block of texts, that are worked at a time; chunks in a task's cache, and code points of those that enter it.
 SLICE, BLOCK, CACHE, CACHED = 1 << 19, 2 << 20, 300_000, 64
+#: Chunks that the library gets as one text.
+TOGETHER = 4096
 #: A token's id, and with offsets its first and last code point.
 _ID, _OFF = 1, 3
 
@@ -102,24 +105,50 @@ class _Coder:
     """The library's tokenizer of a process, and the tokens of chunks met before, as bytes of int32 rows."""
 
     def __init__(self, ranks_file: str):
-        self.tok = library(ranks_of(ranks_file))
+        ranks = ranks_of(ranks_file)
+        self.tok = library(ranks)
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int32)
+        self.sizes[list(ranks.values())] = [len(t) for t in ranks]
         self.known: dict[int, dict[str, bytes]] = {_ID: {}, _OFF: {}}
 
+    def _together(self, parts: list[list[str]], width: int) -> Iterator[bytes]:
+        """Tokens of each chunk, those of a part encoded as one text; where a chunk's bytes end, so do its tokens."""
+        texts = ["".join(part) for part in parts]
+        batch = (self.tok.encode_batch_fast if width == _ID else self.tok.encode_batch)(texts, add_special_tokens=False)
+        for part, e in zip(parts, batch):
+            ids = np.array(e.ids, np.int32)
+            stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(c.encode()) for c in part])) + 1
+            rows = ids[:, None]
+            if width == _OFF:
+                lengths = np.array([len(c) for c in part])
+                own = np.repeat(np.cumsum(lengths) - lengths, np.diff(stops, prepend=0))
+                rows = np.concatenate([rows, np.array(e.offsets, np.int32).reshape(-1, 2) - own[:, None]], 1)
+            blob, at = np.ascontiguousarray(rows, np.int32).tobytes(), 0
+            for end in (stops * (4 * width)).tolist():
+                yield blob[at:end]
+                at = end
+
     def tokens(self, chunks: list[str], width: int) -> list[bytes]:
         known = self.known[width]
         if len(known) > CACHE:
             known.clear()
-        new = [c for c in chunks if c not in known]
-        found = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            if width == _ID:
-                rows = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            else:
-                rows = [[(i, *o) for i, o in zip(e.ids, e.offsets)] for e in self.tok.encode_batch(part, add_special_tokens=False)]
-            for c, r in zip(part, rows):
-                (known if len(c) <= CACHED else found)[c] = np.array(r, np.int32).tobytes()
-        return [known.get(c) or found.get(c, b"") for c in chunks]
+        out = list(map(known.get, chunks))
+        parts, places, joined = [], [], []
+        for i, row in enumerate(out):
+            if row is None:
+                c = chunks[i]
+                if c[0] in _SPACES and c[-1] not in _SPACES and len(c) <= CACHED:
+                    joined.append(i)
+                else:  # such a chunk would run into its neighbours
+                    parts.append([c])
+                    places.append(i)
+        for at in range(0, len(joined), TOGETHER):
+            parts.append([chunks[i] for i in joined[at : at + TOGETHER]])
+        for i, row in zip([*places, *joined], self._together(parts, width)):
+            out[i] = row
+            if len(chunks[i]) <= CACHED:
+                known[chunks[i]] = row
+        return out
 
     def encode(self, texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows of tokens of all texts, and where each text's end."""
