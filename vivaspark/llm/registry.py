@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vivaspark.llm import ann, bpe, byte_bpe, chat, langid, line_templates, media, mixing, simhash, token_counts, toxicity
+from vivaspark.llm import ann, bpe, byte_bpe, chat, langid, line_templates, media, mixing, simhash, spelling, token_counts, toxicity
 
 QUERIES = {
     "op7_language": langid.op7_language,
@@ -16,6 +16,7 @@ QUERIES = {
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
     "op4_token_counts": token_counts.op4_token_counts,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
