@@ -15,7 +15,7 @@ As many words share a key as there are letters and places to insert one, so no
 key is hot, whatever the corpus; nothing is broadcast or collected. Keys and
 words above LONG letters travel as digests, keys by a hash that gives all
 deletions of a word in one pass, so a run of a million letters costs a million
-short rows. Their texts are joined back for the exact check.
+short rows. Their texts are joined back for the exact check, which is linear for them.
 
 Defined results: null, empty and letterless texts have no words; null ids count
 as the empty text; repeated rows count as often as they are there; ties go to
@@ -110,6 +110,23 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEYS = pa.schema([("key", pa.string()), ("ref", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
 
 
+def one_apart(a: str, b: str) -> bool:
+    """Whether one inserted, deleted or replaced code point makes b of a; in time proportional to their length."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    a, b = sorted((a, b), key=len)
+    low, high = 0, len(a)  # where they first differ, by halves of the rest
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return a[low + (len(a) == len(b)) :] == b[low + 1 :]
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.filter(pa.array([one_apart(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist())], pa.bool_()))
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, n_a, b, n_b: words at distance exactly one, each pair once.
 
@@ -125,7 +142,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     long = pairs.filter(F.col("size_b") > LONG).distinct()
     long = long.join(texts.select(F.col("ref").alias("b"), F.col("word").alias("text_b")), "b").join(texts.select(F.col("ref").alias("a"), F.col("word").alias("text_a")), "a", "left")
     long = long.select(F.coalesce("text_a", "a").alias("a"), "n_a", F.col("text_b").alias("b"), "n_b")
-    return short.union(long).filter(F.levenshtein("a", "b", 1) == 1).distinct()
+    return short.filter(F.levenshtein("a", "b", 1) == 1).union(long.mapInArrow(_close, long.schema)).distinct()
 
 
 def forms(words: DataFrame, times: int = 2) -> DataFrame:
