@@ -78,16 +78,6 @@ def normalised(dist: Column) -> Column:
     return F.when(total > 1e-8, F.transform_values(clipped, lambda _, v: v / total))
 
 
-def scaled_feature(name: str, x: Column) -> Column:
-    """F32: scaling by feature name, the first rule that fits; names are known when the plan is made."""
-    unit = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
-    rules = [(("blink_rate",), lambda v: unit(v / (v + 20))), (("pitch_mean", "pitch_range"), lambda v: unit(v / (v + 200))), (("pause",), lambda v: unit(v / (v + 5))), (("deviation",), lambda v: F.tanh(v)), (("confidence", "score", "probability"), unit)]
-    for keys, rule in rules:
-        if any(k in name for k in keys):
-            return rule(x)
-    return x
-
-
 def expectile(difference: Column, tau: float = 0.8) -> Column:
     """F45."""
     return F.when(difference > 0, tau).otherwise(1 - tau) * difference * difference
