@@ -48,7 +48,7 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 LONGEST = 4
 _BREAK = re.compile("[" + re.escape(BREAKS.decode()) + "]")
 #: Words of a shard, characters of a long text's slices, and a shard's rows in a batch of results.
-SHARD, SLICE, BATCH = 3 << 20, 1 << 21, 1 << 18
+SHARD, SLICE, BATCH = 3 << 19, 1 << 21, 1 << 17
 #: Bits of the filter of frequent words and pairs, as a power of two.
 FILTER = 26
 #: 0xFF is in no UTF-8 text, so it can stand for a piece's end.
@@ -74,8 +74,13 @@ class Shard:
 
     def words(self) -> tuple[list[str], list[bytes]]:
         """Language and word of each id."""
-        found = sorted((i, lang, w) for lang, own in self.ids.items() for w, i in own.items() if i >= 0)
-        return [x[1] for x in found], [x[2] for x in found]
+        n = sum(map(len, self.ids.values())) - len(self.ids)
+        langs, words = [""] * n, [b""] * n
+        for lang, own in self.ids.items():
+            for w, i in own.items():
+                if i >= 0:
+                    langs[i], words[i] = lang, w
+        return langs, words
 
 
 def slices(text: str | None, most: int = SLICE) -> Iterator[str | None]:
@@ -123,13 +128,15 @@ def intervals(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray,
     left = np.zeros(len(ids), np.int8)  # words to the next separator, up to `longest`
     for k in range(longest):
         left[: len(ids) - k] += (left[: len(ids) - k] == k) & (ids[k:] >= 0)
-    rank, depth = np.where(ids >= 0, ids.astype(np.int64) + 1, 0), 1
+    rank, depth = np.maximum(ids.astype(np.int64) + 1, 0), 1
     starts = np.flatnonzero(left[:n])
     order = np.argsort(rank[starts], kind="stable")
     while depth < longest:
         ahead = np.where(left[starts] >= depth, rank[np.minimum(starts + depth, len(ids) - 1)], 0)
         ahead[left[starts] == depth] = 0  # what follows is a separator
-        order, dense = _dense(rank[starts] * (int(rank.max(initial=0)) + 1) + ahead)
+        ahead += rank[starts] * (int(rank.max(initial=0)) + 1)
+        order, dense = _dense(ahead)
+        del ahead
         rank = np.zeros(len(ids), np.int64)
         rank[starts] = dense
         depth *= 2
