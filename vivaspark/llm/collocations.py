@@ -194,7 +194,8 @@ def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def frequent_filter(docs: DataFrame, least: int) -> np.ndarray:
     """Bits of the words and pairs that occur `least` times or more, by language: 2^FILTER of them, whatever the corpus."""
-    counts = docs.select("lang", "text").mapInArrow(_hash_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    # Shards have distinct hashes, so summing before the shuffle would only fill memory.
+    counts = docs.select("lang", "text").mapInArrow(_hash_counts, "hash long, n long").repartition("hash").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     bits = counts.select(F.explode(F.array(*_bit_columns(F.col("hash")))).alias("bit"))
     one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
     words = bits.select(F.shiftrightunsigned("bit", 6).cast("int").alias("word"), one.alias("one")).groupBy("word").agg(F.bit_or("one").alias("ones"))
