@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vivaspark.plans.base import query
 from vivaspark.plans.metrics import six
+from vivaspark.streaming import keyed as K
 from vivaspark.streaming import live as L
 
 
@@ -54,3 +55,42 @@ def stream_leases(t):
     """Event types stand for writers that want a user's session."""
     rows = _events(t).select("user_id", F.col("event_type").alias("writer"), F.unix_millis("ts").alias("at_ms"))
     return L.drain(L.leases(rows, "user_id", "writer", "at_ms", 3_600_000))
+
+
+def _timed(t):
+    return _events(t).withColumn("at_ms", F.unix_millis("ts"))
+
+
+@query("""
+WITH n AS (SELECT user_id, event_id, value, event_id % 7 + 1 AS rate, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),
+b AS (SELECT *, avg(value) FILTER (i <= 2) OVER (PARTITION BY user_id) AS bv, avg(rate) FILTER (i <= 2) OVER (PARTITION BY user_id) AS br FROM n)
+SELECT user_id, event_id, round(CASE WHEN i > 2 THEN CASE WHEN abs(bv) < 1e-6 THEN 0 ELSE (value - bv) / bv END END, 6) AS value_deviation, round(CASE WHEN i > 2 THEN (rate - br) / br END, 6) AS rate_deviation FROM b
+""")
+def stream_baselines(t):
+    """Every user's first two events are the baseline of the others."""
+    rows = _timed(t).withColumn("rate", (F.col("event_id") % 7 + 1).cast("double"))
+    return six(K.drained(K.baselines(rows, "user_id", "event_id", "at_ms", ["value", "rate"])), "value_deviation", "rate_deviation")
+
+
+@query("""
+WITH n AS (SELECT user_id, event_id % 5 AS submission, event_id, event_type, row_number() OVER w AS i, first_value(event_type) OVER w AS had, first_value(event_id) OVER w AS first_id FROM events WINDOW w AS (PARTITION BY user_id, event_id % 5 ORDER BY epoch_ms(ts), event_id))
+SELECT user_id, submission, event_id, first_id, CASE WHEN i = 1 THEN 'accepted' WHEN event_type = had THEN 'repeated' ELSE 'conflict' END AS outcome FROM n
+""")
+def stream_submissions(t):
+    """A user's five submission ids, used again and again; what is accepted and what is not are two sinks of one stream."""
+    rows = _timed(t).withColumn("submission", F.col("event_id") % 5)
+    sinks = K.split(K.submissions(rows, ["user_id", "submission"], "event_type", "event_id", "at_ms"), "outcome", {"kept": ["accepted"], "aside": ["repeated", "conflict"]})
+    return sinks["kept"].union(sinks["aside"])
+
+
+def queue_log(events):
+    """events as what workers ask of jobs: jobs are users, workers and epochs follow from the id."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    action = F.when(kind.isin("click", "view"), "claim").when(kind == "purchase", "done").when(kind == "signup", "retry").otherwise("beat")
+    return events.select(F.col("user_id").alias("job"), F.concat(F.lit("w"), (k % 2).cast("string")).alias("worker"), action.alias("action"), (k % 3 + 1).cast("long").alias("epoch"), "event_id", "at_ms")
+
+
+@query()
+def stream_queue(t):
+    """T01."""
+    return K.drained(K.queue(queue_log(_timed(t)), "job", "worker", "action", "epoch", "event_id", "at_ms", lease_ms=36_000_000, wait_ms=3_600_000))
