@@ -82,6 +82,29 @@ def test_every_row_is_indexed_and_layout_does_not_matter(spark, monkeypatch):
     assert found[0] == found[1] and len(found[0]) == 50 * 5
 
 
+def test_each_row_is_encoded_once(spark, monkeypatch, tmp_path):
+    """Four query blocks meet four index blocks; tasks note the rows that they encode."""
+    from pyspark import cloudpickle
+
+    encode, log = ann.AdditiveQuantiser.encode, str(tmp_path / "rows")
+
+    def noted(self, x, beam=ann.BEAM):
+        with open(log, "a") as f:
+            f.write(f"{len(x)}\n")
+        return encode(self, x, beam)
+
+    monkeypatch.setattr(ann, "BLOCK", 700)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 15)
+    monkeypatch.setattr(ann.AdditiveQuantiser, "encode", noted)
+    cloudpickle.register_pickle_by_value(ann)
+    try:
+        v = spark.createDataFrame([(i, np.random.default_rng(i).normal(size=4).tolist()) for i in range(2500)], "vec_id long, embedding array<double>")
+        assert ann.search(v, v.filter("vec_id % 50 = 0"), rerank=60).count() == 250
+    finally:
+        cloudpickle.unregister_pickle_by_value(ann)
+    assert sum(map(int, open(log))) == 2500
+
+
 def test_copies_of_one_block_give_the_smallest_ids(spark):
     """5,000 copies and 2,000 of twice the vector: all of cosine one, far over RERANK."""
     rng = np.random.default_rng(5)

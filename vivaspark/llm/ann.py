@@ -11,11 +11,14 @@ is the sum of BOOKS entries over its stored norm, so a block of codes is scored
 by lookups. Equal vectors of a block are one code, however many rows they are.
 The best RERANK codes of each block and query, and all that tie with the last
 of them, are scored exactly, with the original vectors in double precision;
-their rows follow, smallest ids first, and the best K of all blocks stay.
+their rows follow, smallest ids first, and the best K of all blocks stay. A
+block holds its vectors beside their codes: fetching those of a shortlist by id
+would move a vector for each query and candidate, this one for each query block.
 
 Vectors are dealt by hash into index blocks of about BLOCK rows, a row of the
 index each, and queries into blocks of about QUERY_BLOCK; the stated set of
-queries meets the index block by block. So recall does not fall as the index
+queries meets the index block by block. Index and queries are written to the
+shared folder before they meet, so a row is encoded once. So recall does not fall as the index
 grows, results do not depend on the layout, and neither side passes through the
 driver or is broadcast. Lists by nearest centroid were measured as well: on
 unit vectors without clusters 0.95 recall needs seven tenths of them, so they
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vivaspark.llm.common import table
+from vivaspark.llm.common import cut, table
 
 BOOKS, WORDS, BEAM = 12, 256, 4
 SAMPLE = 8192
@@ -206,6 +209,11 @@ def nearest_of_block(aq: AdditiveQuantiser, vec: np.ndarray, x: np.ndarray, code
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def _partitions(spark: SparkSession, blocks: int, most: int) -> int:
+    """As many partitions as there are blocks or cores, and no more than need be for `most` blocks each."""
+    return min(blocks, max(spark.sparkContext.defaultParallelism, blocks // most))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id and score (cosine) of the k nearest found for each query row."""
     spark, names = vectors.sparkSession, "query_id long, vec_id long, score double"
@@ -220,10 +228,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RER
         queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
         quantiser = train(vectors, dim)
         shared = spark.sparkContext.broadcast(quantiser.books)
-        # A task a pair of partitions: as many partitions as blocks, whatever the shuffles had.
         blocks, q_blocks = max(1, -(-sizes["count"] // BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
-        wanted = query_blocks(queries, dim, q_blocks).coalesce(q_blocks)
-        pairs = index(vectors, quantiser, blocks).coalesce(blocks).hint("shuffle_replicate_nl").crossJoin(wanted)
+        # Both sides are written once, so each row is encoded once, however many query blocks it meets. A task is a
+        # pair of partitions: several blocks each where there are many, whatever the shuffles had.
+        built = cut(index(vectors, quantiser, blocks).coalesce(_partitions(spark, blocks, 64)))
+        wanted = cut(query_blocks(queries, dim, q_blocks).coalesce(_partitions(spark, q_blocks, 16)))
+        pairs = built.hint("shuffle_replicate_nl").crossJoin(wanted)
 
         def run(batches):
             aq = AdditiveQuantiser(shared.value)
