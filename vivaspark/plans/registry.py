@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vivaspark.plans import belief, calibrate, contracts, features, metrics, relational, resampling, sequence, sources, streams, text  # noqa: F401
+from vivaspark.plans import belief, calibrate, contracts, delivery, features, metrics, relational, resampling, sequence, sources, streams, text  # noqa: F401
 from vivaspark.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
