@@ -78,3 +78,16 @@ def test_very_long_line_and_text(spark):
     docs = spark.createDataFrame([(1, long), (2, long), (3, many), (4, "tail " + "y" * 300_000)], "doc_id long, text string")
     got = {r.doc_id: (r.n_lines, r.n_dropped) for r in lt.drop_recurring_lines(docs).collect()}
     assert got == {1: (1, 0), 2: (1, 0), 3: (60_000, 0), 4: (1, 0)}
+
+
+def test_columns_of_any_name_and_a_text_of_a_million_lines(spark):
+    boiler = "this line stands in many documents word for word"
+    rows = [(i, f"own {i}\n{boiler}\nend {i}") for i in range(3)] + [(7, "\n".join(f"a line of its own {i}" if i % 2 else boiler for i in range(1_000_000)))]
+    names = ["_id", "_key", "_drop", "h1", "_text", "_c0", "place", "_lines", "a.b"]
+    docs = spark.createDataFrame([(*r, *[r[0] * 10 + k for k in range(len(names))]) for r in rows], ["doc_id", "text", *names])
+    out = lt.drop_recurring_lines(docs)
+    assert out.columns == ["doc_id", "text", *names, "n_lines", "n_dropped"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert all([r[n] for n in names] == [i * 10 + k for k in range(len(names))] for i, r in got.items())
+    assert got[0].text == rows[0][1] and got[2].text == "own 2\nend 2"
+    assert got[7].n_lines == 1_000_000 and got[7].n_dropped == 500_000 and got[7].text.count("\n") == 499_999 and boiler not in got[7].text

@@ -111,3 +111,9 @@ def test_blocks_of_a_long_text():
     for cut_to in (text, text[:7], "one", "one two", "one two three", "one two three four", " "):
         for block in (1, 40, 1 << 18):
             assert simhash.fingerprint(cut_to, block=block) == slow_print(cut_to)
+
+
+def test_keep_one_leaves_columns_of_any_name(spark):
+    rows = [(2, "a b c d e f", 7, 8, 9), (1, "a b c d e f", 4, 5, 6), (3, "something else here now", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "_id", "_key", "_c0"])
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [rows[1], rows[2]]

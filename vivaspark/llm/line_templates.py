@@ -118,12 +118,19 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """docs with `text` less its recurring lines, and n_lines and n_dropped."""
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_key")]
     lost = dropped_places(docs.select("doc_id", "text"), key)
+    # The caller's columns go by numbers meanwhile, so none can meet one of ours.
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    out = docs.select(*[F.col(f"`{c}`") for c in rest], *key).join(lost, ["_id", "_key"], "left")
-    kept = F.expr(r"CASE WHEN _drop IS NULL THEN text ELSE array_join(filter(split(text, '\n'), (x, i) -> NOT array_contains(_drop, i)), '\n') END")
-    n = F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    named = [kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in rest]
-    return out.select(*named, n.cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)], *key, F.col("text").alias("_text"))
+    out = rows.join(lost.select("_id", "_key", F.array_sort("_drop").alias("_drop")), ["_id", "_key"], "left")
+    n = F.coalesce(F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    dropped = F.coalesce(F.size("_drop"), F.lit(0))
+    # What is left are the runs of lines before, between and after those that go, each taken once.
+    lines = F.when(F.col("_drop").isNotNull(), F.split("_text", "\n"))
+    out = _once(out.select(*[c for c in out.columns if c not in ("_id", "_key")], n.cast("long").alias("_n"), dropped.cast("long").alias("_nd")), "_lines", lines)
+    begin = lambda k: F.when(k == 0, 0).otherwise(F.get("_drop", k - 1) + 1)
+    runs = F.transform(F.sequence(F.lit(0), F.size("_drop")), lambda k: F.slice("_lines", begin(k) + 1, F.coalesce(F.get("_drop", k), F.size("_lines")) - begin(k)))
+    kept = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    return out.select(*[kept.alias("text") if c == "text" else F.col(f"_c{i}").alias(c) for i, c in enumerate(rest)], F.col("_n").alias("n_lines"), F.col("_nd").alias("n_dropped"))
 
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

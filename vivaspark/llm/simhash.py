@@ -198,5 +198,7 @@ def keep_one(docs: DataFrame, words_each: int = 3) -> DataFrame:
     """
     id_ = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("_id")
     first = _grouped(docs, words_each).groupBy("root").agg(F.min(F.struct(id_, F.col("key").alias("_key"))).alias("x")).select("x.*")
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_key": F.xxhash64("text")})
-    return rows.join(first, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The caller's columns go by numbers meanwhile, so none can meet one of ours.
+    own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64("text").alias("_key"))
+    return rows.join(first, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
