@@ -113,3 +113,23 @@ def largest_remainder(df: DataFrame, share: Column, total: int, tie: str) -> Dat
     rank = F.row_number().over(one.orderBy(F.desc(F.round(F.col("_x") - F.col("_f"), 9)), tie))
     left = F.lit(total) - F.sum("_f").over(one)
     return out.withColumn("_r", rank).withColumn("_left", left).withColumn("allocated", F.col("_f") + (F.col("_r") <= F.col("_left")).cast("long")).drop("_x", "_f", "_r", "_left")
+
+
+def capacity_shares(df: DataFrame, group: list[str], capacity: str, total: str, tie: str) -> DataFrame:
+    """each group's total parted in proportion to capacities, none above its own.
+
+    Whole parts first; what is left goes by one to the largest remainders of those
+    that are not full, ties by key. Arithmetic is exact. `fits` is false, and
+    nothing allocated, where the total is negative or above all capacities.
+    """
+    w = Window.partitionBy(*group)
+    exact = lambda c: F.col(c).cast("decimal(19,0)")
+    rows = df.withColumn("_all", F.sum(capacity).over(w).cast("decimal(19,0)")).withColumn("fits", F.col(total).between(0, F.col("_all")))
+    rows = rows.withColumn("_product", F.when(F.col("fits"), exact(total) * exact(capacity)).otherwise(F.lit(0).cast("decimal(38,0)")))
+    some = F.col("_all") > 0
+    rows = rows.withColumn("_whole", F.when(some, F.expr("_product div _all")).otherwise(0)).withColumn("_rest", F.when(some, F.expr("_product % _all")).otherwise(0))
+    is_open = F.col("_whole") < F.col(capacity)
+    rank = F.row_number().over(w.orderBy(F.desc(is_open), F.desc("_rest"), tie))
+    left = F.when(F.col("fits"), F.col(total)).otherwise(0) - F.sum("_whole").over(w)
+    rows = rows.withColumn("_rank", rank).withColumn("_left", left)
+    return rows.withColumn("allocated", (F.col("_whole") + (is_open & (F.col("_rank") <= F.col("_left"))).cast("long")).cast("long")).drop("_all", "_product", "_whole", "_rest", "_rank", "_left")

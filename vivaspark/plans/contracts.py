@@ -174,3 +174,19 @@ def component_of_nations(t):
     """J14 on the hub case: unknown identities all meet in one component."""
     edges = t.customer.select((F.col("c_custkey") + 1000).alias("a"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("long")).otherwise(F.lit(999)).alias("b"))
     return G.components(edges).groupBy("component").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH c AS (SELECT n_regionkey, n_nationkey, count(c_custkey) AS capacity FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
+a AS (SELECT *, sum(capacity) OVER (PARTITION BY n_regionkey) AS al, CASE n_regionkey WHEN 0 THEN 0 WHEN 1 THEN sum(capacity) OVER (PARTITION BY n_regionkey) WHEN 2 THEN sum(capacity) OVER (PARTITION BY n_regionkey) + 1 ELSE sum(capacity) OVER (PARTITION BY n_regionkey) * 3 // 7 END AS total FROM c),
+w AS (SELECT *, total <= al AS fits, CASE WHEN total <= al THEN total * capacity // al ELSE 0 END AS whole, CASE WHEN total <= al THEN total * capacity % al ELSE 0 END AS rest FROM a),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY whole < capacity DESC, rest DESC, n_nationkey) AS k, CASE WHEN fits THEN total ELSE 0 END - sum(whole) OVER (PARTITION BY n_regionkey) AS spare FROM w)
+SELECT n_regionkey, n_nationkey, capacity, fits, CAST(whole + (whole < capacity AND k <= spare)::INT AS BIGINT) AS allocated FROM r
+""")
+def capacity_shares(t):
+    """each region's places over its nations, none above its customers: no places, all, too many, some."""
+    per = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_regionkey", "n_nationkey").agg(F.count("c_custkey").alias("capacity"))
+    size = F.sum("capacity").over(Window.partitionBy("n_regionkey"))
+    r = F.col("n_regionkey")
+    rows = per.withColumn("total", F.when(r == 0, 0).when(r == 1, size).when(r == 2, size + 1).otherwise(F.floor(size * 3 / 7)))
+    return G.capacity_shares(rows, ["n_regionkey"], "capacity", "total", "n_nationkey").select("n_regionkey", "n_nationkey", "capacity", "fits", "allocated")

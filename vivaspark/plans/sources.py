@@ -4,11 +4,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from vivaspark.functions import audio as A
 from vivaspark.functions import text as X
 from vivaspark.plans.base import query
 from vivaspark.session import shared_folder
 from vivaspark.sources import readers as S
 from vivaspark.sources import writers as W
+from vivaspark.sources.cache import FeatureCache
 
 
 @query("""
@@ -120,3 +122,42 @@ def document_guards(t):
     k = F.col("page_id") % 5
     body = F.concat(F.when(k == 0, "PK").otherwise("%PDF-1.7\n"), F.when(k == 1, "/Encrypt 1 0 R\n").otherwise(""), F.repeat(F.lit("<< /Type /Page /Parent 2 0 R >>\n"), (F.col("page_id") % 60).cast("int")), F.lit("<< /Type /Pages /Count 1 >>"))
     return t.pages.select("page_id", S.document_guard(F.encode(body, "ISO-8859-1"), F.col("html")).alias("reason"))
+
+
+@query("""
+WITH r AS (SELECT doc_id, octet_length(encode(text)) AS n, [8000, 16000, 44100][doc_id % 3 + 1] AS rate, doc_id % 2 + 1 AS channels, doc_id % 7 AS k FROM documents)
+SELECT doc_id, CASE WHEN k = 0 THEN 'undecodable' WHEN k = 1 THEN 'empty' WHEN k > 2 AND n / (rate * channels * 2.0) > 300 THEN 'too_long' ELSE 'accepted' END AS outcome,
+  CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN 0 WHEN k = 2 THEN n ELSE n + 44 + CASE WHEN k > 4 THEN 14 ELSE 0 END END AS bytes, CASE WHEN k > 2 THEN 'wav' END AS kind, CASE WHEN k > 2 THEN rate END AS rate, CASE WHEN k > 2 THEN round(n / (rate * channels * 2.0)::DOUBLE, 9) END AS seconds FROM r
+""")
+def audio_sources(t):
+    """Texts as the samples of recordings, some with a chunk before their data, some no recordings."""
+    d = F.col("doc_id")
+    data = F.encode("text", "utf-8")
+    rate = F.when(d % 3 == 0, 8000).when(d % 3 == 1, 16000).otherwise(44100)
+    channels, k = d % 2 + 1, d % 7
+
+    def little(x, n):
+        h = F.lpad(F.hex(x.cast("long")), 16, "0")
+        return F.unhex(F.concat(*[F.substring(h, 15 - 2 * i, 2) for i in range(n)]))
+
+    tag = lambda s: F.encode(F.lit(s), "utf-8")
+    form = [tag("fmt "), little(F.lit(16), 4), little(F.lit(1), 2), little(channels, 2), little(rate, 4), little(rate * channels * 2, 4), little(channels * 2, 2), little(F.lit(16), 2)]
+    # A chunk of five bytes is padded to six.
+    note = F.when(k > 4, F.concat(tag("LIST"), little(F.lit(5), 4), tag("notes "))).otherwise(F.unhex(F.lit("")))
+    wav = F.concat(tag("RIFF"), little(F.octet_length(data) + 36, 4), tag("WAVE"), *form, note, tag("data"), little(F.octet_length(data), 4), data)
+    text = F.when(k == 0, "not base64!").when(k == 1, "data:audio/wav;base64,").when(k == 2, F.base64(data)).when(k == 3, F.concat(F.lit("data:audio/wav;base64,"), F.base64(wav))).otherwise(F.base64(wav))
+    rows = A.recordings(t.documents.select("doc_id", F.regexp_replace(text, "[\\r\\n]", "").alias("recording")), "recording", ["doc_id"])
+    return rows.withColumn("seconds", F.round("seconds", 9))
+
+
+@query("""
+WITH f AS (SELECT doc_id, text, len(string_split(text, ' ')) AS words, len(text) AS chars FROM documents)
+SELECT doc_id, words, chars, (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 2 = 1) AS first_run, (SELECT count(DISTINCT text) FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 1)) AS second_run, 0 AS third_run FROM f
+""")
+def feature_cache(t):
+    """Filled by half of the documents, then by all, then by all again, which computes nothing."""
+    cache = FeatureCache(t.spark, f"{shared_folder(t.spark)}/cache-{uuid.uuid4().hex}", "v1", {"words": "long", "chars": "long"})
+    count = lambda df: df.select("digest", F.size(F.split("content", " ")).alias("words"), F.length("content").alias("chars"))
+    runs = [cache.fill(d, F.col("text"), count) for d in (t.documents.filter("doc_id % 2 = 1"), t.documents, t.documents)]
+    out = cache.of(t.documents.select("doc_id", "text"), F.col("text"), count)
+    return out.select("doc_id", "words", "chars", *[F.lit(n).cast("long").alias(f"{k}_run") for k, n in zip(("first", "second", "third"), runs)])
