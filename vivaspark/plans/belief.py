@@ -137,12 +137,6 @@ def note_reading(t):
     return _sweeps(t).filter("n >= 3").select("user_id", "day", F.size("found").cast("long").alias("sweeps"), F.round(U.note_reading(F.col("found"), F.col("turn_ms")), 6).alias("confidence"))
 
 
-@query()
-def policy_rollouts(t):
-    """Every policy on matched scenarios of every condition."""
-    return O.rollouts(t.spark, O.POLICIES, O.CONDITIONS, 5, [f"skill_{k}" for k in range(8)])
-
-
 @query(f"""
 WITH e AS (SELECT event_id, event_id % 3 AS label, event_id % 30 AS turn, CASE event_id % 4 WHEN 0 THEN '{O.ACTIONS[2]}' WHEN 1 THEN '{O.ACTIONS[4]}' ELSE '{O.ACTIONS[3]}' END AS action, event_type, user_id FROM events),
 j AS (SELECT *, (('0x' || substr(sha256(concat_ws('|', user_id, 'episode-' || user_id, turn, action, event_type)), 1, 16))::UBIGINT % 2001)::DOUBLE / 2000 - 0.5 AS own, (('0x' || substr(sha256('bias|' || user_id), 1, 16))::UBIGINT % 2001)::DOUBLE / 2000 - 0.5 AS bias FROM e)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from vivaspark.functions import grounding as N
 from vivaspark.functions import text as X
 from vivaspark.operators import graph as G
+from vivaspark.operators import selection as Z
 from vivaspark.plans.base import query
 from vivaspark.plans.metrics import six
 
@@ -212,3 +213,11 @@ def nfkc_normalisation(t):
 def interrogative_check(t):
     why = X.interrogative_reasons(F.col("text"))
     return t.conversations.select("conv_id", "turn", *[F.array_contains(why, c).alias(n) for c, n in (("no_question_mark", "no_mark"), ("too_short", "too_short"), ("several_lines", "several_lines"))])
+
+
+@query()
+def classifier_selection(t):
+    """§2.12: a text classifier of labels.quality, chosen on held-out groups of seven documents; predictions of the test groups."""
+    rows = t.documents.join(t.labels, "doc_id").withColumn("group", F.floor(F.col("doc_id") / 7))
+    predicted, _ = Z.select(rows, "doc_id", "group", "text", "quality")
+    return predicted.select("model", "strength", "doc_id", "group", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
