@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +47,17 @@ def gate(metrics: DataFrame, thresholds: dict[str, tuple[str, float]]) -> DataFr
 
 
 def best_of_grid(rows: DataFrame, grid: DataFrame) -> DataFrame:
-    """Accuracy of each pair of thresholds; the best, first on ties. The grid is a constant-size table."""
+    """Accuracy of each pair of thresholds; the best, first on ties. The grid is a constant-size table.
+
+    Scores between two neighbouring thresholds are judged alike, so rows are
+    counted by interval and class once, and only the counts meet the grid.
+    """
+    cuts = sorted({v for r in grid.select("low", F.col("low") + F.col("gap")).collect() for v in r})
+    placed = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="s", outputCol="_b", handleInvalid="keep").transform(rows.select("y", F.col("s").cast("double").alias("s")))
+    counts = placed.groupBy("_b", "y").agg(F.min("s").alias("s"), F.count("*").alias("_n"))
     label = F.when(F.col("s") < F.col("low"), 0).when(F.col("s") < F.col("low") + F.col("gap"), 1).otherwise(2)
-    scored = rows.crossJoin(F.broadcast(grid)).groupBy("low", "gap").agg(F.round(F.avg((label == F.col("y")).cast("int")), 9).alias("acc"))
+    hit = (label == F.col("y")).cast("int")
+    share = F.sum(hit * F.col("_n")) / F.sum(F.when(hit.isNotNull(), F.col("_n")))
+    scored = counts.crossJoin(F.broadcast(grid)).groupBy("low", "gap").agg(F.round(share, 9).alias("acc"))
     best = scored.agg(F.max_by(F.struct("low", "gap", "acc"), F.struct(F.col("acc"), -F.col("low"), -F.col("gap"))).alias("b"))
     return best.select(F.round("b.low", 6).alias("low"), F.round("b.gap", 6).alias("gap"), F.round("b.acc", 6).alias("accuracy"))

@@ -55,18 +55,22 @@ def hop(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def overlapping(left: DataFrame, right: DataFrame, l_id: str, r_id: str, items: str, least: int) -> DataFrame:
-    """Pairs of sets with at least `least` common items, by an equi join on the rarest items of each, then an exact count."""
+    """Pairs of sets with at least `least` common items, by an equi join on the rarest items of one side, then an exact count.
+
+    A set of n items that shares `least` with another shares one of its
+    n - least + 1 rarest. One side is enough for that, so the one with fewer
+    items in all is ranked, and the other is only taken apart.
+    """
     a, b = (rows.select(i, F.array_distinct(items).alias("_x")).filter(F.size("_x") >= least) for rows, i in ((left, l_id), (right, r_id)))
-    each = a.select(F.explode("_x").alias("item")).unionAll(b.select(F.explode("_x").alias("item")))
+    sizes = [rows.agg(F.coalesce(F.sum(F.size("_x") - least + 1), F.lit(0))).first()[0] for rows in (a, b)]
+    few, few_id, many, many_id = (a, l_id, b, r_id) if sizes[0] < sizes[1] else (b, r_id, a, l_id)
+    each = many.select(many_id, F.explode("_x").alias("item"))
+    own = few.select(few_id, F.size("_x").alias("_n"), F.explode("_x").alias("item"))
     often = each.groupBy("item").agg(F.count("*").alias("often"))
-
-    def rarest(rows: DataFrame, i: str) -> DataFrame:
-        """A set of n items that shares `least` with another shares one of its n - least + 1 rarest."""
-        ranked = rows.select(i, F.size("_x").alias("_n"), F.explode("_x").alias("item")).join(often, "item")
-        rank = F.row_number().over(Window.partitionBy(i).orderBy("often", "item"))
-        return ranked.select(i, "item", "_n", rank.alias("_r")).filter(F.col("_r") <= F.col("_n") - least + 1).select(i, "item")
-
-    pairs = rarest(a, l_id).join(rarest(b, r_id), "item").select(l_id, r_id).distinct()
+    # Items that the other side lacks are the rarest of all, and lead nowhere.
+    ranked = own.join(often, "item", "left").withColumn("_r", F.row_number().over(Window.partitionBy(few_id).orderBy(F.col("often").asc_nulls_first(), "item")))
+    rare = ranked.filter((F.col("_r") <= F.col("_n") - least + 1) & F.col("often").isNotNull()).select(few_id, "item")
+    pairs = each.join(rare, "item").select(l_id, r_id).distinct()
     both = pairs.join(a, l_id).withColumnRenamed("_x", "_y").join(b, r_id)
     return both.select(l_id, r_id, F.size(F.array_intersect("_y", "_x")).cast("long").alias("common")).filter(F.col("common") >= least)
 

@@ -7,8 +7,16 @@ turns or users, which the model bounds.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from vivaspark.operators.resampling import weighted_medians
 
 
 def over(keys: list[str], order: list[str]) -> Window:
@@ -38,23 +46,33 @@ def rolling_impute(df: DataFrame, key: str, order: list[str], value: str, n: int
 
 
 def impute_fold(df: DataFrame, key: str, order: list[str], values: list[str], n: int = 5) -> DataFrame:
-    """W05, per-feature gaps: imputed values enter the history, so the result is a fold over a key's rows.
+    """W05, per-feature gaps: imputed values enter the history, so each row needs the one before.
 
-    Returns key, turn (1, 2, ...) and one imputed column a feature.
+    Rows are dealt by key and sorted, and a task walks through them in Arrow
+    batches with the last n values of each feature in hand: time is linear in a
+    key's rows, which are never gathered. Returns key, turn (1, 2, ...) and one
+    imputed column a feature.
     """
-    row = F.struct(*order, F.array(*[F.col(v).cast("double") for v in values]).alias("x"))
-    empty = F.array(*[F.array().cast("array<double>") for _ in values])
-    start = F.struct(empty.alias("h"), F.array().cast("array<array<double>>").alias("out"))
-
-    def step(state: Column, r: Column) -> Column:
-        mean = lambda h: F.when(F.size(h) > 0, F.aggregate(h, F.lit(0.0), lambda a, v: a + v) / F.size(h)).otherwise(0.0)
-        now = F.zip_with(r.x, state.h, lambda v, h: F.coalesce(v, mean(h)))
-        kept = F.zip_with(state.h, now, lambda h, v: F.slice(F.concat(h, F.array(v)), F.greatest(F.size(h) - n + 2, F.lit(1)), n))
-        return F.struct(kept.alias("h"), F.concat(state.out, F.array(now)).alias("out"))
-
-    folded = df.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("rows")).select(key, F.aggregate("rows", start, step, lambda s: s.out).alias("out"))
-    exploded = folded.select(key, F.posexplode("out").alias("turn", "x"))
-    return exploded.select(key, (F.col("turn") + 1).alias("turn"), *[F.get("x", F.lit(i)).alias(v) for i, v in enumerate(values)])
+    rows = df.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
+    schema = T.StructType([rows.schema["_key"], T.StructField("_turn", T.IntegerType()), *rows.schema.fields[-len(values) :]])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, turn, past = object(), 0, []
+        for b in batches:
+            turns, out = [], []
+            for who, *x in zip(*(b.column(i).to_pylist() for i in (0, *range(b.num_columns - len(values), b.num_columns)))):
+                if who != now:
+                    now, turn, past = who, 0, [deque(maxlen=n) for _ in values]
+                turn += 1
+                full = [(sum(h) / len(h) if h else 0.0) if v is None else v for v, h in zip(x, past)]
+                for v, h in zip(full, past):
+                    h.append(v)
+                turns.append(turn)
+                out.append(full)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(turns, pa.int32()), *(pa.array(c, pa.float64()) for c in zip(*out))], names=schema.names) if out else pa.RecordBatch.from_pylist([], to_arrow_schema(schema))
+
+    walked = rows.repartition("_key").sortWithinPartitions("_key", *[f"_o{i}" for i in range(len(order))]).mapInArrow(walk, schema)
+    return walked.select(F.col("_key").alias(key), F.col("_turn").alias("turn"), *[F.col(f"_v{i}").alias(v) for i, v in enumerate(values)])
 
 
 def crossings(df: DataFrame, key: str, order: list[str], value: str, level: float, at: Column) -> DataFrame:
@@ -130,7 +148,8 @@ def emission_fit(df: DataFrame, label: str, value: str, weight: str, floor: floa
     """Per class an isotonic weighted median and a shrunken robust scale, with a Laplace prior.
 
     The scale is 1.4826 times the weighted median deviation, at least `floor`; its
-    square moves to the pooled one with `strength` pseudo rows.
+    square moves to that of the deviations of all classes together, with `strength`
+    pseudo rows.
     """
     centre = weighted_quantiles(df, value, weight, [0.5], [label])
     rows = df.join(centre.select(label, F.col("q50").alias("_m")), label).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
@@ -138,9 +157,10 @@ def emission_fit(df: DataFrame, label: str, value: str, weight: str, floor: floa
     mass = df.groupBy(label).agg(F.sum(weight).alias("mass"))
     per = centre.join(mad, label).join(mass, label)
     one = Window.partitionBy(F.lit(1))  # over the classes, a handful
-    pooled = F.sum(F.col("mass") * F.col("raw") ** 2).over(one) / F.sum("mass").over(one)
-    scale = F.sqrt((F.col("mass") * F.col("raw") ** 2 + strength * F.col("pooled")) / (F.col("mass") + strength))
-    out = per.withColumn("pooled", pooled).withColumn("centre", F.max("q50").over(one.orderBy(label)))
+    everyone = weighted_medians(rows.select(F.lit(0).alias("_all"), "_d", F.array(F.col(weight).cast("double")).alias("_ws")), ["_all"], "_d", "_ws")
+    pooled = everyone.select(F.greatest(1.4826 * F.col("median"), F.lit(floor)).alias("pooled"))  # one row
+    scale = F.sqrt((F.col("mass") * F.col("raw") ** 2 + strength * F.col("pooled") ** 2) / (F.col("mass") + strength))
+    out = per.crossJoin(F.broadcast(pooled)).withColumn("centre", F.max("q50").over(one.orderBy(label)))
     prior = (F.col("mass") + 1) / (F.sum("mass").over(one) + F.count("*").over(one))
     return out.select(label, "centre", F.least(F.greatest(scale, F.lit(floor)), F.lit(most)).alias("scale"), prior.alias("prior"))
 

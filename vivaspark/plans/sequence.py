@@ -131,8 +131,9 @@ WITH r AS (SELECT CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2
 p AS (SELECT label, v, sum(w) AS w FROM r GROUP BY ALL), c AS (SELECT *, sum(w) OVER (PARTITION BY label ORDER BY v) AS c, sum(w) OVER (PARTITION BY label) AS t FROM p),
 m AS (SELECT label, min(v) FILTER (c >= 0.5 * t * (1 - 1e-12)) AS q FROM c GROUP BY label),
 p2 AS (SELECT label, abs(r.v - m.q) AS d, sum(w) AS w FROM r JOIN m USING (label) GROUP BY ALL), c2 AS (SELECT *, sum(w) OVER (PARTITION BY label ORDER BY d) AS c, sum(w) OVER (PARTITION BY label) AS t FROM p2),
-s AS (SELECT label, greatest(1.4826 * min(d) FILTER (c >= 0.5 * t * (1 - 1e-12)), 0.03) AS raw, any_value(t) AS mass FROM c2 GROUP BY label)
-SELECT label, round(max(q) OVER (ORDER BY label), 6) AS centre, round(least(greatest(sqrt((mass * raw ** 2 + 5 * (sum(mass * raw ** 2) OVER () / sum(mass) OVER ())) / (mass + 5)), 0.03), 0.35), 6) AS scale,
+s AS (SELECT label, greatest(1.4826 * min(d) FILTER (c >= 0.5 * t * (1 - 1e-12)), 0.03) AS raw, any_value(t) AS mass FROM c2 GROUP BY label),
+a AS (SELECT greatest(1.4826 * min(d) FILTER (c >= 0.5 * t * (1 - 1e-12)), 0.03) AS pooled FROM (SELECT d, sum(w) OVER (ORDER BY d) AS c, sum(w) OVER () AS t FROM (SELECT d, sum(w) AS w FROM p2 GROUP BY d)))
+SELECT label, round(max(q) OVER (ORDER BY label), 6) AS centre, round(least(greatest(sqrt((mass * raw ** 2 + 5 * (SELECT pooled FROM a) ** 2) / (mass + 5)), 0.03), 0.35), 6) AS scale,
   round((mass + 1) / (sum(mass) OVER () + count(*) OVER ()), 6) AS prior FROM s JOIN m USING (label)
 """)
 def emission_fit(t):
