@@ -8,6 +8,7 @@ from vivaspark.functions import audio as A
 from vivaspark.functions import text as X
 from vivaspark.plans.base import query
 from vivaspark.session import shared_folder
+from vivaspark.sources import pdf as P
 from vivaspark.sources import readers as S
 from vivaspark.sources import writers as W
 from vivaspark.sources.cache import FeatureCache
@@ -161,3 +162,32 @@ def feature_cache(t):
     runs = [cache.fill(d, F.col("text"), count) for d in (t.documents.filter("doc_id % 2 = 1"), t.documents, t.documents)]
     out = cache.of(t.documents.select("doc_id", "text"), F.col("text"), count)
     return out.select("doc_id", "words", "chars", *[F.lit(n).cast("long").alias(f"{k}_run") for k, n in zip(("first", "second", "third"), runs)])
+
+
+@query(r"""
+WITH r AS (SELECT doc_id, regexp_replace(text, '[\x00-\x20\x7F-\xA0\x{2000}-\x{200F}\x{2028}-\x{202F}\x{3000}]+', '', 'g') AS t, doc_id % 11 AS k, doc_id % 60 AS n FROM documents)
+SELECT doc_id, CASE WHEN k = 0 THEN 'not_pdf' WHEN k = 1 THEN 'encrypted' WHEN n > 50 THEN 'too_many_pages' WHEN n = 0 THEN 'no_pages' WHEN t = '' THEN 'no_text' END AS reason,
+  CASE WHEN k > 1 AND n BETWEEN 1 AND 50 AND t <> '' THEN n END AS pages, CASE WHEN k > 1 AND n BETWEEN 1 AND 50 AND t <> '' THEN md5(t) END AS digest FROM r
+""")
+def document_text(t):
+    """Every text written as a PDF of up to 59 pages, the first with the text, and read back; blanks don't count."""
+    k, n = F.col("doc_id") % 11, (F.col("doc_id") % 60).cast("int")
+    obj = lambda i, body: F.concat(F.lit(f"{i} 0 obj\n"), body, F.lit("\nendobj\n"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<"), F.hex(F.encode(x, "UTF-16BE")), F.lit("> Tj T*")))
+    shown = F.concat(F.lit("BT /F1 9 Tf 20 800 Td\n"), F.array_join(lines, "\n"), F.lit("\nET"))
+    cmap = "1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"
+    kids = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat((i + 9).cast("string"), F.lit(" 0 R"))), " ")
+    page = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat((i + 9).cast("string"), F.lit(" 0 obj\n<< /Type /Page /Parent 2 0 R"), F.when(i == 1, " /Contents 3 0 R").otherwise(""), F.lit(" >>\nendobj\n")))
+    body = F.concat(
+        F.when(k == 0, "PK").otherwise("%PDF-1.7\n"),
+        obj(1, F.lit("<< /Type /Catalog /Pages 2 0 R >>")),
+        obj(2, F.concat(F.lit("<< /Type /Pages /Resources << /Font << /F1 4 0 R >> >> /Kids ["), F.when(n > 0, kids).otherwise(""), F.lit("] >>"))),
+        obj(3, F.concat(F.lit("<< /Length "), F.length(shown).cast("string"), F.lit(" >>\nstream\n"), shown, F.lit("\nendstream"))),
+        obj(4, F.lit("<< /Type /Font /Subtype /Type0 /ToUnicode 5 0 R >>")),
+        obj(5, F.lit(f"<< /Length {len(cmap)} >>\nstream\n{cmap}\nendstream")),
+        F.when(n > 0, F.array_join(page, "")).otherwise(""),
+        F.when(k == 1, "trailer << /Root 1 0 R /Encrypt 9 0 R >>").otherwise("trailer << /Root 1 0 R >>"),
+    )
+    found = P.texts(t.documents.select("doc_id", F.encode(body, "ISO-8859-1").alias("pdf")), "pdf", ["doc_id"])
+    bare = F.regexp_replace("text", "[\\x00-\\x20\\x7F-\\xA0\\u2000-\\u200F\\u2028-\\u202F\\u3000]+", "")
+    return found.select("doc_id", "reason", F.col("pages").cast("long").alias("pages"), F.md5(bare).alias("digest"))
