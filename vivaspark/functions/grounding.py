@@ -74,12 +74,6 @@ def fallback_question(templates: list[str], seed: Column, skill: Column, history
     return F.get(F.filter(turned, lambda q: ~F.array_contains(history, q)), F.lit(0))
 
 
-def duration(seconds: Column) -> Column:
-    """hours, minutes and seconds."""
-    s = seconds.cast("long")
-    return F.format_string("%02d:%02d:%02d", (s / 3600).cast("long"), (s % 3600 / 60).cast("long"), s % 60)
-
-
 #: The least composite score of each letter.
 GRADES = {"A": 0.75, "B": 0.55, "C": 0.35, "D": 0.15}
 

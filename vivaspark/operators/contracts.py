@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Names of the emotions' interview labels.
-EMOTIONS = {"happy": "confident", "neutral": "neutral", "sad": "stressed", "fear": "stressed", "angry": "frustrated", "surprise": "engaged", "disgust": "frustrated"}
-
-
 def violations(checks: list[tuple[Column, str]]) -> Column:
     """Codes of the checks that fail; a check that can't be decided fails."""
     return F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(code)) for ok, code in checks]), lambda c: c.isNotNull())
@@ -83,17 +79,6 @@ def expectile(difference: Column, tau: float = 0.8) -> Column:
     return F.when(difference > 0, tau).otherwise(1 - tau) * difference * difference
 
 
-def eye_contact(yaw: Column, pitch: Column, yaw_limit: float = 30.0, pitch_limit: float = 20.0) -> Column:
-    """1 looking straight, 0 at the limits or beyond."""
-    return F.greatest(1 - (F.abs(yaw) / yaw_limit + F.abs(pitch) / pitch_limit) / 2, F.lit(0.0))
-
-
-def eye_aspect(points: Column) -> Column:
-    """eye aspect ratio of six (x, y) points."""
-    d = lambda i, j: F.sqrt(F.pow(points[i].x - points[j].x, F.lit(2)) + F.pow(points[i].y - points[j].y, F.lit(2)))
-    return F.coalesce(F.try_divide(d(1, 5) + d(2, 4), 2 * d(0, 3)), F.lit(0.0))
-
-
 def hertz(semitones: Column, base: float = 27.5) -> Column:
     """semitones above the base as a frequency."""
     return base * F.pow(F.lit(2.0), semitones / 12)
@@ -112,12 +97,6 @@ def response_latency(words: Column, asked: Column) -> Column:
     return F.greatest(F.get(words, F.lit(0)).start - asked, F.lit(0.0)) * 1000
 
 
-def emotion(label: Column) -> Column:
-    """F27."""
-    m = F.create_map(*[F.lit(x) for kv in EMOTIONS.items() for x in kv])
-    return F.coalesce(F.try_element_at(m, F.lower(label)), F.lit("neutral"))
-
-
 def parsed_evaluation(text: Column) -> Column:
     """score and reason from a model's JSON, fenced or not; out of range or unreadable is flagged, score 0.5."""
     body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)

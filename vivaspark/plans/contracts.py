@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vivaspark.functions import signals as Y
 from vivaspark.operators import contracts as C
 from vivaspark.operators import features as N
 from vivaspark.operators import graph as G
@@ -83,10 +84,10 @@ def distribution_summary(t):
     return six(C.flattened(maps.withColumn("m", C.normalised(F.col("m"))), "condition", "m"), "value")
 
 
-@query("SELECT event_id, round(CASE WHEN value > 50 THEN 0.8 ELSE 0.2 END * (value - 50) ** 2, 5) AS loss, round(greatest(1 - (abs(value - 60) / 30 + abs(value - 50) / 20) / 2, 0), 6) AS eye, round(27.5 * 2 ** (value / 100 / 12), 6) AS hz, round(tanh(value / 200), 6) AS dev FROM events")
+@query("SELECT event_id, round(CASE WHEN value > 50 THEN 0.8 ELSE 0.2 END * (value - 50) ** 2, 5) AS loss, round(1 - 0.6 * least(abs(value - 60) / 30, 1) - 0.4 * least(abs(value - 50) / 25, 1), 6) AS eye, round(27.5 * 2 ** (value / 100 / 12), 6) AS hz, round(tanh(value / 200), 6) AS dev FROM events")
 def signal_functions(t):
     v = F.col("value")
-    return t.events.select("event_id", F.round(C.expectile(v - 50), 5).alias("loss"), F.round(C.eye_contact(v - 60, v - 50), 6).alias("eye"), F.round(C.hertz(v / 100), 6).alias("hz"), F.round(N.scaled("rate_deviation", v / 100), 6).alias("dev"))
+    return t.events.select("event_id", F.round(C.expectile(v - 50), 5).alias("loss"), F.round(Y.eye_contact(v - 60, v - 50), 6).alias("eye"), F.round(C.hertz(v / 100), 6).alias("hz"), F.round(N.scaled("rate_deviation", v / 100), 6).alias("dev"))
 
 
 @query("""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vivaspark.functions import signals as Y
 from vivaspark.operators import features as N
 from vivaspark.plans.base import query
 
@@ -68,3 +69,53 @@ def fused_turns(t):
     masks = [F.col(f"{m}.{x}").alias(f"{m}_{x}") for m in N.MODALITIES for x in ("mask", "confidence")]
     out = N.filled(rows.select("user_id", "ts", "event_id", *masks, *N.MODALITIES), "user_id", ["ts", "event_id"])
     return out.select("user_id", "event_id", *[F.round(f"{m}_{x}", 6).alias(f"{m}_{x}") for m in N.MODALITIES for x in ("mask", "confidence")], F.transform("vector", lambda x: F.round(x, 6)).alias("vector"), "imputed")
+
+
+_CLASSIFIED = ("happy", "neutral", "fear", "surprise", "sad", "disgust", "angry", "bored")
+
+
+def _emotions():
+    names = F.array(*map(F.lit, _CLASSIFIED))
+    return F.map_from_arrays(names, F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(F.col("event_id") % 13 == 0, 0.0).otherwise(((F.col("event_id") * (i + 3)) % 17).cast("double"))))
+
+
+_SHARED = ", ".join(f"('{k}', {w})" for k, w in [*((k, list(w)) for k, w in Y.SHARES.items()), ("bored", [0.0, 0.0, 0.0, 0.0, 1.0])])
+
+
+@query(f"""
+WITH s(name, w) AS (VALUES {_SHARED}), r AS (SELECT event_id, i, CASE WHEN event_id % 13 = 0 THEN 0 ELSE (event_id * (i + 3)) % 17 END::DOUBLE AS v, {list(_CLASSIFIED)}[i + 1] AS name FROM events, range(8) t(i)),
+t AS (SELECT event_id, v / sum(v) OVER (PARTITION BY event_id) AS p, w FROM (SELECT * FROM r WHERE event_id % 13 <> 0 AND event_id % 17 <> 0) JOIN s USING (name)),
+d AS (SELECT event_id, {', '.join(f'sum(p * w[{i}]) AS d{i}' for i in range(1, 6))} FROM t GROUP BY event_id)
+SELECT event_id, round(greatest(d1, d2, d3, d4, d5), 6) AS confidence, round(d1, 4) AS engaged, round(d3, 4) AS nervous FROM d
+""")
+def emotion_shares(t):
+    """maps of eight emotions, one of them unknown; those of only zeros have no result."""
+    out = t.events.select("event_id", Y.shared_emotions(_emotions()).alias("e")).filter("e IS NOT NULL")
+    return out.select("event_id", F.round("e.confidence", 6).alias("confidence"), F.get("e.distribution", F.lit(0)).alias("engaged"), F.get("e.distribution", F.lit(2)).alias("nervous"))
+
+
+def _xy(i: int) -> str:
+    return f"e[{i % 64 + 1}]::DOUBLE AS x{i}, e[{i * 7 % 64 + 1}]::DOUBLE AS y{i}"
+
+
+_P = Y.POINTS
+_D = lambda i, j: f"(sqrt((x{i} - x{j}) ** 2 + (y{i} - y{j}) ** 2) / u)"
+_S = lambda x, low, high: f"least(greatest(({x} - {low}) / ({high} - {low}), 0), 1)"
+
+
+@query(f"""
+WITH p AS (SELECT vec_id, {', '.join(_xy(i) for i in sorted({*_P.values(), *Y.LEFT_EYE, *Y.RIGHT_EYE}))} FROM (SELECT vec_id, embedding AS e FROM embeddings)),
+q AS (SELECT *, CASE WHEN sqrt((x33 - x263) ** 2 + (y33 - y263) ** 2) < 1e-6 THEN 1 ELSE sqrt((x33 - x263) ** 2 + (y33 - y263) ** 2) END AS u FROM p),
+g AS (SELECT *, (y1 - (y61 + y291) / 2) / u AS lift, sqrt(((x13 + x14) / 2 - (x17 + x18) / 2) ** 2 + ((y13 + y14) / 2 - (y17 + y18) / 2) ** 2) / u AS gap FROM q)
+SELECT vec_id, round({_S(f'({_D(107, 159)} + {_D(336, 386)}) / 2', 0.08, 0.18)}, 6) AS au1, round({_S(f'({_D(70, 159)} + {_D(300, 386)}) / 2', 0.1, 0.22)}, 6) AS au2,
+  round(1 - {_S('sqrt(((x9 + x10) / 2 - (x159 + x386) / 2) ** 2 + ((y9 + y10) / 2 - (y159 + y386) / 2) ** 2) / u', 0.06, 0.14)}, 6) AS au4, round({_S(f'0.2 - ({_D(50, 159)} + {_D(280, 386)}) / 2', 0, 0.08)}, 6) AS au6,
+  round({_S(f'{_D(61, 291)} * 0.5 + lift', 0.15, 0.45)}, 6) AS au12, round({_S('0.35 - lift', 0, 0.15)}, 6) AS au15, round({_S('sqrt((x152 - (x17 + x18) / 2) ** 2 + (y152 - (y17 + y18) / 2) ** 2) / u', 0.04, 0.12)}, 6) AS au17,
+  round({_S('0.08 - gap', 0, 0.06)}, 6) AS au23, round({_S('gap', 0.02, 0.1)}, 6) AS au25,
+  round((({_D(160, 144)} + {_D(158, 153)}) / (2 * {_D(33, 133)}) + ({_D(385, 380)} + {_D(387, 373)}) / (2 * {_D(362, 263)})) / 2, 5) AS aspect
+FROM g
+""")
+def action_units(t):
+    """each vector's numbers as the landmarks of a face."""
+    at = lambda i: tuple(F.get("embedding", F.lit(k % 64)).cast("double") for k in (i, i * 7))
+    units = {k.lower(): F.round(v, 6).alias(k.lower()) for k, v in Y.action_units(at).items()}
+    return t.embeddings.select("vec_id", *units.values(), F.round(Y.eye_aspect(at), 5).alias("aspect"))
