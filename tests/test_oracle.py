@@ -34,7 +34,7 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 
 #: Queries without SQL that another test compares with a plain version.
-ELSEWHERE = {"fused_turns", "stream_queue", "classifier_selection", "connected_components_all", "split_by_component"}
+ELSEWHERE = {"fused_turns", "stream_queue", "classifier_selection", "connected_components_all", "split_by_component", "nfkc_normalisation", "stream_leases", "grouped_folds"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - ELSEWHERE))

@@ -170,7 +170,7 @@ def technical_score(t):
     return t.events.groupBy("user_id").agg(F.round(F.avg(100 * (0.5 * F.least(F.col("value") / 100, F.lit(1.0)) + 0.5)), 2).alias("score"))
 
 
-@query()
+@query("SELECT CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE 999 END::BIGINT AS component, count(*) + 1 AS n FROM customer GROUP BY 1")
 def component_of_nations(t):
     """J14 on the hub case: unknown identities all meet in one component."""
     edges = t.customer.select((F.col("c_custkey") + 1000).alias("a"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("long")).otherwise(F.lit(999)).alias("b"))

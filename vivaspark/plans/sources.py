@@ -68,7 +68,7 @@ def name_attributes(t):
     return t.part.select("p_partkey", parts.alias("x")).filter("x IS NOT NULL").select("p_partkey", "x.*")
 
 
-@query()
+@query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY sha256('42:' || doc_id), doc_id) <= 10")
 def stratified_sample(t):
     """Ten rows of each source by a seeded hash."""
     return S.stratified(t.documents, "source", "doc_id", 10, 42).select("source", "doc_id")

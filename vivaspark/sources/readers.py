@@ -124,7 +124,7 @@ def file_name_parts(name: Column, names: list[str], sep: str = "-") -> Column:
 
 def stratified(df: DataFrame, by: str, key: str, n: int, seed: int) -> DataFrame:
     """N rows of each class in the order of a seeded hash."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), key), key))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256), key))
     return df.withColumn("_k", rank).filter(F.col("_k") <= n).drop("_k")
 
 
