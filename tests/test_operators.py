@@ -84,9 +84,9 @@ def test_split_keeps_components_and_is_deterministic():
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("ﬁne  Ⅷ\r\n\r\n x ", "```text\nQuestion: \"Why so?\"\n```", "alpha beta gamma")], "a string, q string, t string")
-    r = df.select(X.nfkc("a").alias("n"), X.unwrap_question(F.col("q")).alias("q"), X.head(F.col("t"), 9).alias("h"), X.tail(F.col("t"), 8).alias("e"), X.fold_plural(F.lit("queries")).alias("f"), X.fold_plural(F.lit("class")).alias("g"), X.experience_tier(F.lit("3 years, 7+ years")).alias("x")).first()
-    assert tuple(r) == ("fine VIII\nx", "Why so?", "alpha", "gamma", "query", "class", "senior")
+    df = spark.createDataFrame([("ﬁne  Ⅷ\r\n\r\n x ", "alpha beta gamma")], "a string, t string")
+    r = df.select(X.nfkc("a").alias("n"), X.head(F.col("t"), 9).alias("h"), X.tail(F.col("t"), 8).alias("e")).first()
+    assert tuple(r) == ("fine VIII\nx", "alpha", "gamma")
 
 
 def test_cosine_of_equal_and_disjoint_texts(spark):

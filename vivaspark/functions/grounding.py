@@ -43,23 +43,6 @@ def role_title(text: Column, domain: Column) -> Column:
     return F.coalesce(F.get(titles, F.lit(0)), F.concat(F.initcap(F.coalesce(domain, F.lit("general"))), F.lit(" role")))
 
 
-def support_tokens(text: Column) -> Column:
-    """distinct singular tokens without stop words."""
-    kept = F.filter(X.tokens(text), lambda w: ~w.isin(STOP) & (F.length(w) > 2))
-    return F.array_distinct(F.transform(kept, X.fold_plural))
-
-
-def question_reasons(question: Column, evidence: Column, skill: Column, history: Column) -> Column:
-    """F16: codes of why a question is not grounded: form, repetition, skill not named, nothing of its evidence in it."""
-    asked = support_tokens(question)
-    checks = [
-        (F.exists(history, lambda h: X.content_hash(h) == X.content_hash(question)), "repeated"),
-        (~F.contains(F.lower(question), F.lower(skill)), "skill_not_named"),
-        (F.size(F.array_intersect(asked, support_tokens(evidence))) == 0, "no_evidence_overlap"),
-    ]
-    return F.concat(X.interrogative_reasons(question), F.filter(F.array(*[F.when(bad, F.lit(code)) for bad, code in checks]), lambda c: c.isNotNull()))
-
-
 def packet(skill: Column, found: Column) -> Column:
     """A skill with its first three spans in order."""
     return F.struct(skill.alias("skill"), F.slice(F.array_sort(found), 1, 3).alias("evidence"))

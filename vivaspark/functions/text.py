@@ -89,35 +89,11 @@ def _quoted(word: str) -> str:
     return "".join(c if c.isalnum() else "\\" + c for c in word)
 
 
-def experience_tier(text: Column) -> Column:
-    """tier by the largest number of years named."""
-    years = F.array_max(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([0-9]{1,2})\+? ?year"), 1), lambda x: x.cast("int")))
-    return F.when(years >= 6, "senior").when(years >= 3, "mid").otherwise("junior")
-
-
-def unwrap_question(text: Column) -> Column:
-    """without code fence, label and surrounding quotes."""
-    out = F.regexp_replace(text, r"(?s)^\s*```[a-z]*\s*|\s*```\s*$", "")
-    out = F.regexp_replace(F.trim(out), r"(?i)^(?:question|interviewer)\s*:\s*", "")
-    return F.regexp_replace(F.trim(out), "^[\"']+|[\"']+$", "")
-
-
-def interrogative_reasons(text: Column) -> Column:
-    """codes of what keeps a text from being one question."""
-    checks = [(F.regexp_count(text, F.lit(r"\?")) == 0, "no_question_mark"), (F.regexp_count(text, F.lit(r"\?")) > 1, "several_questions"), (F.length(text) < 12, "too_short"), (text.rlike("\n"), "several_lines")]
-    return F.filter(F.array(*[F.when(bad, F.lit(code)) for bad, code in checks]), lambda c: c.isNotNull())
-
-
 def tokens(text: Column) -> Column:
     """F19."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
 
 
-def fold_plural(token: Column) -> Column:
-    """a plain plural without its ending."""
-    return F.when(token.rlike("ies$") & (F.length(token) > 4), F.regexp_replace(token, "ies$", "y")).when(token.rlike("[^s]s$") & (F.length(token) > 3), F.regexp_replace(token, "s$", "")).otherwise(token)
-
-
 def syllables(word: Column) -> Column:
     """vowel groups, a silent final e not counted, at least one."""
     n = F.regexp_count(word, F.lit("[aeiouy]+"))

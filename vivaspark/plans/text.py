@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vivaspark.functions import grounding as N
+from vivaspark.functions import questions as Q
 from vivaspark.functions import text as X
 from vivaspark.operators import graph as G
 from vivaspark.operators import selection as Z
@@ -209,10 +210,14 @@ def nfkc_normalisation(t):
     return t.documents.select("doc_id", F.sha2(X.nfkc("text"), 256).alias("text_hash"))
 
 
-@query(r"SELECT conv_id, turn, len(regexp_extract_all(text, '\?')) = 0 AS no_mark, length(text) < 12 AS too_short, contains(text, E'\n') AS several_lines FROM conversations")
+@query(rf"""
+SELECT conv_id, turn, len(regexp_extract_all(text, '\?')) > 2 AS many_clauses, text = '' OR (len(regexp_extract_all(text, '\?')) = 0 AND NOT regexp_matches(lower(trim(text)), '^(?:(?:given|consider|assuming|suppose)\b.{{0,300}},\s*)?(?:please\s+)?(?:{"|".join(Q.REQUESTS)})\b')) AS no_question,
+  CASE WHEN y >= 7 THEN 'Senior' WHEN y >= 2 THEN 'Mid-Level' ELSE 'Fresher' END AS tier FROM (SELECT *, coalesce(list_max(list_transform(regexp_extract_all(lower(text), '\b(\d{{1,2}})\+?\s+years?\b', 1), lambda x: x::INT)), 0) AS y FROM conversations)
+""")
 def interrogative_check(t):
-    why = X.interrogative_reasons(F.col("text"))
-    return t.conversations.select("conv_id", "turn", *[F.array_contains(why, c).alias(n) for c, n in (("no_question_mark", "no_mark"), ("too_short", "too_short"), ("several_lines", "several_lines"))])
+    """F15, F12."""
+    why = Q.interrogative_reasons(F.col("text"))
+    return t.conversations.select("conv_id", "turn", F.array_contains(why, Q.MANY_CLAUSES).alias("many_clauses"), F.array_contains(why, Q.NO_QUESTION).alias("no_question"), Q.experience_tier(F.col("text")).alias("tier"))
 
 
 @query()
