@@ -204,11 +204,12 @@ class Font:
 
     def __init__(self, doc: Document, head: dict):
         self.map: dict[int, str] = {}
+        self.ranges: list[tuple[int, int, bytes]] = []
         self.width = 2 if head.get("Subtype") == "Type0" else 1
         if isinstance(head.get("ToUnicode"), Ref):
             self._read(doc.stream(head["ToUnicode"]))
         encoding = doc.get(head.get("Encoding"))
-        if isinstance(encoding, dict) and not self.map:
+        if isinstance(encoding, dict) and not self.map and not self.ranges:
             code = 0
             for d in doc.get(encoding.get("Differences")) or []:
                 if isinstance(d, int):
@@ -219,7 +220,6 @@ class Font:
 
     def _read(self, cmap: bytes) -> None:
         lexer, held = Lexer(cmap), []
-        text = lambda b: b.decode("utf-16-be", "replace")
         while (v := lexer.next()) is not None:
             if not isinstance(v, Word):
                 held.append(v)
@@ -227,23 +227,34 @@ class Font:
             if v == b"endcodespacerange" and held:
                 self.width = max(len(x) for x in held if isinstance(x, bytes))
             elif v == b"endbfchar":
-                self.map |= {int.from_bytes(a): text(b) for a, b in zip(held[::2], held[1::2])}
+                self.map |= {int.from_bytes(a): b.decode("utf-16-be", "replace") for a, b in zip(held[::2], held[1::2])}
             elif v == b"endbfrange":
                 for a, b, to in zip(held[::3], held[1::3], held[2::3]):
-                    codes = range(int.from_bytes(a), min(int.from_bytes(b), int.from_bytes(a) + 0xFFFF) + 1)
+                    first, last = int.from_bytes(a), int.from_bytes(b)
                     if isinstance(to, list):
-                        self.map |= {c: text(x) for c, x in zip(codes, to)}
+                        self.map |= {first + i: x.decode("utf-16-be", "replace") for i, x in enumerate(to[: last - first + 1])}
                     else:
-                        start, size = int.from_bytes(to), len(to)
-                        self.map |= {c: text((start + i).to_bytes(size, "big")) for i, c in enumerate(codes) if (start + i) >> 8 * size == 0}
+                        self.ranges.append((first, last, to))
             if v.startswith((b"begin", b"end")):
                 held = []
 
+    def _one(self, code: int) -> str:
+        """A code's text, which is kept; the last range that has it counts."""
+        for first, last, to in reversed(self.ranges):
+            if first <= code <= last:
+                n = int.from_bytes(to) + code - first
+                self.map[code] = n.to_bytes(len(to), "big").decode("utf-16-be", "replace") if n >> 8 * len(to) == 0 else ""
+                break
+        else:
+            self.map[code] = bytes([code]).decode("cp1252", "replace") if self.width == 1 else ""
+        return self.map[code]
+
     def text(self, codes: bytes) -> str:
-        if self.width == 1 and not self.map:
+        if self.width == 1 and not self.map and not self.ranges:
             return codes.decode("cp1252", "replace")
         found = (int.from_bytes(codes[i : i + self.width]) for i in range(0, len(codes), self.width))
-        return "".join(self.map.get(c, bytes([c]).decode("cp1252", "replace") if self.width == 1 else "") for c in found)
+        known = self.map
+        return "".join([known[c] if c in known else self._one(c) for c in found])
 
 
 def _shown(doc: Document, data: bytes, resources: dict, out: list[str], size: list[int], depth: int = 0) -> None:
