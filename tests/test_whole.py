@@ -1,5 +1,7 @@
 """Queries read their tables whole: brute force over every row."""
 
+import duckdb
+
 from vivaspark.functions import text as X
 from vivaspark.operators import calibrate, metrics
 from vivaspark.plans import registry
@@ -46,3 +48,14 @@ def test_report_has_every_scope(spark):
     for name in ("None", "s001", "s069"):
         own = metrics.classification(df.filter("s IS NULL" if name == "None" else f"s = '{name}'"), "y", "p").first()
         assert got[name].asDict() == own.asDict() | {"scope": name}
+
+
+def test_flag_sees_every_earlier_turn(spark, tmp_path):
+    said = [(1, 1, "alpha beta gamma"), (1, 3, "delta epsilon zeta"), (1, 5, "alpha beta gamma"), (1, 7, "?"), (2, 1, "delta epsilon zeta"), (3, 1, "?"), (3, 3, "!")]
+    rows = [(c, n, "assistant", t) for c, n, t in said] + [(1, 2, "user", "delta epsilon zeta")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.QUERIES["history_similarity_flag"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(1, 1, 1.0), (3, 0, 0.0)}
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert set(con.execute(registry.ORACLE_SQL["history_similarity_flag"]).fetchall()) == {(1, 1, 1.0), (3, 0, 0.0)}
