@@ -61,3 +61,22 @@ def test_defined_cases(spark):
     assert got.filter("doc_id is null and n_tokens = 1").count() == 1
     assert got.filter(F.col("doc_id") == 0).first().n_tokens == 0
     assert tc.count_tokens(docs.limit(0), 3).count() == 0
+
+
+def test_totals_and_fits_are_those_of_the_table():
+    """Odd words, at budgets on both sides of their totals, with memories so small that words leave them."""
+    counter, rng = tc.PrefixCounter(max_totals=3), random.Random(4)
+    parts = ["é", "́", "ab", "The", "'s", "'", "9", "!", " ", "\x1f", "\t", "\r\n", "  ", "<|endoftext|>", "<|endof", "漢", "İ", "naïve", "tion"]
+    texts = [*TEXTS, *("".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(400))]
+    for text in texts:
+        counts = counter.prefix_counts(text)
+        for budget in (0, 1, 3, 9, 2048):
+            assert counter.within(text, budget) == (counts[-1], tc.longest_within(counts, budget)), (text, budget)
+
+
+def test_totals_need_no_table(monkeypatch):
+    def table(self, text):
+        raise AssertionError("a text's whole table was made for its total")
+
+    monkeypatch.setattr(tc.PrefixCounter, "prefix_counts", table)
+    assert tc.PrefixCounter().within("some plain words of a text", 3)[0] == len(wordtok.load().encode("some plain words of a text", add_special_tokens=False).ids)

@@ -11,7 +11,9 @@ without word end. A token t ending at i extends the result at j = i - |t|
 exactly if t is alone (j = 0) or merging last[j] with t gives those two tokens
 back. So inner[i] = inner[j] + 1, and the count of the prefix, with t's
 word-end form in place of t, is closed[i] = inner[j] + 1. Counts of a text are
-the counts of its whole words before k plus closed[] inside the word at k.
+the counts of its whole words before k plus closed[] inside the word at k. So
+the total and the longest prefix within a budget need each word's last count and
+all counts of one word; a text's whole table is made where it is asked for.
 
 Words that normalising recomposes are cut where it can't reach over. A prefix
 that ends inside such a piece may have other characters than the whole piece;
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import itertools
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,9 +50,9 @@ _CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
 
 
 class PrefixCounter:
-    """Prefix counts for one tokenizer; remembers at most twice max_words words."""
+    """Prefix counts for one tokenizer; remembers at most twice max_words words, and totals of at most twice max_totals."""
 
-    def __init__(self, tokenizer: str = wordtok.DEFAULT_TOKENIZER, max_words: int = 300_000):
+    def __init__(self, tokenizer: str = wordtok.DEFAULT_TOKENIZER, max_words: int = 300_000, max_totals: int = 500_000):
         model = wordtok.spec(tokenizer)["model"]
         self.tok, self.end = wordtok.load(tokenizer), model["end_of_word_suffix"]
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in wordtok.spec(tokenizer)["added_tokens"]) or r"(?!)")
@@ -78,7 +81,10 @@ class PrefixCounter:
         self.words: dict[str, bytes | np.ndarray] = {"": b""}
         self.older: dict[str, bytes | np.ndarray] = {}
         self.runs: dict[str, list[int]] = {}
-        self.max_words = max_words
+        self.totals: dict[str, int] = {"": 0}
+        self.older_totals: dict[str, int] = {}
+        self.run_totals: dict[str, int] = {}
+        self.max_words, self.max_totals = max_words, max_totals
         self.bytes_of = _byte_chars()
 
     def _ok(self, key: int) -> bool:
@@ -272,11 +278,70 @@ class PrefixCounter:
             self.words[word] = got
         return got
 
+    def run_total(self, run: str) -> int:
+        """closed at the end of a run: the same recurrence, which asks for no word end before it."""
+        n = self.run_totals.get(run)
+        if n is None:
+            size = len(run)
+            closed = [1] * size + [0]
+            self.base = 0
+            self._walk(run, 0, [-1] * (size + 1), [0] * (size + 1), closed)
+            n = closed[size]
+            if not n:
+                raise ValueError(f"no segmentation of {run[:99]!r}")
+            if size < 64:
+                self.run_totals[run] = n
+        return n
+
+    def word_total(self, word: str) -> int:
+        """The last of word_counts(word)."""
+        plain = word.isascii() and word.isprintable()
+        if plain and word.isalpha():
+            return self.run_total(word.lower())
+        if self.special.search(word) or not (plain or unicodedata.is_normalized("NFC", word)):
+            return self.word_counts(word)[-1]
+        if plain:
+            return sum(map(self.run_total, _CUT.findall(word.lower())))
+        low = "".join([self.lower[c] for c in word])
+        return sum(self.run_total(self._in_bytes(run)) for run in self._cut(low) if run is not None)
+
+    def _total(self, word: str) -> int:
+        n = self.older_totals.pop(word, None)
+        if n is None:
+            n = self.word_total(word)
+        if len(self.totals) >= self.max_totals:
+            self.totals, self.older_totals, self.run_totals = {"": 0}, self.totals, {}
+        self.totals[word] = n
+        return n
+
+    def within(self, text: str | None, budget: int) -> tuple[int, int]:
+        """Tokens of a text, and longest_within() of its prefix counts; only the word at which the budget ends is looked into."""
+        if not text:
+            return 0, 0
+        words = wordtok.blank(text).split(" ")
+        totals = list(map(self.totals.get, words))
+        if None in totals:
+            known = self.totals
+            for k, word in enumerate(words):
+                if totals[k] is None:
+                    # An earlier place in this text may have learned it.
+                    n = known.get(word)
+                    totals[k] = self._total(word) if n is None else n
+                    known = self.totals
+        total = sum(totals)
+        if total <= budget:
+            return total, len(text)
+        # Counts before words never fall, so past the last word before which the budget holds every count is over.
+        before = list(itertools.accumulate(totals, initial=0))
+        k = bisect_right(before, budget) - 1
+        inside = np.array([0, *(self.word_counts(words[k]) if words[k] else ())])
+        return total, sum(map(len, words[:k])) + k + longest_within(inside, budget - before[k])
+
     def prefix_counts(self, text: str | None) -> np.ndarray:
         """int32 array of length len(text) + 1: tokens of each prefix."""
         if not text:
             return np.zeros(1, np.int32)
-        words = text.translate(wordtok.BLANKS).split(" ")
+        words = wordtok.blank(text).split(" ")
         known = list(map(self.words.get, words))
         if None in known:
             known = [self._known(w) if k is None else k for w, k in zip(words, known)]
@@ -373,10 +438,9 @@ def count_tokens(docs: DataFrame, budget: int, tokenizer: str = wordtok.DEFAULT_
 
         def rows(ids: list, texts: list, sizes: list) -> Iterator[tuple]:
             for i, text, size in zip(ids, texts, sizes):
-                counts = counter.prefix_counts(text)
-                n = int(counts[-1])
-                row = (i, size, n, n > budget, len(counts) - 1 if n <= budget else longest_within(counts, budget))
-                yield (*row, counts) if with_prefixes else row
+                n, fit = counter.within(text, budget)
+                row = (i, size, n, n > budget, fit)
+                yield (*row, counter.prefix_counts(text)) if with_prefixes else row
 
         return rows
 
