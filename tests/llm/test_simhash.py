@@ -117,3 +117,45 @@ def test_keep_one_leaves_columns_of_any_name(spark):
     rows = [(2, "a b c d e f", 7, 8, 9), (1, "a b c d e f", 4, 5, 6), (3, "something else here now", 1, 2, 3)]
     docs = spark.createDataFrame(rows, ["doc_id", "text", "_id", "_key", "_c0"])
     assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [rows[1], rows[2]]
+
+
+def five(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def near_copies(rng):
+    """Texts of 90 to 110 words, each with copies at 0.75 to 0.95, chains of such, and exact copies."""
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    texts = []
+    for _ in range(12):
+        text = [word() for _ in range(rng.randrange(90, 110))]
+        texts.append(text)
+        for _ in range(5):
+            text = list(rng.choice(texts[-3:]))
+            for _ in range(rng.randrange(1, 4)):
+                text[rng.randrange(len(text))] = word()
+            texts.append(text)
+    return [" ".join(t) for t in texts] + [" ".join(t) for t in texts[::7]] + ["", None, "short text", "Short text", "a short text"]
+
+
+def test_similar_texts_far_beyond_the_radius_are_linked(spark, monkeypatch):
+    texts = near_copies(random.Random(2))
+    sets = [five(t) for t in texts]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    root, far = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            bits = (prints[i] ^ prints[j]).bit_count()
+            far += alike and bits > 2
+            if alike or bits <= 2:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert far > 50
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for part in (4096, 9):  # a crowd in one piece, and in pairs of parts
+        monkeypatch.setattr(simhash, "PART", part)
+        kept = simhash.keep_one(docs, words_each=5, similarity=0.8)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    assert simhash.keep_one(docs.limit(0), words_each=5, similarity=0.8).count() == 0
