@@ -159,3 +159,40 @@ def test_similar_texts_far_beyond_the_radius_are_linked(spark, monkeypatch):
         kept = simhash.keep_one(docs, words_each=5, similarity=0.8)
         assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
     assert simhash.keep_one(docs.limit(0), words_each=5, similarity=0.8).count() == 0
+
+
+def test_few_edges_take_few_partitions(spark):
+    """Every task of a round leaves files, so their number must follow the edges, not the session's setting."""
+    changed = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 100 != 99], "a long, b long")
+        got = components(edges)
+        assert got.rdd.getNumPartitions() == 1
+        assert sorted(map(tuple, got.collect())) == [(i, i - i % 100) for i in range(301) if i % 100]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_texts_outside_crowds_stay_out_of_the_shuffle(spark, monkeypatch):
+    """Of many different texts two are near copies; the filter loses no wanted row, though null ids and full bits."""
+    rows = spark.range(3000).select(F.expr("nullif(id, 7)").alias("_id"), F.xxhash64("id").alias("key"))
+    wanted = rows.filter("coalesce(_id, 7) % 300 = 7").withColumnRenamed("_id", "_first")
+    keys = {r.key for r in wanted.collect()}
+    for bits, most in ((23, 20), (7, 3000)):
+        monkeypatch.setattr(simhash, "SIEVE", bits)
+        got = [r.key for r in simhash.sieve(rows, ["key", "_id"], wanted, ["key", "_first"]).collect()]
+        assert keys <= set(got) and len(keys) == 10 and len(got) <= most
+    assert simhash.sieve(rows, ["key", "_id"], wanted.limit(0), ["key", "_first"]).count() == 0
+    # The whole stage passes its texts through it.
+    seen, sieve = [], simhash.sieve
+    monkeypatch.setattr(simhash, "SIEVE", 23)
+    monkeypatch.setattr(simhash, "sieve", lambda *a: seen.append(sieve(*a)) or seen[-1])
+    texts = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(200)]
+    texts.append(texts[5].replace("w5x30 ", ""))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, words_each=5, similarity=0.8).collect()) == list(range(200))
+    assert sorted(r._id for r in seen[0].collect()) == [5, 200]

@@ -19,7 +19,8 @@ With a similarity asked for, texts whose sets of shingles have that share in
 common (Jaccard) are linked too, far beyond RADIUS. Minima of the shingles' hashes in
 bands name candidates: texts that agree in a band of BAND_ROWS minima hang at the
 band's first text, and what hangs together is one crowd, sent with its texts to
-one task (above PART texts, in pairs of parts). There a BK-tree gives the pairs
+one task (above PART texts, in pairs of parts); a filter of fixed size keeps most
+other texts out of that shuffle. There a BK-tree gives the pairs
 within WIDE bits, and an exact comparison of their sets decides. Bands miss a
 pair at 0.8 with probability 3e-5, and WIDE bits about one in a million.
 
@@ -54,6 +55,8 @@ BANDS, BAND_ROWS = 20, 4
 #: Texts of a crowd that are compared in one piece; a larger one is compared by pairs of parts.
 PART = 4096
 SHARD = 65_536
+#: Bits of the filter of the texts that crowds need, as a power of two.
+SIEVE = 23
 #: Rows a task gathers before it builds and searches the trees of the whole shards among them.
 CHUNK = 200_000
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
@@ -235,6 +238,20 @@ def _alike(texts: list[str | None], words_each: int, similarity: float) -> Itera
                     yield _signed(int(value[x])), _signed(int(value[y]))
 
 
+def sieve(rows: DataFrame, keys: list[str], wanted: DataFrame, wanted_keys: list[str]) -> DataFrame:
+    """rows less most of those whose keys are not wanted, before a shuffle: all wanted ones stay.
+
+    The keys' hashes set bits of a filter of 2^SIEVE bits, in words of 64 that are
+    broadcast: at most 2^17 rows whatever the tables. More wanted keys than it
+    can tell apart only let more rows pass.
+    """
+    word = lambda names: F.shiftrightunsigned(F.xxhash64(*names), 64 - SIEVE + 6)
+    bit = lambda names: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(*names).bitwiseAND(63).cast("int"))
+    bits = wanted.groupBy(word(wanted_keys).alias("_word")).agg(F.bit_or(bit(wanted_keys)).alias("_ones"))
+    found = rows.join(F.broadcast(bits), word(keys) == F.col("_word")).filter(F.col("_ones").bitwiseAND(bit(keys)) != 0)
+    return found.drop("_word", "_ones")
+
+
 def similar(docs: DataFrame, prints: DataFrame, words_each: int, similarity: float) -> DataFrame:
     """Links (a, b) of fingerprints that connect all texts of docs at that similarity; prints are fingerprints() with bands."""
     wide, rows = prints.select("key", F.explode("bands").alias("band")), prints.count()
@@ -245,7 +262,8 @@ def similar(docs: DataFrame, prints: DataFrame, words_each: int, similarity: flo
     members = join_by_key(crowd, parts, ["crowd"], "m", crowd.count())
     # One row a text.
     members = cut(members.join(prints.groupBy("key").agg(F.min("doc_id").alias("_first"), F.count("*").alias("n")), "key"))
-    texts = join_by_key(docs.select(F.xxhash64("text").alias("key"), F.col("doc_id").cast("long").alias("_id"), "text"), members, ["key"], "n", rows)
+    own = docs.select(F.xxhash64("text").alias("key"), F.col("doc_id").cast("long").alias("_id"), "text")
+    texts = join_by_key(sieve(own, ["key", "_id"], members, ["key", "_first"]), members, ["key"], "n", rows)
     part, other = F.pmod(F.xxhash64(F.col("key"), F.lit(1)), F.col("parts")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     pairs = texts.filter(F.col("_id").eqNullSafe(F.col("_first"))).select("crowd", "parts", part.cast("int").alias("part"), other, "key", "text")
     pairs = pairs.filter("parts = 1 OR part <> other").select("crowd", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key", "text")
