@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vivaspark.operators.relational import join_by_key
+
+
 def violations(checks: list[tuple[Column, str]]) -> Column:
     """Codes of the checks that fail; a check that can't be decided fails."""
     return F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(code)) for ok, code in checks]), lambda c: c.isNotNull())
@@ -56,9 +59,37 @@ def pairing_record(resume: Column, job: Column) -> Column:
     return F.struct(n.alias("overlap"), ratio.alias("ratio"), kind.alias("pairing_class"))
 
 
+#: Rows of either side in a block; right rows that a left row meets in a run; pairs a partition, about.
+BLOCK, RUN, PAIRS = 1 << 13, 1 << 9, 1 << 26
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame, pool: str, n: str, total: int, name: str) -> DataFrame:
+    """rows as (pool, name): a pool's rows in arrays of at most BLOCK, dealt by hash and then counted off, so that no pool is gathered."""
+    rest = [c for c in rows.columns if c != pool]
+    parts = sizes.select(pool, n, F.ceil(F.col(n) / BLOCK).alias("_parts"))
+    own = join_by_key(rows, parts, [pool], n, total).withColumn("_part", F.pmod(F.xxhash64(pool, *rest), "_parts"))
+    place = F.row_number().over(Window.partitionBy(pool, "_part").orderBy(*(rest or [pool])))
+    blocks = own.withColumn("_block", F.floor((place - 1) / BLOCK)).groupBy(pool, "_part", "_block")
+    return blocks.agg(F.collect_list(F.struct(*rest) if rest else F.struct(F.lit(0))).alias(name)).select(pool, name)
+
+
 def paired_pools(left: DataFrame, right: DataFrame, pool: str) -> DataFrame:
-    """All pairs within a pool, by an equi join; pools are components, which are small."""
-    return left.join(right, pool)
+    """All pairs within a pool, of any size, by an equi join of blocks.
+
+    The pairs are as many as they are, but only blocks are shuffled, and the pairs
+    of two blocks are made where they are wanted, one after the other. Each left
+    row meets a short run of right rows before the next does, so a columnar file
+    holds the runs, which repeat, in little space.
+    """
+    sizes = left.groupBy(pool).agg(F.count("*").alias("_nl")).join(right.groupBy(pool).agg(F.count("*").alias("_nr")), pool)
+    nl, nr, pairs = sizes.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("_nl"), F.col("_nr"), F.col("_nl").cast("double") * F.col("_nr"))]).first()
+    blocks = _dealt(left, sizes, pool, "_nl", nl, "_l").join(_dealt(right, sizes, pool, "_nr", nr, "_r"), pool)
+    tasks = int(pairs / PAIRS) + int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("_r") - 1) / RUN)), lambda i: F.slice("_r", (i * RUN + 1).cast("int"), RUN))
+    # Generated code holds all rows of one input row: only a run is left to it, transform() keeps the step before out.
+    met = blocks.repartition(tasks).select(pool, "_l", F.explode(runs).alias("_run")).select(pool, "_run", F.explode(F.transform("_l", lambda x: x)).alias("_a"))
+    each = met.select(pool, "_a", F.explode("_run").alias("_b"))
+    return each.select(pool, *[F.col("_a")[c].alias(c) for c in left.columns if c != pool], *[F.col("_b")[c].alias(c) for c in right.columns if c != pool])
 
 
 def flattened(df: DataFrame, key: str, reports: str) -> DataFrame:
