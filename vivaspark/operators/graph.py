@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vivaspark.functions import text as X
 from vivaspark.session import shared_folder
@@ -15,12 +20,66 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Edges that a task gets, about, and joins at once, at most.
+EDGES, CHUNK = 1 << 20, 1 << 21
+
+
+def _local(edges: DataFrame) -> DataFrame:
+    """(node, root): the nodes of each CHUNK of edges, with the smallest that they reach within it; a node may be in several."""
+    schema = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).schema
+
+    def roots(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+        """The smallest node that each of n nodes reaches over edges x, y: larger roots hang at smaller ones until none is left to hang."""
+        root = np.arange(n)
+        while len(x):
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (up := root[root]).tobytes() != root.tobytes():
+                root = up
+            x, y = root[x], root[y]
+            x, y = x[x != y], y[x != y]
+        return root
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = to_arrow_schema(schema)
+
+        def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            ends = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in (0, 1)]
+            nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+            root = roots(at[: len(ends[0])], at[len(ends[0]) :], len(nodes))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((nodes, nodes[root]), to.types)], schema=to)
+
+        held, n = [], 0
+        for b in batches:
+            held, n = [*held, b], n + b.num_rows
+            if n >= CHUNK:
+                yield joined(held)
+                held, n = [], 0
+        if n:
+            yield joined(held)
+
+    return edges.mapInArrow(walk, schema)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) by smallest reachable node, over an edge list (a, b).
 
-    Rounds spread the smallest label over edges and then follow labels' own
-    labels, so distances halve; each round is cut by a checkpoint.
+    Edges are dealt by ranges of nodes, as those near each other often meet, and
+    each task joins its own. Then not edges are shuffled but nodes, each with a
+    local root; where a node has several, these are linked, one to the next, and
+    only the links between roots go through rounds.
     """
+    kind = edges.select("a").union(edges.select("b")).schema[0].dataType
+    own = edges.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    before = F.lag("root").over(Window.partitionBy("node").orderBy("root"))
+    near = own.repartitionByRange(own.count() // EDGES + 1, "a", "b")
+    met = cut_lineage(_local(near).withColumn("before", before))
+    linked = _spread(met.filter("before < root").select(F.col("root").alias("a"), F.col("before").alias("b")), most_rounds)
+    nodes = met.filter("before IS NULL").select("node", "root").join(linked.withColumnRenamed("node", "root"), "root", "left")
+    return nodes.select("node", F.coalesce("component", "root").alias("component"))
+
+
+def _spread(edges: DataFrame, most_rounds: int) -> DataFrame:
+    """Components by rounds that spread the smallest label over edges and then follow labels' own labels, so distances halve; each round is cut by a checkpoint."""
     both = cut_lineage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     for _ in range(most_rounds):
