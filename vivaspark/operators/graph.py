@@ -71,7 +71,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     kind = edges.select("a").union(edges.select("b")).schema[0].dataType
     own = edges.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     before = F.lag("root").over(Window.partitionBy("node").orderBy("root"))
-    near = own.repartitionByRange(own.count() // EDGES + 1, "a", "b")
+    # Sorted, so that a task that is run again joins the same edges.
+    near = own.repartitionByRange(own.count() // EDGES + 1, "a", "b").sortWithinPartitions("a", "b")
     met = cut_lineage(_local(near).withColumn("before", before))
     linked = _spread(met.filter("before < root").select(F.col("root").alias("a"), F.col("before").alias("b")), most_rounds)
     nodes = met.filter("before IS NULL").select("node", "root").join(linked.withColumnRenamed("node", "root"), "root", "left")
